@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, tokenfile
+from corpusmill.llm import mixing, packing, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -26,10 +26,15 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_token_planes": op3_token_planes,
+    "op4_toxicity": op4_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

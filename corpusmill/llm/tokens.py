@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -20,58 +21,52 @@ SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 class PieceEncoder:
     """Ids of texts by one tokenizer file. `spaces`: a space belongs to the piece after it (byte level) or is dropped (False).
 
-    At most about `most` pieces are remembered. Then the first half stays, as frequent pieces come early; this changes no result.
+    At most about `most` pieces are remembered. Then the earliest `keep` stay, as frequent pieces come early; this changes no result.
     """
 
-    def __init__(self, path: str, spaces: bool, most: int = 700_000):
+    def __init__(self, path: str, spaces: bool, most: int = 1_200_000, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces, self.most = spaces, most
-        self.known: dict[str, bytes | None] = {}
+        self.spaces, self.most, self.keep = spaces, most, keep
+        #: False: a piece with white space at its rim, which the tokenizer could join with the space beside it.
+        self.known: dict[str, bytes | bool] = {}
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
-    def _learn(self, new: list[str]) -> None:
-        """None stands for a piece with white space at its rim, which the tokenizer could join with the space beside it."""
-        if len(self.known) + len(new) > self.most:
-            self.known = dict(islice(self.known.items(), self.most // 2))
+    def _learn(self, new: list[str]) -> dict[str, bytes | bool]:
+        found: dict[str, bytes | bool] = {}
         if self.spaces:
-            odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)]
-            self.known.update(dict.fromkeys(odd))
-            new = [p for p in new if p not in self.known] if odd else new
+            found = {p: False for p in new if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)}
+            new = [p for p in new if p not in found] if found else new
         for k in range(0, len(new), 5_000):
             part = new[k : k + 5_000]
             codes = self.tokenizer.encode_batch_fast([" " + p for p in part] if self.spaces else part, add_special_tokens=False)
-            self.known.update((p, packed(c.ids)) for p, c in zip(part, codes, strict=True))
+            found.update((p, packed(c.ids)) for p, c in zip(part, codes, strict=True))
+        if len(self.known) + len(found) > self.most:
+            self.known = dict(islice(self.known.items(), self.keep))
+        self.known.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut] if self.spaces else [""] * len(cut)
-        new: set[str] = set()
-        for c in cut:
-            new |= set(c).difference(self.known)
-        if new:
-            before = len(self.known)
-            self._learn(sorted(new))
-            if len(self.known) < before:
-                # Older pieces may be gone: learn those of these texts again.
-                self._learn(sorted(set().union(*map(set, cut)).difference(self.known)))
-        get, out = self.known.__getitem__, []
-        for text, head, c in zip(texts, heads, cut, strict=True):
-            try:
-                out.append(self.whole(head) + b"".join(map(get, c)))
-            except TypeError:
-                out.append(self.whole(text))
-        return out
+        codes = [list(map(self.known.get, c)) for c in cut]
+        holes = [k for k, c in enumerate(codes) if not all(c)]
+        new = {p for k in holes for p, c in zip(cut[k], codes[k], strict=True) if c is None}
+        found = self._learn(list(new)) if new else {}
+        for k in holes:
+            codes[k] = [found[p] if c is None else c for p, c in zip(cut[k], codes[k], strict=True)]
+        odd = {k for k in holes if any(c is False for c in codes[k])}
+        return [self.whole(t) if k in odd else self.whole(h) + b"".join(c) for k, (t, h, c) in enumerate(zip(texts, heads, codes, strict=True))]
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
