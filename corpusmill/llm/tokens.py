@@ -36,6 +36,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.most, self.keep = spaces, most, keep
+        #: The id of the mark between pieces that are encoded in one go; pieces that hold the mark are encoded alone.
+        self.mark_id = self.tokenizer.encode("\n" if spaces else "!", add_special_tokens=False).ids[0]
         #: False: a piece with white space at its rim, which the tokenizer could join with the space beside it.
         self.known: dict[str, bytes | bool] = {}
 
@@ -47,10 +49,17 @@ class PieceEncoder:
         if self.spaces:
             found = {p: False for p in new if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)}
             new = [p for p in new if p not in found] if found else new
-        for k in range(0, len(new), 5_000):
-            part = new[k : k + 5_000]
-            codes = self.tokenizer.encode_batch_fast([" " + p for p in part] if self.spaces else part, add_special_tokens=False)
-            found.update((p, packed(c.ids)) for p, c in zip(part, codes, strict=True))
+        mark, gap = ("\n", "\n") if self.spaces else ("!", " ! ")
+        plain = [p for p in new if mark not in p]
+        if len(plain) < len(new):
+            found.update((p, self.whole(" " + p if self.spaces else p)) for p in new if mark in p)
+        head = " " if self.spaces else ""
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([gap.join([head + p for p in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            found.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
         if len(self.known) + len(found) > self.most:
             self.known = dict(islice(self.known.items(), self.keep))
         self.known.update(found)
