@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, tokenfile, toxicity
+from corpusmill.llm import mixing, packing, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -30,11 +30,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_token_planes": op3_token_planes,
     "op4_toxicity": op4_toxicity,
+    "op5_simhash": op5_simhash,
+    "op10_templates": op10_templates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_templates": templates.oracle(),
+}
