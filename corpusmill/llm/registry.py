@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, simhash, templates, tokenfile, toxicity
+from corpusmill.llm import mixing, packing, pages, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -38,12 +38,17 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_token_planes": op3_token_planes,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op8_page_text": op8_page_text,
     "op10_templates": op10_templates,
 }
 
