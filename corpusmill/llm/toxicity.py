@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import id_remainder, text_or_empty
+from corpusmill.llm.common import forget, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -109,20 +109,22 @@ def bucket_counts(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def sampled_features(rows: DataFrame, settings: Settings) -> list[tuple[int, np.ndarray]]:
-    """Features of the bounded sample: of each class the rows whose hashed ids are smallest."""
+    """Features of the bounded sample: of each class the rows whose hashes are smallest. The hashes alone are sorted, not the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                codes = [features_of(t, settings).astype("<u4").tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(codes, pa.binary())], names=["toxic", "features"])
+                codes = [features_of(t, settings).astype("<u4").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["toxic", "features"])
 
-    picked = None
+    mark = F.xxhash64("doc_id", "text")
+    sample = []
     for toxic in (0, 1):
-        some = rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-        picked = some if picked is None else picked.unionByName(some)
-    got = picked.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, features binary").collect()
-    return sorted(((r["toxic"], np.frombuffer(r["features"], "<u4")) for r in got), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+        own = rows.where(F.col("toxic") == toxic)
+        last = own.select(mark.alias("mark")).orderBy("mark").limit(settings.sample).agg(F.max("mark")).first()[0]
+        picked = own.where(mark <= F.lit(last)).limit(settings.sample) if last is not None else own.limit(0)
+        sample += picked.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, features binary").collect()
+    return sorted(((r["toxic"], np.frombuffer(r["features"], "<u4")) for r in sample), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
 
 
 def fit_regression(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
@@ -158,7 +160,7 @@ def log_ratios(counts: np.ndarray, texts: np.ndarray, smoothing: float) -> np.nd
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Bucket counts, at most 2 ** bits rows, and the bounded sample reach the driver."""
-    rows = labelled(docs, labels)
+    rows = written(labelled(docs, labels), "toxic-labelled")
     size = 1 << settings.bits
     counts, texts = np.zeros((2, size)), np.zeros(2)
     for bucket, toxic, clean in bucket_counts(rows, settings).toPandas().itertuples(index=False):
@@ -168,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             counts[:, bucket] = clean, toxic
     ratio = log_ratios(counts, texts, settings.smoothing)
     w, bias = fit_regression(sampled_features(rows, settings), ratio, settings)
+    forget(rows)
     return Model(settings, (w * ratio).astype(np.float32), float(bias))
 
 
