@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -20,6 +21,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
+def shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies show bytes: printable ones as themselves, the others by the characters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+SHOWN = shown_bytes()
+
+
 def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -35,7 +46,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaces, self.most, self.keep = spaces, most, keep
+        #: Ids of marks that end a piece after a run of letters.
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
         #: The id of the mark between pieces that are encoded in one go; pieces that hold the mark are encoded alone.
         self.mark_id = self.tokenizer.encode("\n" if spaces else "!", add_special_tokens=False).ids[0]
         #: False: a piece with white space at its rim, which the tokenizer could join with the space beside it.
@@ -44,16 +58,37 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a run of letters, which the tokenizer's rules keep in one piece; None if they may change it."""
+        if not self.spaces:
+            if not word.isascii() and (not is_normalized("NFC", word) or "\u03a3" in word):
+                return None
+            word = word.lower()
+            if not word.isalpha():
+                return None
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+        return packed([t.id for t in self.model.tokenize("\u0120" + shown if self.spaces else shown)])
+
     def _learn(self, new: list[str]) -> dict[str, bytes | bool]:
         found: dict[str, bytes | bool] = {}
+        rest = []
+        for p in new:
+            word, mark = (p, b"") if p.isalpha() else (p[:-1], self.marks.get(p[-1:]))
+            code = None
+            if mark is not None and word.isalpha():
+                code = self.known.get(word) or found.get(word) or self._word(word)
+            if code is None:
+                rest.append(p)
+            else:
+                found[p] = code + mark
         if self.spaces:
-            found = {p: False for p in new if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)}
-            new = [p for p in new if p not in found] if found else new
+            odd = {p: False for p in rest if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)}
+            found |= odd
+            rest = [p for p in rest if p not in odd] if odd else rest
         mark, gap = ("\n", "\n") if self.spaces else ("!", " ! ")
-        plain = [p for p in new if mark not in p]
-        if len(plain) < len(new):
-            found.update((p, self.whole(" " + p if self.spaces else p)) for p in new if mark in p)
         head = " " if self.spaces else ""
+        found.update((p, self.whole(head + p)) for p in rest if mark in p)
+        plain = [p for p in rest if mark not in p]
         for k in range(0, len(plain), 500):
             part = plain[k : k + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([gap.join([head + p for p in part])], add_special_tokens=False)[0].ids, dtype="<u4")
