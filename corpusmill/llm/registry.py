@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, pages, simhash, templates, tokenfile, toxicity
+from corpusmill.llm import ivfpq, mixing, multi_index, packing, pages, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -42,13 +42,23 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_token_planes": op3_token_planes,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op7_multi_index": op7_multi_index,
     "op8_page_text": op8_page_text,
+    "op9_ivfpq": op9_ivfpq,
     "op10_templates": op10_templates,
 }
 
