@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ivfpq, mixing, multi_index, packing, pages, simhash, templates, tokenfile, toxicity
+from corpusmill.llm import hmm, ivfpq, mixing, multi_index, packing, pages, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_token_planes": op3_token_planes,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_hmm": op6_hmm,
     "op7_multi_index": op7_multi_index,
     "op8_page_text": op8_page_text,
     "op9_ivfpq": op9_ivfpq,
