@@ -32,7 +32,7 @@ class Settings:
 
     orders: tuple[int, ...] = (3, 4)
     bits: int = 18
-    sample: int = 3000
+    sample: int = 2000
     smoothing: float = 10.0
     ridge: float = 1e-3
     rounds: int = 40
@@ -81,7 +81,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with a label of 0 or 1, without the held-out ones. Ids that repeat in `labels` count once, with the larger label."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(~held_out("doc_id")).select("doc_id", text_or_empty().alias("text"))
-    return rows.join(known, "doc_id")
+    # Always by shuffle: labels may be as many as documents.
+    return rows.hint("merge").join(known, "doc_id")
 
 
 def held_out(column: str) -> Column:
@@ -132,17 +133,18 @@ def fit_regression(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, sett
     y = np.array([t for t, _ in sample], float)
     if not len(y) or y.min() == y.max():
         return np.zeros_like(ratio), (0.0 if not len(y) else 3.0 if y[0] else -3.0)
-    lengths = np.array([len(f) for _, f in sample])
-    flat = np.concatenate([f for _, f in sample]).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), lengths)
-    value = (ratio[flat] / np.sqrt(np.maximum(lengths, 1))[row]).astype(np.float32)
+    lengths = np.array([max(1, len(f)) for _, f in sample])
+    # A text without features holds bucket 0 with value 0.
+    flat = np.concatenate([f if len(f) else np.zeros(1, "<u4") for _, f in sample]).astype(np.int32)
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    value = ratio[flat].astype(np.float32) * np.repeat((np.array([len(f) > 0 for _, f in sample]) / np.sqrt(lengths)).astype(np.float32), lengths)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(len(ratio)), 0.0
     m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), settings.rate
     for k in range(1, settings.rounds + 1):
-        z = np.bincount(row, value * w[flat], minlength=len(y)) + bias
+        z = np.add.reduceat(value * w[flat].astype(np.float32), begins) + bias
         error = each * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.append(np.bincount(flat, value * error[row], minlength=len(ratio)) + settings.ridge * w / len(y), error.sum())
+        slope = np.append(np.bincount(flat, value * np.repeat(error.astype(np.float32), lengths), minlength=len(ratio)) + settings.ridge * w / len(y), error.sum())
         m = 0.9 * m + 0.1 * slope
         v = 0.99 * v + 0.01 * slope * slope
         move = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
