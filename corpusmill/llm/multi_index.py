@@ -84,8 +84,8 @@ def fit_grid(sample: np.ndarray, rows: int, threshold: float, recall: float, cel
     return grid
 
 
-def visits(groups: DataFrame, grid: Grid, chunk_rows: int) -> DataFrame:
-    """A row per group and cell: its own cell (home) and visited cells with smaller numbers. `chunk` spreads homes."""
+def visits(groups: DataFrame, grid: Grid) -> DataFrame:
+    """A row per group and cell: its own cell (home) and visited cells with smaller numbers."""
     shared = groups.sparkSession.sparkContext.broadcast(grid)
     width = grid.first.shape[1] + grid.second.shape[1]
 
@@ -111,7 +111,7 @@ def visits(groups: DataFrame, grid: Grid, chunk_rows: int) -> DataFrame:
     return groups.select("first_id", "unit", "copies").mapInArrow(run, "cell long, home boolean, first_id long, unit binary, copies long")
 
 
-def chunk_links(met: DataFrame, threshold: float, part_rows: int = 512) -> DataFrame:
+def chunk_links(met: DataFrame, threshold: float) -> DataFrame:
     """Numbers of links and trees of links of (home chunk, part of the members) pairs.
 
     Rows (kind, a, b): kind 0 is a link between groups a and b, kind 1 says that a has b more linked vectors.
@@ -120,7 +120,7 @@ def chunk_links(met: DataFrame, threshold: float, part_rows: int = 512) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, left, right = [], [], []
-            for ids, units, copies, other_ids, other_units, other_copies, same, lower in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids, units, copies, other_ids, other_units, other_copies, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(b"".join(units), "<f8").reshape(len(ids), -1)
                 y = np.frombuffer(b"".join(other_units), "<f8").reshape(len(other_ids), -1)
                 near = x @ y.T >= threshold
@@ -140,7 +140,7 @@ def chunk_links(met: DataFrame, threshold: float, part_rows: int = 512) -> DataF
                 right += other_ids[b].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["kind", "a", "b"])
 
-    columns = ["ids", "units", "copies", "other_ids", "other_units", "other_copies", "same", F.lit(True).alias("lower")]
+    columns = ["ids", "units", "copies", "other_ids", "other_units", "other_copies", "same"]
     return met.select(*columns).mapInArrow(run, "kind int, a long, b long")
 
 
@@ -180,14 +180,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float =
     most; every vector is indexed. A row with a null id is a row like others, its component is the smallest
     known id. An empty table gives no rows; other columns are ignored.
     """
-    spark = embeddings.sparkSession
     units = written(unit_vectors(embeddings), "grid-units")
     groups = written(units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "grid-groups")
     # A null id cannot name a group: groups are named by their smallest id, or by a negative hash of the vector.
     groups = groups.withColumn("first_id", F.coalesce("first_id", -1 - F.pmod(F.xxhash64("unit"), F.lit(2**62))))
     n = groups.count()
     grid = fit_grid(sample_units(groups, sample), n, threshold, recall, cell_rows)
-    members = written(visits(groups, grid, part_rows), "grid-visits")
+    members = written(visits(groups, grid), "grid-visits")
     sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("long")).alias("homes"))
     dealt = members.join(written(sizes.where("homes > 0 and rows > 1"), "grid-cells"), "cell")
     part = lambda count: F.pmod(F.xxhash64("first_id"), F.ceil(F.col(count) / part_rows).cast("long"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, partitions, text_or_empty, written
+from corpusmill.llm.common import forget, text_or_empty, written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
 
@@ -147,6 +147,7 @@ def near_links(marks: DataFrame, longest: int = 512) -> DataFrame:
     links = written(list_links(lists), "simhash-links")
     if not long.isEmpty():
         links = written(links.unionByName(long_list_links(posts.join(long, "key"))), "simhash-all-links")
+    forget(posts, short, long)
     return links
 
 
@@ -163,6 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, longest: int = 512) -> Data
     joined = heads.join(groups.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     least = written(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least")
     of_mark = written(joined.join(least, "component").select("mark", "component_id"), "simhash-components")
+    forget(heads, groups, least)
     return marked.join(of_mark, "mark").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import SPACES, text_or_empty, written
+from corpusmill.llm.common import SPACES, forget, text_or_empty, written
 
 DEPTH, WIDTH, LEAST, SIMILARITY = 3, 5, 5, 0.7
 #: A token that holds a digit; looked for at token starts alone, so the search is linear.
@@ -41,14 +41,19 @@ def lines_of(docs: DataFrame, depth: int, width: int, least: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, depth: int = DEPTH, width: int = WIDTH, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
     """(row_key, lines): the places of the lines to drop, for rows that have some."""
     lines = written(lines_of(docs, depth, width, least), "template-lines")
-    leaves = lines.groupBy("leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("leaf")
-    shared = lines.join(written(leaves, "template-leaves"), "leaf")
+    recurring = (F.min("doc").alias("first"), F.max("doc").alias("last"))
+    leaves = written(lines.groupBy("leaf").agg(*recurring).where("first < last").select("leaf"), "template-leaves")
+    shared = lines.join(leaves, "leaf")
     parts = written(shared.select("row_key", "doc", "line_no", F.size("segments").alias("n"), "leaf", F.posexplode("segments").alias("place", "segment")), "template-parts")
-    seen = parts.groupBy("leaf", "place", "segment").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last"))
-    constant = parts.join(written(seen.drop("last"), "template-segments"), ["leaf", "place", "segment"]).where(F.col("first") < F.col("doc"))
+    forget(lines, leaves)
+    seen = written(parts.groupBy("leaf", "place", "segment").agg(*recurring).where("first < last").drop("last"), "template-segments")
+    constant = parts.join(seen, ["leaf", "place", "segment"]).where("first < doc")
+    # Equal rows have equal keys, so a place may come more than once.
     matched = constant.groupBy("row_key", "line_no").agg(F.countDistinct("place").alias("same"), F.first("n").alias("n"))
     dropped = matched.where(F.col("same") >= F.lit(similarity) * F.col("n"))
-    return written(dropped.groupBy("row_key").agg(F.collect_list("line_no").alias("lines")), "template-repeats")
+    repeats = written(dropped.groupBy("row_key").agg(F.collect_list("line_no").alias("lines")), "template-repeats")
+    forget(parts, seen)
+    return repeats
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
