@@ -246,7 +246,7 @@ def start_model(texts: DataFrame, unigram: np.ndarray, settings: Settings) -> Mo
         if size < settings.start_tokens:
             some.append(np.frombuffer(r["ids"], np.int32))
             size += len(some[-1])
-    for _ in range(settings.start_rounds):
+    for _ in range(settings.start_rounds if some else 0):
         begun = Expected(settings.states, len(unigram))
         begun.add(model, some)
         model = model_of(begun, unigram, 0.0, 0.02 * size / settings.states)

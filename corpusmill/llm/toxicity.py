@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusmill.llm.common import forget, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
@@ -181,6 +182,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     settings = model.settings
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     names = docs.columns
+    if "toxic_score" in names:
+        raise ValueError("documents already have a column toxic_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -190,10 +193,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 scores = [own.score(features_of(t or "", settings)) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "toxic_score"])
 
-    schema = docs.schema.add("toxic_score", "double") if "toxic_score" not in names else None
-    if schema is None:
-        raise ValueError("documents already have a column toxic_score")
-    schema = type(schema)([f for f in schema.fields])
+    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
     return docs.select(*names, text_or_empty().alias("toxic_text")).mapInArrow(run, schema)
 
 
