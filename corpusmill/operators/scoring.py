@@ -80,7 +80,10 @@ def summarize(scores: DataFrame) -> DataFrame:
         mean("generated_tokens", 3).alias("mean_generated_tokens"),
         mean("seconds", 6).alias("mean_seconds_per_sample"),
     )
-    return rows.select(F.when(F.col("all_rows") == 1, "overall").otherwise(F.col("target_language")).alias("grp"), *rows.columns[2:])
+    named = rows.select(F.when(F.col("all_rows") == 1, "overall").otherwise(F.col("target_language")).alias("grp"), *rows.columns[2:])
+    # A rollup of no rows has no row at all.
+    overall = scores.sparkSession.range(1).select(F.lit("overall").alias("grp"))
+    return overall.join(named, "grp", "full").na.fill(0)
 
 
 REPORT = (

@@ -350,6 +350,10 @@ def target_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", metrics.target_language(prompt_of(F.col("item_id")), reference).alias("target_language"))
 
 
+def rint_sql(c: str, digits: int) -> str:
+    return f"round_even({c} * 1e{digits}, 0) / 1e{digits}"
+
+
 def mean_sql(c: str, digits: int, yi: bool = False) -> str:
     return f"round(coalesce(avg({c}::double)" + (" filter (target_language = 'yi')" if yi else "") + f", 0.0), {digits})"
 
@@ -373,7 +377,7 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {GENERATIONS}, {SUMMARY.format('scores')} select list_position(['overall', 'yi', 'zh', 'en', 'unknown'], grp)::bigint as place,
-  printf('| %s | %d | %.4f | %.2f | %.3f | %.4f | %.4f | %.4f | %.1f | %.4f | %.4f | %.1f | %.4f |', grp, records, compact_exact_match, mean_chrf2, mean_cer, empty_rate, length_truncation_rate, thinking_terminated_rate, mean_thinking_chars, replacement_character_rate, yi_exact_match, mean_generated_tokens, mean_seconds_per_sample) as line from summary""")
+  printf('| %s | %d | %.4f | %.2f | %.3f | %.4f | %.4f | %.4f | %.1f | %.4f | %.4f | %.1f | %.4f |', grp, records, {', '.join(rint_sql(c, int(f[2])) for _, c, f in scoring.REPORT[1:])}) as line from summary""")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.report_lines(summary(spark, sf_dir))
 
