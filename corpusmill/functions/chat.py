@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import or_empty, rstrip
 
+#: A template for tokenizers that marks what an assistant writes.
+GENERATION_TEMPLATE = (
+    "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\\n' }}"
+    "{% if message['role'] == 'assistant' %}{% generation %}{{ message['content'] + '<|endoftext|>' }}{% endgeneration %}"
+    "{% else %}{{ message['content'] + '<|im_end|>\\n' }}{% endif %}{% endfor %}"
+    "{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+)
 MESSAGES = "array<struct<role:string,content:string>>"
 # Fixed values of the chat markup.
 START, END, EOS = "<|im_start|>", "<|im_end|>\n", "<|endoftext|>"
@@ -14,6 +21,12 @@ EMPTY_THINKING = "<think>\n\n</think>\n\n"
 NO_THINK = "/no_think"
 
 
+def template_for(installed: str | None, assistant_only_loss: bool) -> str | None:
+    """The template to use: the installed one, unless a loss on assistant text needs marks that it lacks."""
+    marked = installed is not None and "{% generation %}" in installed and "{% endgeneration %}" in installed
+    return installed if marked or not assistant_only_loss else GENERATION_TEMPLATE
+
+
 def header(role: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"))
 

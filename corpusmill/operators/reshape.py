@@ -86,3 +86,9 @@ def benchmark_items(source: DataFrame, name: str, dataset_id: str, split: str =
         answer.alias("reference"),
         F.when(answer == "", "output_empty").when(instruction == "", "instruction_empty").alias("error"),
     )
+
+
+def zipped(*arrays: str) -> Column:
+    """Arrays side by side, element by element; an error at run time if their sizes differ."""
+    sizes = F.array_distinct(F.array(*(F.coalesce(F.size(a), F.lit(-1)) for a in arrays)))
+    return F.when(F.size(sizes) == 1, F.arrays_zip(*arrays)).otherwise(F.raise_error(F.lit("arrays differ in size")))

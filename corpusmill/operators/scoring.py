@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import metrics
 from corpusmill.functions.numbers import rounded
 from corpusmill.functions.text import REPLACEMENT, compact, normalize, or_empty, yi_only
+from corpusmill.operators.integrity import has_loop
 
 LANGUAGES = ("yi", "zh", "en", "unknown")
 
@@ -114,3 +115,9 @@ def report(label: str, summary: DataFrame) -> str:
     head = ["Split", *(n for n, _, _ in REPORT)]
     rows = [r["line"] for r in report_lines(summary).orderBy("place").collect()]
     return "\n".join([f"# Evaluation: {label}", "", f"| {' | '.join(head)} |", "|---" + "|---:" * len(REPORT) + "|", *rows]) + "\n"
+
+
+def truncation_kind(rows: DataFrame, reference_tokens: str, generated_tokens: str = "generated_tokens") -> DataFrame:
+    """`rows` with `truncation`: null unless a length limit stopped a row; then runaway_repetition, reference_too_long or other."""
+    kind = F.when(has_loop(or_empty(F.col("response"))), "runaway_repetition").when(F.col(reference_tokens) > F.col(generated_tokens), "reference_too_long").otherwise("other")
+    return rows.withColumn("truncation", F.when(F.col("stop_reason") == "length", kind))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, metrics, text
 from corpusmill.functions import tokens as tok
-from corpusmill.operators import chunk, gates, integrity, leakage, numeric, profile, reshape, resume, scoring
+from corpusmill.operators import chunk, gates, integrity, leakage, numeric, profile, reshape, resume, scoring, statistics
 from corpusmill.sources import files, jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,3 +536,25 @@ def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     planted = F.when(n % 3 == 0, F.concat(F.substring("text", 1, 40), F.lit("abcabcabcabcabc"))).otherwise(F.substring("text", 1, 40))
     return table(spark, sf_dir, "documents").where(n % 3 == 0).select("doc_id", integrity.has_loop(planted).alias("loops"))
+
+
+@query("""
+with l as (select quality, toxic from labels where quality is not null and toxic is not null), n as (select count(*)::double as k, sum((quality = toxic)::int)::double as same, sum(quality)::double as q, sum(toxic)::double as t from l),
+e as (select k, same / k as o, (q * t + (k - q) * (k - t)) / (k * k) as x from n)
+select k::bigint as pairs, round(o, 6) as observed, round(x, 6) as expected, round((o - x) / (1 - x), 6) as kappa from e""")
+def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.agreement(table(spark, sf_dir, "labels"), "quality", "toxic").withColumns({c: F.round(c, 6) for c in ("observed", "expected", "kappa")})
+
+
+@query("""
+with r as (select lang, doc_id % 7 as rating from documents) select lang, count(*)::bigint as ratings, round(avg(rating), 6) as mean_rating, count(*) filter (rating = 1)::bigint as n1, count(*) filter (rating = 2)::bigint as n2,
+  count(*) filter (rating = 3)::bigint as n3, count(*) filter (rating = 4)::bigint as n4, count(*) filter (rating = 5)::bigint as n5 from r where rating between 1 and 5 group by lang""")
+def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 7).alias("rating"))
+    return statistics.rating_summary(rated, "lang").withColumn("mean_rating", F.round("mean_rating", 6))
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = scored(spark, sf_dir).select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), "chrf2")
+    return statistics.bootstrap_interval(items, "id", "chrf2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import MESSAGES
 from corpusmill.functions.text import SPACE, is_blank
+from corpusmill.operators.resume import merged
 
 FIELDS = {"cpt": ("text", "string"), "sft": ("messages", MESSAGES)}
 
@@ -70,3 +71,10 @@ def write(df: DataFrame, path: str, files: int | None = None) -> None:
 def write_buckets(df: DataFrame, path: str, *columns: str) -> None:
     """One folder of JSON lines per value of `columns`."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(*columns).json(path)
+
+
+def write_merged(parts: list[DataFrame], path: str, key: str = "source_index") -> int:
+    """All parts in order of `key` in one file; the number of rows."""
+    rows = merged(parts, key)
+    write(rows, path, files=1)
+    return rows.sparkSession.read.text(path).count()

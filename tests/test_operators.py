@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
-from corpusmill.operators import chunk, config, gates, integrity, leakage, numeric, profile, reshape, resume, scoring
+from corpusmill.operators import chunk, config, gates, integrity, leakage, numeric, profile, reshape, resume, scoring, stages, statistics
 
 SFT = "id string, messages array<struct<role:string,content:string>>, reference string"
 
@@ -234,3 +234,47 @@ def test_config(tmp_path):
     (tmp_path / "VERIFIED.sha256").touch()
     assert config.verified_model({"base_model": str(tmp_path)}) == tmp_path
     assert config.effective_batch(3, 2, 8) == 48 and config.sampling_strategy(True) == "group_by_length"
+
+
+def test_statistics(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2), (None, 1)], "a int, b int")
+    got = statistics.agreement(pairs, "a", "b").first()
+    assert (got.pairs, got.observed, got.expected) == (4, 0.75, 0.5) and got.kappa == pytest.approx(0.5)
+    assert statistics.agreement(pairs.where("a = 2"), "a", "b").first().kappa == 1
+    rows = spark.createDataFrame([("x", r) for r in (1, 5, 5, 9, None)], "g string, rating int")
+    assert tuple(statistics.rating_summary(rows, "g").first())[1:] == (3, pytest.approx(11 / 3), 1, 0, 0, 0, 2)
+    rng = random.Random(1)
+    items = spark.createDataFrame([(i, rng.gauss(10, 2)) for i in range(400)], "id int, m double")
+    a, b = (statistics.bootstrap_interval(items.repartition(n), "id", "m").first() for n in (1, 7))
+    assert a.low < a.mean < a.high and 0.3 < a.high - a.low < 0.5 and a.low == pytest.approx(b.low) and a.high == pytest.approx(b.high)
+    assert statistics.across_runs(items.withColumn("g", F.lit(1)), "m", "g").first().runs == 400
+
+
+def test_zipped_arrays(spark):
+    frame = lambda *r: spark.createDataFrame(r, "x array<int>, y array<string>")
+    assert [tuple(z) for z in frame(([1, 2], ["a", "b"])).select(reshape.zipped("x", "y").alias("z")).first().z] == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="differ in size"):
+        frame(([1], ["a", "b"])).select(reshape.zipped("x", "y")).collect()
+
+
+def test_truncation_kinds(spark):
+    rows = [("length", "abababababab", 9, 3), ("length", "words", 9, 3), ("length", "words", 2, 3), ("eos", "abababab", 9, 3)]
+    got = scoring.truncation_kind(spark.createDataFrame(rows, "stop_reason string, response string, r int, generated_tokens int"), "r").collect()
+    assert [r.truncation for r in got] == ["runaway_repetition", "reference_too_long", "other", None]
+
+
+def test_stages_run_once(tmp_path):
+    made = []
+    run = lambda name, needs=(): stages.run_stage(tmp_path / name, lambda p: made.append(p.name), needs)
+    assert run("a") and not run("a") and run("b", (tmp_path / "a" / stages.DONE,)) and made == ["a", "b"]
+    with pytest.raises(FileNotFoundError, match="not finished"):
+        run("c", (tmp_path / "x",))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/part").touch()
+    with pytest.raises(FileExistsError, match="without DONE"):
+        run("d")
+
+
+def test_template_choice():
+    assert chat.template_for("plain", False) == "plain" and chat.template_for("plain", True) == chat.GENERATION_TEMPLATE == chat.template_for(None, True)
+    assert chat.template_for(chat.GENERATION_TEMPLATE + " ", True) == chat.GENERATION_TEMPLATE + " "

@@ -6,7 +6,7 @@ import struct
 
 import pytest
 
-from corpusmill.sources import files, jsonl
+from corpusmill.sources import files, jsonl, provenance
 from corpusmill.streaming.batches import handle_available
 
 
@@ -78,3 +78,18 @@ def test_micro_batches_are_taken_up_again(spark, tmp_path):
     run("c1")
     run("c2")  # a lost checkpoint: all input comes again
     assert sorted(r.source_index for r in spark.read.parquet(out).collect()) == list(range(9))
+
+
+def test_merged_parts_are_one_ordered_file(spark, tmp_path):
+    parts = [spark.createDataFrame([(i, f"t{i}") for i in range(k, 10, 3)], "source_index long, t string") for k in range(3)]
+    assert jsonl.write_merged(parts, str(tmp_path / "m")) == 10
+    (part,) = (tmp_path / "m").glob("part-*")
+    assert [json.loads(x)["source_index"] for x in part.read_text().splitlines()] == list(range(10))
+
+
+def test_provenance(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc")
+    got = provenance.run_record(spark, tmp_path, [str(tmp_path / "f")], "0, Card A, 1.2, 24 GB, 8.6\n\n1, Card B, 1.2, 24 GB, 8.6")
+    assert got["inputs"][0]["bytes"] == 3 and got["inputs"][0]["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert [g["name"] for g in got["gpus"]] == ["Card A", "Card B"] and got["git"]["dirty"] is False
+    assert provenance.command_output(["no-such-command"]) is None
