@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import id_remainder, text_or_empty, written
+from corpusmill.llm.common import hashed_sample, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, ids binary, known_tokens long, base double, rare array<struct<word:string,n:long>>"
@@ -82,6 +82,19 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(vocabulary: DataFrame, most: int) -> list[Row]:
+    """The words of the highest frequencies, in classes of like frequency, as many classes as hold `most` words at most; ordered."""
+    rank = F.floor(F.log2("n") * 64).cast("int")
+    left, least = most, None
+    for r in vocabulary.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["rank"]
+    rows = vocabulary.where(rank >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+
+
 def encoded(docs: DataFrame, symbols: dict[bytes, int], logs: np.ndarray, end_known: bool) -> DataFrame:
     """Texts as symbol ids (the rare symbol, then the end, are last), with the base score of frequent words and the end, and the rare words with counts."""
     shared = docs.sparkSession.sparkContext.broadcast((symbols, logs))
@@ -242,7 +255,7 @@ def start_model(texts: DataFrame, unigram: np.ndarray, settings: Settings) -> Mo
     """Where Baum-Welch begins: rounds over a few texts on the driver."""
     model = first_model(unigram, settings)
     some, size = [], 0
-    for r in texts.select("ids").orderBy(F.xxhash64("ids")).limit(settings.start_rows).toLocalIterator():
+    for r in hashed_sample(texts.select("ids"), settings.start_rows, "ids").toLocalIterator():
         if size < settings.start_tokens:
             some.append(np.frombuffer(r["ids"], np.int32))
             size += len(some[-1])
@@ -283,7 +296,7 @@ def language_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_train = train.count()
     n_all, v_all = int(total) + n_train, int(kinds) + (n_train > 0)
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(settings.symbols).collect()
+    top = frequent_words(vocabulary, settings.symbols)
     symbols = {r["word"].encode(): k for k, r in enumerate(top)}
     frequent = np.array([r["n"] for r in top], float)
     rare_n, rare_v = int(total) - int(frequent.sum()), int(kinds) - len(top)
