@@ -161,14 +161,20 @@ def balanced_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents the mix takes, as often as it takes them, with all their columns. Rows that agree in doc_id, source and size share their copies by rank."""
-    mix = balanced_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
-    twins = mix.groupBy("mix_id", "mix_source", "mix_size").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    keyed = docs.withColumn("mix_key_size", word_count(text_or_empty()))
-    on = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_key_size") == F.col("mix_size"))
-    taken = keyed.join(twins, on)
-    # Rows that share id, source and size are nearly always one; else they share the copies by rank.
-    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "mix_key_size").orderBy(F.xxhash64("text")))
+    """The documents the mix takes, as often as it takes them, with all their columns. Rows that agree in doc_id, source and size share their copies by rank.
+
+    Both the join and the ranks are dealt by one hashed key, so texts are moved once.
+    """
+    mix = balanced_mix(docs, **options)
+    twins = mix.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    renamed = {"doc_id": "mix_id", "source": "mix_source", "size": "mix_size"}
+    twins = twins.withColumn("mix_key", F.xxhash64("doc_id", "source", "size")).withColumnsRenamed(renamed)
+    keyed = docs.withColumn("own_size", word_count(text_or_empty())).withColumn("own_key", F.xxhash64("doc_id", "source", "own_size"))
+    # Within `coalesce` these are no join keys, so the hashed key alone deals the rows, for the ranks too.
+    alike = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+    same = alike("doc_id", "mix_id") & alike("source", "mix_source") & alike("own_size", "mix_size")
+    taken = keyed.join(twins, F.col("own_key") == F.col("mix_key")).where(same)
+    rank = F.row_number().over(Window.partitionBy("own_key", "doc_id", "source", "own_size").orderBy(F.xxhash64("text")))
     share = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (rank <= F.col("mix_copies") % F.col("mix_rows")).cast("long")
-    shared = taken.withColumn("mix_share", F.when(F.col("mix_rows") == 1, F.col("mix_copies")).otherwise(share)).where("mix_share > 0")
-    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_share").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    shared = taken.withColumn("mix_share", share.cast("int")).where("mix_share > 0")
+    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_share"))).alias("mix_copy")).drop("mix_copy")
