@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import forget, id_remainder, text_or_empty, written
+from corpusmill.llm.common import forget, hashed_sample, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,7 +111,7 @@ def bucket_counts(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def sampled_features(rows: DataFrame, settings: Settings) -> list[tuple[int, np.ndarray]]:
-    """Features of the bounded sample: of each class the rows whose hashes are smallest. The hashes alone are sorted, not the texts."""
+    """Features of the bounded sample: of each class rows picked by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,33 +119,37 @@ def sampled_features(rows: DataFrame, settings: Settings) -> list[tuple[int, np.
                 codes = [features_of(t, settings).astype("<u4").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["toxic", "features"])
 
-    mark = F.xxhash64("doc_id", "text")
     sample = []
     for toxic in (0, 1):
-        own = rows.where(F.col("toxic") == toxic)
-        last = own.select(mark.alias("mark")).orderBy("mark").limit(settings.sample).agg(F.max("mark")).first()[0]
-        picked = own.where(mark <= F.lit(last)).limit(settings.sample) if last is not None else own.limit(0)
+        picked = hashed_sample(rows.where(F.col("toxic") == toxic), settings.sample, "doc_id", "text")
         sample += picked.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, features binary").collect()
     return sorted(((r["toxic"], np.frombuffer(r["features"], "<u4")) for r in sample), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
 
 
-def fit_regression(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
-    """Logistic regression with adaptive steps over features scaled by `ratio`; both classes weigh the same."""
+def fit_regression(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, settings: Settings, part: int = 256) -> tuple[np.ndarray, float]:
+    """Logistic regression with adaptive steps over features scaled by `ratio`; both classes weigh the same. Works through `part` texts at a time."""
     y = np.array([t for t, _ in sample], float)
     if not len(y) or y.min() == y.max():
         return np.zeros_like(ratio), (0.0 if not len(y) else 3.0 if y[0] else -3.0)
-    lengths = np.array([max(1, len(f)) for _, f in sample])
-    # A text without features holds bucket 0 with value 0.
-    flat = np.concatenate([f if len(f) else np.zeros(1, "<u4") for _, f in sample]).astype(np.int32)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    value = ratio[flat].astype(np.float32) * np.repeat((np.array([len(f) > 0 for _, f in sample]) / np.sqrt(lengths)).astype(np.float32), lengths)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    parts = []
+    for k in range(0, len(y), part):
+        found = [f if len(f) else np.zeros(1, "<u4") for _, f in sample[k : k + part]]
+        lengths = np.array([len(f) for f in found])
+        # A text without features holds bucket 0 with weight 0.
+        scale = np.array([len(f) > 0 for _, f in sample[k : k + part]]) / np.sqrt(lengths)
+        parts.append((np.concatenate(found).astype(np.int32), lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]]), scale, y[k : k + part], each[k : k + part]))
+    sample.clear()
     w, bias = np.zeros(len(ratio)), 0.0
     m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), settings.rate
     for k in range(1, settings.rounds + 1):
-        z = np.add.reduceat(value * w[flat].astype(np.float32), begins) + bias
-        error = each * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.append(np.bincount(flat, value * np.repeat(error.astype(np.float32), lengths), minlength=len(ratio)) + settings.ridge * w / len(y), error.sum())
+        own, slope, lean = w * ratio, np.zeros(len(ratio)), 0.0
+        for flat, lengths, begins, scale, truth, weight in parts:
+            z = np.add.reduceat(own[flat], begins) * scale + bias
+            error = weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - truth)
+            slope += np.bincount(flat, np.repeat(error * scale, lengths), minlength=len(ratio))
+            lean += error.sum()
+        slope = np.append(slope * ratio + settings.ridge * w / len(y), lean)
         m = 0.9 * m + 0.1 * slope
         v = 0.99 * v + 0.01 * slope * slope
         move = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
