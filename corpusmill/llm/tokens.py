@@ -59,7 +59,7 @@ class PieceEncoder:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def _word(self, word: str) -> bytes | None:
-        """Ids of a run of letters, which the tokenizer's rules keep in one piece; None if they may change it."""
+        """Ids of a run of letters by the tokenizer's model, as its rules keep it in one piece; None if they may change it."""
         if not self.spaces:
             if not word.isascii() and (not is_normalized("NFC", word) or "\u03a3" in word):
                 return None
@@ -69,32 +69,39 @@ class PieceEncoder:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
         return packed([t.id for t in self.model.tokenize("\u0120" + shown if self.spaces else shown)])
 
+    def _joint(self, pieces: list[str], part: int = 1000) -> dict[str, bytes]:
+        """Ids of pieces encoded many at a time with a mark between them; pieces that hold the mark are encoded alone."""
+        mark, gap, head = ("\n", "\n", " ") if self.spaces else ("!", " ! ", "")
+        found = {p: self.whole(head + p) for p in pieces if mark in p}
+        plain = [p for p in pieces if mark not in p] if found else pieces
+        for k in range(0, len(plain), part):
+            some = plain[k : k + part]
+            text = head + (gap + head).join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            found.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+        return found
+
     def _learn(self, new: list[str]) -> dict[str, bytes | bool]:
+        """Ids of pieces not known yet. A piece that is a run of letters and a mark has the ids of one and the other."""
         found: dict[str, bytes | bool] = {}
-        rest = []
+        ended: list[tuple[str, str, bytes]] = []
+        rest, words = [], set()
         for p in new:
-            word, mark = (p, b"") if p.isalpha() else (p[:-1], self.marks.get(p[-1:]))
-            code = None
-            if mark is not None and word.isalpha():
-                code = self.known.get(word) or found.get(word) or self._word(word)
-            if code is None:
-                rest.append(p)
+            if p.isalpha():
+                words.add(p)
+            elif (mark := self.marks.get(p[-1:])) is not None and p[:-1].isalpha():
+                ended.append((p, p[:-1], mark))
+            elif self.spaces and (not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)):
+                found[p] = False
             else:
-                found[p] = code + mark
-        if self.spaces:
-            odd = {p: False for p in rest if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)}
-            found |= odd
-            rest = [p for p in rest if p not in odd] if odd else rest
-        mark, gap = ("\n", "\n") if self.spaces else ("!", " ! ")
-        head = " " if self.spaces else ""
-        found.update((p, self.whole(head + p)) for p in rest if mark in p)
-        plain = [p for p in rest if mark not in p]
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([gap.join([head + p for p in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            raw = ids.tobytes()
-            found.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+                rest.append(p)
+        words |= {w for _, w, _ in ended if w not in self.known}
+        codes = {w: self._word(w) for w in words}
+        found |= {w: c for w, c in codes.items() if c is not None}
+        found |= self._joint([*(w for w, c in codes.items() if c is None), *rest])
+        found.update((p, (self.known.get(w) or found[w]) + mark) for p, w, mark in ended)
         if len(self.known) + len(found) > self.most:
             self.known = dict(islice(self.known.items(), self.keep))
         self.known.update(found)
