@@ -11,28 +11,33 @@ from corpusmill.llm.common import forget, written
 def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges`.
 
-    Alternates large-star and small-star steps until the edges stand still; then every node points to the
+    Alternates large-star and small-star steps until every node that is no smallest one has one edge, to the
     smallest of its component. Only minima per node are aggregated and joined, so a hub is no group of rows in
     one task, and each round is written to the shared folder. The number of rounds is logarithmic.
     """
     both = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, before = written(both, "links"), None
+    now = written(both, "links")
     for _ in range(most_rounds):
+        if all_stars(now):
+            break
         large = written(large_star(now), "links-large")
         small = written(small_star(large), "links-small")
-        forget(large)
-        mark = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        forget(now)
+        forget(large, now)
         now = small
-        if mark == before:
-            break
-        before = mark
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
 
 
+def all_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down at most, and none if an edge ends in it."""
+    one = F.lit(1).cast("long")
+    ends = edges.select(F.col("u").alias("node"), one.alias("down"), (one - 1).alias("ends")).unionByName(edges.select(F.col("v").alias("node"), (one - 1).alias("down"), one.alias("ends")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("ends").alias("ends"))
+    return nodes.where("down > 1 or (down = 1 and ends = 1)").isEmpty()
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

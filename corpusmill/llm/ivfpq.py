@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import written
-from corpusmill.llm.vectors import codebook, sample_units, squared_distances, unit_vectors
+from corpusmill.llm.vectors import codebook, nearest_centres, sample_rows, sample_units, squared_distances, unit_vectors
 
 
 @dataclass
@@ -33,21 +33,20 @@ class Index:
     rerank: int
 
     def nearest_list(self, x: np.ndarray) -> np.ndarray:
-        return squared_distances(x, self.coarse).argmin(1)
+        return nearest_centres(x, self.coarse)[0]
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[lists]
-        return np.stack([squared_distances(rest[:, i:j], b).argmin(1) for (i, j), b in zip(self.bounds, self.books, strict=True)], axis=1).astype(np.uint8)
+        return np.stack([nearest_centres(rest[:, i:j], b)[0] for (i, j), b in zip(self.bounds, self.books, strict=True)], axis=1).astype(np.uint8)
 
     def tables(self, x: np.ndarray, one_list: int) -> list[np.ndarray]:
         rest = x - self.coarse[one_list]
         return [squared_distances(rest[:, i:j], b) for (i, j), b in zip(self.bounds, self.books, strict=True)]
 
 
-def fit_index(sample: np.ndarray, rows: int, spaces: int, recall: float, k: int, chunk_rows: int, most_lists: int = 1024, seed: int = 11) -> Index:
+def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int, chunk_rows: int, seed: int = 11) -> Index:
     """Coarse centroids and codebooks fitted on `sample`; probes and rerank set so that the sample's own nearest are found with `recall`."""
-    lists = int(np.clip(np.sqrt(rows), 1, min(most_lists, max(1, len(sample) // 16))))
-    coarse = codebook(sample, lists, seed=seed)
+    coarse = codebook(sample, min(lists, max(1, len(sample) // 16)), seed=seed)
     width = sample.shape[1]
     cuts = np.linspace(0, width, min(spaces, width) + 1).astype(int)
     bounds = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -158,18 +157,19 @@ def search_chunks(met: DataFrame, index: Index, k: int) -> DataFrame:
     return met.select("list", "query_ids", "queries", "vec_ids", "units", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256, sample: int = 8192) -> DataFrame:
+def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256, most_lists: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score: the `k` nearest found for each query, the rows whose vec_id `modulus` divides.
 
     All rows but the query's own are candidates; ties go to the smaller vec_id. Vectors that are null, empty, zero
     or hold null or non-finite components, or have a null id, take no part; vectors of unlike dimensions never
     meet. A query among fewer than `k` candidates found gets those. Repeated rows with one id are one vector: the
-    id's own row is never its neighbour. The centroids and codebooks are fitted on `sample` vectors at most;
+    id's own row is never its neighbour. There are about as many lists
+    as the root of the number of vectors; they and the codebooks are fitted on 8,192 to 65,536 vectors (16 a list),
     every vector is indexed. An empty table gives no rows; other columns are ignored.
     """
     units = written(unit_vectors(embeddings).where("unit is not null and vec_id is not null"), "ivf-units")
-    n = units.count()
-    index = fit_index(sample_units(units, sample), n, spaces, recall, k, chunk_rows)
+    lists = int(np.clip(np.sqrt(units.count()), 1, most_lists))
+    index = fit_index(sample_units(units, sample_rows(lists)), lists, spaces, recall, k, chunk_rows)
     rows = written(indexed(units, index, chunk_rows), "ivf-rows")
     asked = units.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query")).dropDuplicates(["query_id"])
     visited = written(probes(asked, index), "ivf-probes")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
-from corpusmill.llm.vectors import codebook, sample_units, squared_distances, unit_vectors
+from corpusmill.llm.vectors import codebook, sample_rows, sample_units, squared_distances, unit_vectors
 
 
 @dataclass
@@ -61,13 +61,12 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, reach: float) -> Iterator[tuple
                 heapq.heappush(heap, (p[n[0]] + q[n[1]], *n))
 
 
-def fit_grid(sample: np.ndarray, rows: int, threshold: float, recall: float, cell_rows: int, most: int = 256, seed: int = 5) -> Grid:
-    """Codebooks for `rows` vectors with about `cell_rows` in a cell, and the reach.
+def fit_grid(sample: np.ndarray, size: int, threshold: float, recall: float, seed: int = 5) -> Grid:
+    """Codebooks of `size` centres for either half, and the reach.
 
     The reach is the `recall` quantile, over the sample, of what is needed to get from a vector turned by the
     threshold's angle in a random direction to the cell of the vector itself.
     """
-    size = int(np.clip(np.ceil(np.sqrt(max(1, rows) / cell_rows)), 1, most))
     half = max(1, sample.shape[1] // 2)
     grid = Grid(codebook(sample[:, :half], size), codebook(sample[:, half:], size) if sample.shape[1] > half else np.zeros((1, sample.shape[1] - half)), 0.0)
     if len(sample):
@@ -172,27 +171,33 @@ def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a, np.array(more_a, int)]).astype(int), np.concatenate([b, np.array(more_b, int)]).astype(int)
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float = 0.995, cell_rows: int = 64, part_rows: int = 256, sample: int = 8192) -> DataFrame:
+def dealt_parts(rows: DataFrame, size: str, part_rows: int, names: tuple[str, str, str]) -> DataFrame:
+    """Rows of each cell in parts of about `part_rows`, as arrays in order of id; `size` is the column with the cell's number of rows."""
+    part = F.pmod(F.xxhash64("first_id"), F.ceil(F.col(size) / part_rows).cast("long"))
+    members = F.sort_array(F.collect_list(F.struct("first_id", "unit", "copies")))
+    grouped = rows.groupBy("cell", part.alias("part")).agg(members.alias("m"))
+    return grouped.select("cell", "part", *(F.col(f"m.{c}").alias(n) for c, n in zip(("first_id", "unit", "copies"), names, strict=True)))
+
+
+def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float = 0.995, cell_rows: int = 64, part_rows: int = 256, most_centres: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row for each row of `embeddings`.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay. Vectors of
-    unlike dimensions never link. Equal vectors link with each other. The codebooks are fitted on `sample` vectors at
-    most; every vector is indexed. A row with a null id is a row like others, its component is the smallest
+    unlike dimensions never link. Equal vectors link with each other. Cells hold about `cell_rows` vectors; their
+    codebooks are fitted on 8,192 to 65,536 vectors (16 a centre), every vector is indexed. A row with a null id is a row like others, its component is the smallest
     known id. An empty table gives no rows; other columns are ignored.
     """
     units = written(unit_vectors(embeddings), "grid-units")
     groups = written(units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "grid-groups")
     # A null id cannot name a group: groups are named by their smallest id, or by a negative hash of the vector.
     groups = groups.withColumn("first_id", F.coalesce("first_id", -1 - F.pmod(F.xxhash64("unit"), F.lit(2**62))))
-    n = groups.count()
-    grid = fit_grid(sample_units(groups, sample), n, threshold, recall, cell_rows)
+    size = int(np.clip(np.ceil(np.sqrt(max(1, groups.count()) / cell_rows)), 1, most_centres))
+    grid = fit_grid(sample_units(groups, sample_rows(size)), size, threshold, recall)
     members = written(visits(groups, grid), "grid-visits")
     sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("long")).alias("homes"))
     dealt = members.join(written(sizes.where("homes > 0 and rows > 1"), "grid-cells"), "cell")
-    part = lambda count: F.pmod(F.xxhash64("first_id"), F.ceil(F.col(count) / part_rows).cast("long"))
-    packed = lambda rows, to: rows.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("first_id", "unit", "copies"))).alias("m")).select("cell", "part", *(F.col(f"m.{c}").alias(n) for c, n in zip(("first_id", "unit", "copies"), to, strict=True)))
-    homes = written(packed(dealt.where("home").withColumn("part", part("homes")), ("ids", "units", "copies")), "grid-homes")
-    guests = written(packed(dealt.where("not home").withColumn("part", part("rows")), ("other_ids", "other_units", "other_copies")), "grid-guests")
+    homes = written(dealt_parts(dealt.where("home"), "homes", part_rows, ("ids", "units", "copies")), "grid-homes")
+    guests = written(dealt_parts(dealt.where("not home"), "rows", part_rows, ("other_ids", "other_units", "other_copies")), "grid-guests")
     others = homes.select("cell", F.col("part").alias("other_part"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("copies").alias("other_copies"))
     within = homes.join(others, "cell").where("part <= other_part").withColumn("same", F.col("part") == F.col("other_part")).drop("other_part")
     across = homes.join(guests.withColumnRenamed("part", "other_part"), "cell").withColumn("same", F.lit(False)).drop("other_part")
@@ -206,3 +211,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float =
     result = units.join(named, F.col("unit") == F.col("group_unit"), "left")
     component = F.coalesce("named", "vec_id")
     return result.select("vec_id", F.coalesce("group_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def oracle(threshold: float = 0.95) -> str:
+    """DuckDB SQL over all pairs, for vectors that all take part; the index finds the same where its recall is whole."""
+    return f"""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings),
+pairs as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= {threshold}),
+reached(vec_id, c) as (select vec_id, vec_id from e union select p.b, r.c from reached r join pairs p on p.a = r.vec_id),
+least as (select vec_id, min(c) as component_id from reached group by vec_id),
+links as (select a, count(*) as n from pairs group by a)
+select l.vec_id, coalesce(links.n, 0)::bigint as n_links, component_id, l.vec_id = component_id as kept from least l left join links on links.a = l.vec_id"""

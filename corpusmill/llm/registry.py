@@ -68,5 +68,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_multi_index": multi_index.oracle(),
     "op10_templates": templates.oracle(),
 }

@@ -162,7 +162,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaces: bool, end
                         writer.add(doc_id, ids + end)
                         n_docs += 1
             writer.close()
-        store.move(draft, path)
+        if store.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            store.move(draft, path)
+        else:  # an earlier run of this task has written the same
+            store.delete_file(draft)
         names = ["part", "path", "n_docs", "n_tokens"]
         values = [pa.array([part], pa.int32()), pa.array([f"{folder}/ids-{part:06d}.planes"]), pa.array([n_docs]), pa.array([writer.n_ids])]
         yield pa.RecordBatch.from_arrays(values, names=names)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import hashed_sample
 from corpusmill.llm.tokens import slices
 
 UNIT = "vec_id long, unit binary"
@@ -43,7 +44,7 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
 
 def sample_units(units: DataFrame, rows: int) -> np.ndarray:
     """At most `rows` vectors, those whose hashed vectors are smallest, of the most common dimension."""
-    got = [r["unit"] for r in units.where("unit is not null").select("unit").orderBy(F.xxhash64("unit")).limit(rows).collect()]
+    got = [r["unit"] for r in hashed_sample(units.where("unit is not null").select("unit"), rows, "unit").collect()]
     if not got:
         return np.zeros((0, 1))
     sizes = np.bincount([len(x) for x in got])
@@ -54,6 +55,16 @@ def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x * x).sum(1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(1)[None, :])
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, part: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Place and squared distance of each row's nearest centre, `part` rows at a time."""
+    places, distances = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for k in range(0, len(x), part):
+        d = squared_distances(x[k : k + part], centres)
+        places[k : k + part] = d.argmin(1)
+        distances[k : k + part] = d.min(1)
+    return places, distances
+
+
 def codebook(sample: np.ndarray, size: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Lloyd's algorithm from sampled rows; a centre without rows takes the row that is farthest from its own."""
     rng = np.random.default_rng(seed)
@@ -63,12 +74,16 @@ def codebook(sample: np.ndarray, size: int, rounds: int = 12, seed: int = 3) ->
         return np.zeros((1, sample.shape[1]))
     centres = distinct[rng.permutation(len(distinct))[:size]].copy()
     for _ in range(rounds):
-        d = squared_distances(sample, centres)
-        own = d.argmin(1)
+        own, distance = nearest_centres(sample, centres)
         counts = np.bincount(own, minlength=size)
         sums = np.stack([np.bincount(own, sample[:, j], minlength=size) for j in range(sample.shape[1])], axis=1)
-        far = np.argsort(-d[np.arange(len(sample)), own], kind="stable")
+        far = np.argsort(-distance, kind="stable")
         centres = sums / np.maximum(counts, 1)[:, None]
         empty = np.flatnonzero(counts == 0)
         centres[empty] = sample[far[: len(empty)]]
     return centres
+
+
+def sample_rows(centres: int, least: int = 8192, most: int = 65_536) -> int:
+    """Rows to fit `centres` on: 16 each, within bounds."""
+    return int(np.clip(16 * centres, least, most))
