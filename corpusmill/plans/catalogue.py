@@ -442,12 +442,8 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with their 0-based place in order of conversation and turn: places within a conversation, after the sum of those before it."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
-    before = sizes.select("conv_id", (F.sum("n").over(Window.orderBy("conv_id")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return turns.withColumn("place", place).join(before, "conv_id").select((F.col("before") + F.col("place")).alias("source_index"), "conv_id", "turn", "text")
+    """Turns with their 0-based place in order of conversation and turn."""
+    return resume.with_places(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", ["conv_id", "turn"])
 
 
 @query("select row_number() over (order by conv_id, turn) - 1 as source_index, conv_id, turn, sha256(text) as value_sha from conversations")

@@ -278,3 +278,13 @@ def test_stages_run_once(tmp_path):
 def test_template_choice():
     assert chat.template_for("plain", False) == "plain" and chat.template_for("plain", True) == chat.GENERATION_TEMPLATE == chat.template_for(None, True)
     assert chat.template_for(chat.GENERATION_TEMPLATE + " ", True) == chat.GENERATION_TEMPLATE + " "
+
+
+def test_places(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([5, 5, 5, rng.randrange(1000)]), i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k int, i int")
+    want = [(p, *r) for p, r in enumerate(sorted(rows))]
+    for n in (None, 1, 7, 64):
+        assert sorted(tuple(r) for r in resume.with_places(frame.repartition(5), "k", ["k", "i"], buckets=n).collect()) == want
+    assert resume.with_places(frame.limit(0), "k", ["k", "i"]).count() == 0
