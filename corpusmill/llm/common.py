@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        folder = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder[app] = "file://" + folder
     return _own_folder[app]
 
 

@@ -45,8 +45,14 @@ class Index:
 
 
 def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int, chunk_rows: int, seed: int = 11) -> Index:
-    """Coarse centroids and codebooks fitted on `sample`; probes and rerank set so that the sample's own nearest are found with `recall`."""
-    coarse = codebook(sample, min(lists, max(1, len(sample) // 16)), seed=seed)
+    """Coarse centroids and codebooks fitted on three quarters of `sample`; probes and rerank set on the rest.
+
+    Rows that centroids were fitted on lie nearer to them than others do, so the nearest of the rest, among the
+    rest, say how many lists must be visited and how deep approximate ranks must be followed for `recall`.
+    """
+    kept = len(sample) - len(sample) // 4
+    fitted, rest = sample[:kept], sample[kept:]
+    coarse = codebook(fitted, min(lists, max(1, kept // 16)), seed=seed)
     width = sample.shape[1]
     cuts = np.linspace(0, width, min(spaces, width) + 1).astype(int)
     bounds = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -54,24 +60,23 @@ def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int
     if not len(sample):
         index.books = [np.zeros((1, j - i)) for i, j in bounds]
         return index
-    own = index.nearest_list(sample)
-    rest = sample - coarse[own]
-    index.books = [codebook(rest[:, i:j], 256, rounds=8, seed=seed + n) for n, (i, j) in enumerate(bounds)]
-    rng = np.random.default_rng(seed)
-    asked = rng.permutation(len(sample))[:200]
-    exact = sample[asked] @ sample.T
-    exact[np.arange(len(asked)), asked] = -2.0
+    inner = fitted - coarse[index.nearest_list(fitted)]
+    index.books = [codebook(inner[:, i:j], 256, rounds=8, seed=seed + n) for n, (i, j) in enumerate(bounds)]
+    if len(rest) <= k:
+        return index
+    asked = np.arange(min(256, len(rest)))
+    exact = rest[asked] @ rest.T
+    exact[asked, asked] = -2.0
     best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    order = np.argsort(squared_distances(sample[asked], coarse), axis=1, kind="stable")
+    order = np.argsort(squared_distances(rest[asked], coarse), axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(len(coarse))[None, :].repeat(len(asked), 0), axis=1)
-    needed = np.take_along_axis(rank, own[best], axis=1)
-    index.probes = int(np.quantile(needed, recall)) + 1
-    # How far back, among approximate distances in a chunk, the sample's own nearest stand.
-    approximate = coarse[own] + np.concatenate([b[c] for b, c in zip(index.books, index.codes(sample, own).T, strict=True)], axis=1)
-    distance = squared_distances(sample[asked], approximate)
-    share = min(1.0, chunk_rows / max(1, len(sample)))
+    own = index.nearest_list(rest)
+    index.probes = int(np.quantile(np.take_along_axis(rank, own[best], axis=1), recall)) + 1
+    approximate = coarse[own] + np.concatenate([b[c] for b, c in zip(index.books, index.codes(rest, own).T, strict=True)], axis=1)
+    distance = squared_distances(rest[asked], approximate)
     place = (distance[:, None, :] < np.take_along_axis(distance, best, axis=1)[:, :, None]).sum(2)
+    share = min(1.0, chunk_rows / len(rest))
     index.rerank = int(np.clip(np.ceil(np.quantile(place, recall) * share) + 8 * k, 8 * k, chunk_rows))
     return index
 
