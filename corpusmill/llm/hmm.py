@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import hashed_sample, id_remainder, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, hashed_sample, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, ids binary, known_tokens long, base double, rare array<struct<word:string,n:long>>"
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
         words = pa.array(list(counts.keys()), pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded_batches(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(vocabulary: DataFrame, most: int) -> list[Row]:
@@ -117,7 +117,7 @@ def encoded(docs: DataFrame, symbols: dict[bytes, int], logs: np.ndarray, end_kn
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "ids", "known_tokens", "base", "rare"])
 
-    return docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, ENCODED)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, ENCODED)
 
 
 def side_by_side(texts: list[np.ndarray], cells: int = 400_000, most: int = 512) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:

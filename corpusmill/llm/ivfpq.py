@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import bounded_batches, written
 from corpusmill.llm.vectors import codebook, nearest_centres, sample_rows, sample_units, squared_distances, unit_vectors
 
 
@@ -159,7 +159,7 @@ def search_chunks(met: DataFrame, index: Index, k: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    return met.select("list", "query_ids", "queries", "vec_ids", "units", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
+    return bounded_batches(met).select("list", "query_ids", "queries", "vec_ids", "units", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256, most_lists: int = 4096) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import bounded_batches, written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
 from corpusmill.llm.vectors import codebook, sample_rows, sample_units, squared_distances, unit_vectors
@@ -140,7 +140,7 @@ def chunk_links(met: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["kind", "a", "b"])
 
     columns = ["ids", "units", "copies", "other_ids", "other_units", "other_copies", "same"]
-    return met.select(*columns).mapInArrow(run, "kind int, a long, b long")
+    return bounded_batches(met).select(*columns).mapInArrow(run, "kind int, a long, b long")
 
 
 def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import blocks_for, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, blocks_for, text_or_empty, written
 from corpusmill.llm.tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, forget, text_or_empty, written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 marks = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks)], names=["doc_id", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, mark long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, mark long")
 
 
 def key_column(k: int, positions: tuple[int, ...]):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import new_path, partitions, text_or_empty
+from corpusmill.llm.common import bounded_batches, new_path, partitions, text_or_empty
 from corpusmill.llm.tokens import encoder, slices
 
 MAGIC = b"PLANEID1"
@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaces: bool, end
     A file is written beside its place and moved there when whole, so a task that runs again does no harm.
     """
     end = np.array([end_id], "<u4").tobytes()
-    ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 from array import array
 from itertools import islice
 from unicodedata import is_normalized
@@ -47,6 +49,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.used = time.monotonic()
         self.spaces, self.most, self.keep = spaces, most, keep
         #: Ids of marks that end a piece after a run of letters.
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
@@ -108,6 +111,7 @@ class PieceEncoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        self.used = time.monotonic()
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut] if self.spaces else [""] * len(cut)
         codes = [list(map(self.known.get, c)) for c in cut]
@@ -120,15 +124,32 @@ class PieceEncoder:
         return [self.whole(t) if k in odd else self.whole(h) + b"".join(c) for k, (t, h, c) in enumerate(zip(texts, heads, codes, strict=True))]
 
 
+#: Seconds after which a worker that encodes nothing gives its encoders up: workers outlive tasks, and other work needs the memory.
+IDLE = 5.0
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def encoder(path: str, spaces: bool) -> PieceEncoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, for as long as tasks that encode follow each other."""
     key = (path, spaces)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, spaces)
-    return _encoders[key]
+    one = _encoders.get(key)
+    if one is None:
+        first, one = not _encoders, PieceEncoder(path, spaces)
+        _encoders[key] = one
+        if first:
+            threading.Thread(target=give_up_idle, daemon=True).start()
+    one.used = time.monotonic()
+    return one
+
+
+def give_up_idle() -> None:
+    """Only the references kept here go; a task that still holds its encoder goes on with it."""
+    while _encoders:
+        time.sleep(IDLE / 5)
+        for key, one in list(_encoders.items()):
+            if time.monotonic() - one.used > IDLE:
+                _encoders.pop(key, None)
+        one = None
 
 
 def slices(batch, rows: int = 256):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import forget, hashed_sample, id_remainder, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, forget, hashed_sample, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -106,7 +106,7 @@ def bucket_counts(rows: DataFrame, settings: Settings) -> DataFrame:
             columns = [np.append(used, -1), np.append(counts[1, used], texts[1]), np.append(counts[0, used], texts[0])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "toxic", "clean"])
 
-    made = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "bucket long, toxic long, clean long")
+    made = bounded_batches(rows).select("text", F.col("toxic").cast("int")).mapInArrow(run, "bucket long, toxic long, clean long")
     return made.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "toxic_score"])
 
     schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
-    return docs.select(*names, text_or_empty().alias("toxic_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*names, text_or_empty().alias("toxic_text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
