@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusmill.functions.text import REPLACEMENT, YI_SYLLABLE, casefold, is_blank, normalize, strip
 
@@ -72,6 +76,29 @@ def smoke_reasons(response: Column, expected: Column) -> Column:
     )
 
 
+def gram_score(reference: str, hypothesis: str, orders: int = CHRF_ORDERS, beta: float = CHRF_BETA) -> float:
+    """Mean over orders of the F-score of clipped n-gram matches, times 100; see `chrf2`."""
+    total, used, weight = 0.0, 0, beta * beta
+    for n in range(1, min(orders, len(reference), len(hypothesis)) + 1):
+        own = Counter([reference[i : i + n] for i in range(len(reference) - n + 1)])
+        matched = 0
+        for i in range(len(hypothesis) - n + 1):
+            gram = hypothesis[i : i + n]
+            left = own.get(gram, 0)
+            if left:
+                own[gram] = left - 1
+                matched += 1
+        total += (1 + weight) * matched / (weight * (len(reference) - n + 1) + len(hypothesis) - n + 1)
+        used += 1
+    return 100.0 * total / used if used else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def chrf2_column(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
+    """`chrf2` of each row where it lies: n-grams of long texts are many more bytes than the texts, so none are shuffled."""
+    return pd.Series([None if r is None or h is None else gram_score(r, h) for r, h in zip(references, hypotheses, strict=True)], dtype="float64")
+
+
 def character_grams(rows: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
     """(keys, n, gram) for every run of 1 to `orders` characters."""
     length = F.length(text)

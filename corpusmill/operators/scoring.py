@@ -30,8 +30,7 @@ def score(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.col("batch_seconds_per_sample"), F.lit(0.0)).cast("double").alias("seconds"),
     )
     wide = text.withColumns({"ref": compact(F.col("reference")), "hyp": compact(F.col("response")), "ref_yi": yi_only(F.col("reference")), "hyp_yi": yi_only(F.col("response")), "thought": metrics.thinking_span(F.col("response"))})
-    grams = metrics.chrf2(wide, keys, "ref", "hyp")
-    flags = wide.select(
+    return wide.select(
         *keys,
         metrics.target_language(F.col("prompt"), F.col("reference")).alias("target_language"),
         (F.col("response") == F.col("reference")).alias("exact"),
@@ -49,8 +48,8 @@ def score(rows: DataFrame, keys: list[str]) -> DataFrame:
         metrics.contained(F.col("ref_yi"), F.col("hyp_yi")).alias("yi_reference_contained"),
         "generated_tokens",
         "seconds",
+        metrics.chrf2_column(F.col("ref"), F.col("hyp")).alias("chrf2"),
     )
-    return flags.join(grams, keys)
 
 
 def summarize(scores: DataFrame) -> DataFrame:

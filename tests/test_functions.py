@@ -89,6 +89,7 @@ def test_chrf_and_error_rate(spark):
     got = {r.k: r.chrf2 for r in metrics.chrf2(rows, ["k"], "r", "h").collect()}
     for i, (r, h) in enumerate(pairs):
         assert got[i] == pytest.approx(plain_chrf(r, h), abs=1e-9)
+        assert metrics.gram_score(r, h) == pytest.approx(plain_chrf(r, h), abs=1e-9)
     cer = [r.c for r in rows.orderBy("k").select(metrics.character_error_rate(F.col("r"), F.col("h")).alias("c")).collect()]
     assert cer[:5] == [0, pytest.approx(1 / 3), 0, 0, 3]
 
