@@ -48,11 +48,11 @@ def test_inventory_and_checksums(spark, tmp_path):
     root = tmp_path / "model"
     (root / ".cache/x").mkdir(parents=True)
     (root / "sub").mkdir()
-    (root / "config.json").write_bytes(b"Nuosu\n"[::-1])
+    (root / "config.json").write_bytes(b"words\n")
     (root / "sub/w.bin").write_bytes(b"\x00\x01")
     (root / ".cache/x/download.lock").write_bytes(b"")
     got = files.write_verification(spark, str(root), repo_id="a/b")
-    assert sorted((r.path, r.bytes, r.sha256) for r in got.collect()) == [("config.json", 6, hashlib.sha256(b"\nusouN").hexdigest()), ("sub/w.bin", 2, hashlib.sha256(b"\x00\x01").hexdigest())]
+    assert sorted((r.path, r.bytes, r.sha256) for r in got.collect()) == [("config.json", 6, hashlib.sha256(b"words\n").hexdigest()), ("sub/w.bin", 2, hashlib.sha256(b"\x00\x01").hexdigest())]
     told = {r.path: r.sha256 for r in files.read_checksums(spark, str(root / "VERIFIED.sha256")).collect()}
     assert told.keys() == {"config.json", "snapshot_manifest.json", "sub/w.bin"} and told["sub/w.bin"] == hashlib.sha256(b"\x00\x01").hexdigest()
     assert json.loads((root / "snapshot_manifest.json").read_text())["repo_id"] == "a/b"
