@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import or_empty, rstrip
 
-#: A template for tokenizers that marks what an assistant writes.
+# Fixed value: the chat template for tokenizers that marks what an assistant writes.
 GENERATION_TEMPLATE = (
     "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\\n' }}"
     "{% if message['role'] == 'assistant' %}{% generation %}{{ message['content'] + '<|endoftext|>' }}{% endgeneration %}"

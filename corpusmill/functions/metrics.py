@@ -12,13 +12,84 @@ from pyspark.sql.types import DoubleType
 from corpusmill.functions.text import REPLACEMENT, YI_SYLLABLE, casefold, is_blank, normalize, strip
 
 # Phrases by which a prompt names the language it asks for, tried in this order of languages.
-OTHER_TASKS = "是否正确 判断 是否准确 验证翻译 选择".split()
-ZH_PHRASES = (
-    "中文翻译是什么 汉语翻译是什么 翻译成中文 翻译成汉语 翻译成普通话 翻译为中文 翻译为汉语 翻译为普通话 译成中文 译成汉语 译成普通话 译为中文 译为汉语 译为普通话 "
-    "翻成中文 翻成汉语 翻成普通话 用中文 用汉语 中文意思 汉语意思 在中文中 在汉语中 转写为中文 转写为汉语 中文怎么说 汉语怎么说 普通话怎么说"
-).split()
-YI_PHRASES = "彝文翻译是什么 彝语翻译是什么 翻译成彝文 翻译成彝语 翻译为彝文 翻译为彝语 译成彝文 译成彝语 译为彝文 译为彝语 翻成彝文 翻成彝语 用彝文 用彝语 彝文表达 彝语表达 的彝文 的彝语".split()
-EN_PHRASES = "英文翻译是什么 英语翻译是什么 翻译成英文 翻译成英语 翻译为英文 翻译为英语 译成英文 译成英语 译为英文 译为英语 翻成英文 翻成英语 用英文 用英语 英文意思 英语意思 在英文中 在英语中 英文怎么说 英语怎么说".split() + [
+OTHER_TASKS = [
+    "是否正确",
+    "判断",
+    "是否准确",
+    "验证翻译",
+    "选择",
+]
+ZH_PHRASES = [
+    "中文翻译是什么",
+    "汉语翻译是什么",
+    "翻译成中文",
+    "翻译成汉语",
+    "翻译成普通话",
+    "翻译为中文",
+    "翻译为汉语",
+    "翻译为普通话",
+    "译成中文",
+    "译成汉语",
+    "译成普通话",
+    "译为中文",
+    "译为汉语",
+    "译为普通话",
+    "翻成中文",
+    "翻成汉语",
+    "翻成普通话",
+    "用中文",
+    "用汉语",
+    "中文意思",
+    "汉语意思",
+    "在中文中",
+    "在汉语中",
+    "转写为中文",
+    "转写为汉语",
+    "中文怎么说",
+    "汉语怎么说",
+    "普通话怎么说",
+]
+YI_PHRASES = [
+    "彝文翻译是什么",
+    "彝语翻译是什么",
+    "翻译成彝文",
+    "翻译成彝语",
+    "翻译为彝文",
+    "翻译为彝语",
+    "译成彝文",
+    "译成彝语",
+    "译为彝文",
+    "译为彝语",
+    "翻成彝文",
+    "翻成彝语",
+    "用彝文",
+    "用彝语",
+    "彝文表达",
+    "彝语表达",
+    "的彝文",
+    "的彝语",
+]
+EN_PHRASES = [
+    "英文翻译是什么",
+    "英语翻译是什么",
+    "翻译成英文",
+    "翻译成英语",
+    "翻译为英文",
+    "翻译为英语",
+    "译成英文",
+    "译成英语",
+    "译为英文",
+    "译为英语",
+    "翻成英文",
+    "翻成英语",
+    "用英文",
+    "用英语",
+    "英文意思",
+    "英语意思",
+    "在英文中",
+    "在英语中",
+    "英文怎么说",
+    "英语怎么说",
     "in english",
     "into english",
     "english equivalent",
