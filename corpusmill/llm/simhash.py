@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_batches, forget, text_or_empty, written
@@ -50,16 +50,22 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number."""
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as a signed 64-bit number; if `keyed`, also simhash_key, a hash of id and text."""
+    keys = [row_key().alias("simhash_key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 marks = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks)], names=["doc_id", "mark"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(marks)], names=["doc_id", *part.schema.names[2:], "mark"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, mark long")
+    schema = "doc_id long, simhash_key long, mark long" if keyed else "doc_id long, mark long"
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *keys).mapInArrow(run, schema)
 
 
 def key_column(k: int, positions: tuple[int, ...]):
@@ -168,8 +174,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, longest: int = 512) -> Data
     return marked.join(of_mark, "mark").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all columns. Of rows that repeat such an id one stays."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("component_id").alias("doc_id")).distinct()
-    best = docs.join(kept, "doc_id", "left_semi")
-    return best.dropDuplicates(["doc_id"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, width: int = 3, longest: int = 512) -> DataFrame:
+    """One row of each component, with all columns: that with the smallest id, then the smallest hash of id and text.
+
+    A null id comes after all others, so a component whose ids are all null keeps a row too. Rows that share an id
+    but not a component stand for themselves; of rows with one id and one text any one stays.
+    """
+    marked = written(fingerprints(docs, width, keyed=True), "simhash-marks")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "simhash_key")
+    heads = written(marked.groupBy("mark").agg(F.min(row).alias("head")), "simhash-heads")
+    groups = written(connected(near_links(heads.select("mark"), longest), "a", "b"), "simhash-groups")
+    joined = heads.join(groups.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    best = joined.groupBy("component").agg(F.min("head").alias("head"))
+    kept = written(best.select(F.col("head.doc_id").alias("kept_id"), F.col("head.simhash_key").alias("kept_key")), "simhash-kept")
+    forget(marked, heads, groups)
+    rows = docs.withColumn("simhash_key", row_key())
+    same = (F.col("simhash_key") == F.col("kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "simhash_key"]).select(*docs.columns)

@@ -105,3 +105,24 @@ def test_one_of_each_group_stays(spark):
     out = simhash.one_of_each(frame(spark, rows))
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 8]
     assert out.columns == frame(spark, rows).columns
+
+
+def test_every_component_keeps_exactly_one_row(spark):
+    rows = [
+        (None, words(50, 1), "en", "a", 1),  # null id, a text of its own
+        (None, words(50, 2), "en", "a", 2),  # null ids alone, twice the same text
+        (None, words(50, 2), "en", "a", 2),
+        (None, words(50, 3), "en", "a", 3),  # a known id goes first
+        doc(7, words(50, 3)),
+        doc(8, words(50, 4)),  # one id, unrelated texts
+        doc(8, words(50, 5)),
+        (None, None, None, None, None),  # no text and the empty text are one component
+        (None, "", None, None, None),
+    ]
+    got = [(r.doc_id, r.text or "") for r in simhash.one_of_each(frame(spark, rows)).collect()]
+    want = [(None, words(50, 1)), (None, words(50, 2)), (7, words(50, 3)), (8, words(50, 4)), (8, words(50, 5)), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    odd = odd_docs()
+    kept = simhash.one_of_each(frame(spark, odd)).collect()
+    marks = [plain(r[1]) for r in odd]
+    assert len(kept) == len(set(plain_components(marks)))
