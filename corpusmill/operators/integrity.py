@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,45 @@ def hash_split(key: Column, train: int = 80, validation: int = 10) -> Column:
     return F.when(place < train, "train").when(place < train + validation, "validation").otherwise("test")
 
 
+def loops(text: str, least: int = 2, repeats: int = 4) -> bool:
+    """Whether some run of `least` characters or more, of any length, comes `repeats` times (3 at least) in a row.
+
+    Such a run has a smallest period p. Of windows of W characters, p < W <= 2p, those in the run come again p places
+    on and not before, so the distance to a window's next occurrence tells p; W goes through the powers of two.
+    """
+    t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, width = len(t), 2
+    marks = t.astype(np.uint64)
+    while repeats * (width // 2) <= n and width <= n:
+        half = width // 2
+        # Hashes of twice the length from pairs of hashes; equal windows always have equal hashes.
+        mixed = (marks[:-half] ^ marks[:-half] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(width)
+        marks = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) + marks[half:]
+        order = np.argsort(marks, kind="stable")
+        again = np.flatnonzero(marks[order[1:]] == marks[order[:-1]])
+        gaps = np.zeros(len(marks), np.int64)
+        gaps[order[again]] = order[again + 1] - order[again]
+        cuts = np.flatnonzero(np.diff(gaps, prepend=-1))
+        lengths = np.diff(cuts, append=len(gaps))
+        gap = gaps[cuts]
+        whole = gap * -(-least // np.maximum(gap, 1))  # the least multiple of the period that is long enough
+        found = (gap >= half) & (gap < width) & (lengths + width - 1 + gap >= repeats * whole)
+        for start, p, size in zip(cuts[found].tolist(), gap[found].tolist(), (repeats * whole)[found].tolist(), strict=True):
+            if np.array_equal(t[start : start + size - p], t[start + p : start + size]):
+                return True
+        width *= 2
+    return False
+
+
 def has_loop(text: Column, least: int = 2, repeats: int = 4) -> Column:
-    """Whether a run of `least` characters or more comes `repeats` times in a row."""
-    return text.rlike(f"(?s)(.{{{least},40}}?)\\1{{{repeats - 1},}}")
+    """Whether a run of `least` characters or more comes `repeats` times in a row; null for a null text. Units have any length."""
+    if repeats < 3:
+        raise ValueError("repeats must be 3 or more")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else loops(t, least, repeats) for t in texts], dtype="object")
+
+    return F.pandas_udf(run, "boolean")(text.cast("string"))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, per: int) -> DataFrame:

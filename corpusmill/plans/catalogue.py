@@ -534,6 +534,12 @@ def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(n % 3 == 0).select("doc_id", integrity.has_loop(planted).alias("loops"))
 
 
+@query()
+def repetition_loops_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops in the whole text of every document, units of any length; SQL has no back-references, so there is none."""
+    return table(spark, sf_dir, "documents").select("doc_id", integrity.has_loop(F.col("text")).alias("loops"))
+
+
 @query("""
 with l as (select quality, toxic from labels where quality is not null and toxic is not null), n as (select count(*)::double as k, sum((quality = toxic)::int)::double as same, sum(quality)::double as q, sum(toxic)::double as t from l),
 e as (select k, same / k as o, (q * t + (k - q) * (k - t)) / (k * k) as x from n)

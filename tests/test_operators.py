@@ -209,6 +209,24 @@ def test_resume_and_merge(spark):
         resume.first_rows(rows, ["source_index"], 0)
 
 
+def test_loops_have_units_of_any_length(spark):
+    rng = random.Random(4)
+
+    def brute(t, least=2, repeats=4):
+        return any(t[i : i + p] * repeats == t[i : i + p * repeats] for p in range(least, len(t) // repeats + 1) for i in range(len(t) - p * repeats + 1))
+
+    texts = ["", "a", "aaaaaaa", "aaaaaaaa", "x" * 3 + "abab" * 2, "\U0001f600b" * 4]
+    for k in range(400):
+        unit = "".join(rng.choice("ab" if k % 2 else "abcdefgh ") for _ in range(rng.randrange(1, 60)))
+        texts.append((unit * rng.randrange(2, 6))[: rng.randrange(1, 300)] + "".join(rng.choice("abc") for _ in range(rng.randrange(20))))
+    sentence = "This sentence is much longer than forty characters and is said again. "
+    texts += ["own words first " + sentence * 4, sentence * 3 + sentence[:-3]]
+    rows = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (-1, None)], "i int, t string")
+    got = {r[0]: r[1] for r in rows.select("i", integrity.has_loop(F.col("t"))).collect()}
+    assert got == {**{i: brute(t) for i, t in enumerate(texts)}, -1: None}
+    assert got[len(texts) - 2] and not got[len(texts) - 1] and 100 < sum(map(bool, got.values())) < 350
+
+
 def test_loops_and_samples(spark):
     rows = spark.createDataFrame([("abababab",), ("abcabcabcabc",), ("aabbccdd",), ("xy\nxy\nxy\nxy\n",), ("aaaa",)], "t string")
     assert [r[0] for r in rows.select(integrity.has_loop(F.col("t"))).collect()] == [True, True, False, True, False]
