@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_batches, written
+from corpusmill.llm.common import bounded_batches, forget, written
 from corpusmill.llm.vectors import codebook, nearest_centres, sample_rows, sample_units, squared_distances, unit_vectors
 
 
@@ -81,6 +82,12 @@ def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int
     return index
 
 
+def in_second_order(sample: np.ndarray) -> np.ndarray:
+    """`sample` in the order of another hash than it was picked by, so that its last quarter is like the rest of it."""
+    marks = [xxhash.xxh64_intdigest(np.ascontiguousarray(row, "<f8").tobytes(), 7) for row in sample]
+    return sample[np.argsort(np.array(marks, np.uint64), kind="stable")]
+
+
 def indexed(units: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
     """(list, vec_id, unit, codes) of every vector of the index's dimension; those of another have list -dimension and no codes."""
     shared = units.sparkSession.sparkContext.broadcast(index)
@@ -169,12 +176,14 @@ def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float
     or hold null or non-finite components, or have a null id, take no part; vectors of unlike dimensions never
     meet. A query among fewer than `k` candidates found gets those. Repeated rows with one id are one vector: the
     id's own row is never its neighbour. There are about as many lists
-    as the root of the number of vectors; they and the codebooks are fitted on 8,192 to 65,536 vectors (16 a list),
-    every vector is indexed. An empty table gives no rows; other columns are ignored.
+    as the root of the number of vectors; they and the codebooks are fitted on 8,192 to 65,536 distinct vectors (16 a
+    list), every vector is indexed. An empty table gives no rows; other columns are ignored.
     """
     units = written(unit_vectors(embeddings).where("unit is not null and vec_id is not null"), "ivf-units")
     lists = int(np.clip(np.sqrt(units.count()), 1, most_lists))
-    index = fit_index(sample_units(units, sample_rows(lists)), lists, spaces, recall, k, chunk_rows)
+    distinct = written(units.select("unit").distinct(), "ivf-distinct")
+    index = fit_index(in_second_order(sample_units(distinct, sample_rows(lists))), lists, spaces, recall, k, chunk_rows)
+    forget(distinct)
     rows = written(indexed(units, index, chunk_rows), "ivf-rows")
     asked = units.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query")).dropDuplicates(["query_id"])
     visited = written(probes(asked, index), "ivf-probes")

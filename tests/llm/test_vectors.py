@@ -144,3 +144,25 @@ def test_ties_go_to_smaller_ids(spark):
     rows = [(i, [1.0, 0.5, 0.0, 0.0], 0) for i in range(200)] + [(300, [0.0, 1.0, 0.0, 0.0], 0)]
     got = ivfpq.nearest(spark.createDataFrame(rows, EMB), modulus=50, chunk_rows=32).collect()
     assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 150)} == {0: [1, 2, 3, 4, 5], 150: [0, 1, 2, 3, 4]}
+
+
+def test_many_equal_vectors_do_not_set_the_probes(spark):
+    rng = np.random.default_rng(9)
+    x = [[float(np.float32(v)) for v in row] for row in rng.standard_normal((1600, 8))]
+    seen, fit = [], ivfpq.fit_index
+
+    def watched(sample, *rest, **more):
+        seen.append((sample, fit(sample, *rest, **more)))
+        return seen[-1][1]
+
+    ivfpq.fit_index = watched
+    try:
+        for k in (0, 1):  # whichever hash the repeated vector has
+            rows = [(i, v, 0) for i, v in enumerate(x)] + [(10_000 + i, x[k], 0) for i in range(800)]
+            ivfpq.nearest(spark.createDataFrame(rows, EMB), modulus=400)
+    finally:
+        ivfpq.fit_index = fit
+    for sample, index in seen:
+        assert len(np.unique(sample, axis=0)) == len(sample) == 1600
+        assert index.probes > 1
+    assert not (seen[0][0] == np.array(sorted(seen[0][0].tolist()))).all()
