@@ -18,18 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_batches, blocks_for, text_or_empty, written
-from corpusmill.llm.tokens import encoder, slices
+from corpusmill.llm.tokens import encoder, gathered, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-END = np.zeros(1, "<u4").tobytes()
+END = 0
 
 
-def cut_points(n: int, most: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of `n` ids: all of `most` ids, but for the first of a longer document."""
-    if n <= most:
-        return [(0, n)]
-    first = n % most or most
-    return [(0, first)] + [(k, most) for k in range(first, n, most)]
+def cut_points(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, piece number, start and length of the pieces of documents of `sizes` ids: all of `most` ids, but for the first of a document."""
+    n = np.maximum(1, -(-sizes // most))
+    first = sizes - (n - 1) * most
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(piece == 0, 0, first[doc] + (piece - 1) * most)
+    return doc, piece, start, np.where(piece == 0, first[doc], most)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
@@ -37,16 +39,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(tokenizer, spaces=True)
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), codes.encode(part.column(1).to_pylist()), strict=True):
-                    ids += END
-                    for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
-                        rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in gathered(batches):
+            sizes, ids = with_end(*codes.encode(batch.column(1)), END)
+            doc, piece, start, length = cut_points(sizes, most)
+            raw, ends = memoryview(ids.astype("<u4", copy=False)), np.cumsum(length)
+            checks = [zlib.crc32(raw[i:j]) for i, j in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), *(pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (checks, pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 

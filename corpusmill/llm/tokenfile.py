@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_batches, new_path, partitions, text_or_empty
-from corpusmill.llm.tokens import encoder, slices
+from corpusmill.llm.tokens import encoder, gathered, with_end
 
 MAGIC = b"PLANEID1"
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -56,27 +56,28 @@ class PlaneWriter:
             raise ValueError(f"unknown plane mode {mode}")
         self.out, self.mode, self.block = out, mode, block
         self.zip = zstandard.ZstdCompressor(level=level)
-        self.pending, self.pending_bytes, self.chunks = [], 0, []
-        self.doc_ids, self.lengths, self.at, self.n_ids = [], [], 0, 0
+        self.pending, self.n_pending, self.chunks = [], 0, []
+        self.doc_ids, self.known, self.lengths, self.at, self.n_ids = [], [], [], 0, 0
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """`ids`: little-endian unsigned 32-bit."""
-        self.doc_ids.append(doc_id)
-        self.lengths.append(len(ids) // 4)
-        self.pending.append(ids)
-        self.pending_bytes += len(ids)
-        if self.pending_bytes >= 4 * self.block:
-            data = np.frombuffer(b"".join(self.pending), "<u4")
+    def add(self, doc_ids: list[int | None] | pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in order: their ids, how many tokens each has, and all tokens one after another."""
+        doc_ids = doc_ids if isinstance(doc_ids, pa.Array) else pa.array(doc_ids, pa.int64())
+        self.known.append(doc_ids.is_valid().to_numpy(zero_copy_only=False))
+        self.doc_ids.append(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.lengths.append(np.asarray(lengths).astype("<u8"))
+        self.pending.append(np.asarray(ids, "<u4"))
+        self.n_pending += len(ids)
+        if self.n_pending >= self.block:
+            data = np.concatenate(self.pending)
             whole = len(data) - len(data) % self.block
             for k in range(0, whole, self.block):
                 self._chunk(data[k : k + self.block])
-            rest = data[whole:].tobytes()
-            self.pending, self.pending_bytes = [rest], len(rest)
+            self.pending, self.n_pending = [data[whole:].copy()], len(data) - whole
 
     def _chunk(self, ids: np.ndarray) -> None:
         planes = [self.zip.compress(p) for p in to_planes(ids, self.mode)]
@@ -86,14 +87,12 @@ class PlaneWriter:
             self._put(p)
 
     def close(self) -> None:
-        data = np.frombuffer(b"".join(self.pending), "<u4")
-        if len(data):
-            self._chunk(data)
-        known = np.array([d is not None for d in self.doc_ids], np.uint8)
-        ids = np.array([d or 0 for d in self.doc_ids], "<i8")
-        docs, at = self.zip.compress(known.tobytes() + ids.tobytes() + np.array(self.lengths, "<u8").tobytes()), self.at
+        if self.n_pending:
+            self._chunk(np.concatenate(self.pending))
+        raw = b"".join(x.astype(t).tobytes() for parts, t in ((self.known, np.uint8), (self.doc_ids, "<i8"), (self.lengths, "<u8")) for x in parts)
+        docs, at = self.zip.compress(raw), self.at
         self._put(docs)
-        index, where = json.dumps({"mode": self.mode, "block": self.block, "n_ids": self.n_ids, "n_docs": len(self.doc_ids), "chunks": self.chunks, "documents": [at, len(docs)]}).encode(), self.at
+        index, where = json.dumps({"mode": self.mode, "block": self.block, "n_ids": self.n_ids, "n_docs": sum(map(len, self.doc_ids)), "chunks": self.chunks, "documents": [at, len(docs)]}).encode(), self.at
         self._put(index)
         self._put(struct.pack("<QQ", where, len(index)) + MAGIC)
 
@@ -143,8 +142,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaces: bool, end
 
     A file is written beside its place and moved there when whole, so a task that runs again does no harm.
     """
-    end = np.array([end_id], "<u4").tobytes()
-    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -156,11 +155,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaces: bool, end
         codes, n_docs = encoder(tokenizer, spaces), 0
         with store.open_output_stream(draft) as out:
             writer = PlaneWriter(out, mode, block)
-            for batch in batches:
-                for piece in slices(batch):
-                    for doc_id, ids in zip(piece.column(0).to_pylist(), codes.encode(piece.column(1).to_pylist()), strict=True):
-                        writer.add(doc_id, ids + end)
-                        n_docs += 1
+            for batch in gathered(batches):
+                writer.add(batch.column(0), *with_end(*codes.encode(batch.column(1)), end_id))
+                n_docs += batch.num_rows
             writer.close()
         if store.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
             store.move(draft, path)

@@ -21,8 +21,10 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_round_trip(docs, mode, block):
     out = io.BytesIO()
     writer = tokenfile.PlaneWriter(out, mode, block)
-    for k, ids in enumerate(docs):
-        writer.add(None if k == 2 else k - 5, np.array(ids, "<u4").tobytes())
+    for at in range(0, len(docs), 2):
+        some = docs[at : at + 2]
+        names = [None if k == 2 else k - 5 for k in range(at, at + len(some))]
+        writer.add(names, np.array([len(ids) for ids in some]), np.array([i for ids in some for i in ids], "<u4"))
     writer.close()
     reader = tokenfile.PlaneReader(io.BytesIO(out.getvalue()))
     assert [(d, x.tolist()) for d, x in reader.documents()] == [(None if k == 2 else k - 5, ids) for k, ids in enumerate(docs)]
@@ -42,7 +44,6 @@ def test_rows_from_files(spark, mode):
     rows = odd_docs() + [doc(100 + i, words(20 + i, i)) for i in range(40)]
     got = tokenfile.token_round_trip(frame(spark, rows), PATH, mode=mode, block=100).collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x, *_ in rows]
     have = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens, r.ids_crc32) for r in got)
     assert len(have) == len(want)
