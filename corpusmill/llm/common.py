@@ -75,6 +75,17 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """`names`, each with as many `_` behind it as make it differ from all in `taken`, whatever their case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
