@@ -75,6 +75,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bits of one bitmap, and the most bitmaps that are broadcast: 16 MB, whatever the size of the input.
+MAP_BITS, MOST_MAPS = 32_768, 4096
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column`, a 64-bit hash, is one of `keys`, and some others: a filter before a join that needs no shuffle.
+
+    Bits of the keys are broadcast, 8 for each key and 16 MB at most. With more keys than that more rows pass.
+    """
+    maps = max(1, min(MOST_MAPS, 1 << max(0, (8 * keys.count() - 1) // MAP_BITS).bit_length()))
+    place = F.pmod(F.col(column), F.lit(maps * MAP_BITS))
+    number, bits = fresh_names(rows.columns, "map_number", "map_bits")
+    made = keys.select(place.alias("place")).groupBy(F.floor(F.col("place") / MAP_BITS).cast("int").alias(number)).agg(F.bitmap_construct_agg(F.col("place") % MAP_BITS).alias(bits))
+    own = F.pmod(F.col(column), F.lit(MAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(own, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    weight = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), own % 8 + 1)
+    same = (F.floor(place / MAP_BITS).cast("int") == F.col(number)) & (byte.bitwiseAND(weight) != 0)
+    return rows.join(F.broadcast(made), same).select(*rows.columns)
+
+
 def fresh_names(taken: list[str], *names: str) -> list[str]:
     """`names`, each with as many `_` behind it as make it differ from all in `taken`, whatever their case."""
     used, out = {c.lower() for c in taken}, []

@@ -13,6 +13,9 @@ have no constant token, so they are never dropped.
 Distinct lines are made first, so a line that stands in millions of documents is one row from there on. A
 template is known by its leaf and the exclusive or of hashes of (place, token), so that each step of
 generalising changes two terms, however long the line is.
+
+All joins are by shuffle, at every size: each side grows with the input, and the size of a compressed table is no
+bound of what it takes in memory. Only bitmaps of a fixed size are broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, fresh_names, text_or_empty, written
+from corpusmill.llm.common import SPACES, forget, fresh_names, maybe_among, text_or_empty, written
 
 #: Leading tokens on a path; words of a hundred that may be variable.
 DEPTH, VARIABLE = 3, 15
@@ -34,9 +37,9 @@ def row_key() -> Column:
 
 
 def plain_line(line: Column) -> Column:
-    """The line's tokens with single spaces between them, tokens with digits as `<*>`; rewritten only where that changes something."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, MASK)).otherwise(line)
-    return F.transform(F.array(masked), lambda x: F.when(x.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))).otherwise(x))[0]
+    """The line's tokens with single spaces between them, tokens with digits as `<*>`; rewritten only where that may change something."""
+    odd = line.rlike(r"[\x09-\x0D0-9]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, MASK), SPACES, " "))).otherwise(line)
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
@@ -56,8 +59,8 @@ def lines_of(docs: DataFrame, depth: int) -> DataFrame:
 def template_heads(kinds: DataFrame, lines: DataFrame, depth: int, variable: int) -> DataFrame:
     """(leaf, sign, head) for distinct lines that share a template with another: the earliest document with one of its templates."""
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).where("n > 1 and first < last").select("leaf")
-    shared = written(kinds.join(leaves, "leaf"), "template-shared")
-    found = lines.join(shared, ["leaf", "sign"]).where(F.xxhash64("row_key", "line_no") == F.col("place"))
+    shared = written(kinds.join(leaves.hint("merge"), "leaf"), "template-shared")
+    found = maybe_among(lines, shared.select("leaf"), "leaf").join(shared.hint("merge"), ["leaf", "sign"]).where(F.xxhash64("row_key", "line_no") == F.col("place"))
     # Equal rows have equal places.
     found = found.select("leaf", "sign", "first", "plain").dropDuplicates(["leaf", "sign"])
     tokens = found.select("leaf", "sign", "first", F.posexplode(F.split("plain", " ")).alias("at", "token"))
@@ -71,15 +74,15 @@ def template_heads(kinds: DataFrame, lines: DataFrame, depth: int, variable: int
     change = F.col("mark").bitwiseXOR(F.xxhash64("at", F.lit(MASK)))
     order = Window.partitionBy("leaf", "sign").orderBy("times", "at")
     so_far = F.bit_xor("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    steps = open_words.join(seen, ["leaf", "mark"]).select("leaf", "sign", "times", "at", change.alias("change"))
+    steps = open_words.join(seen.hint("merge"), ["leaf", "mark"]).select("leaf", "sign", "times", "at", change.alias("change"))
     steps = steps.select("leaf", "sign", F.row_number().over(order).alias("step"), so_far.alias("so_far"))
     most = F.floor(F.sum(F.col("word").cast("long")) * F.lit(variable) / 100)
     bases = words.groupBy("leaf", "sign").agg(F.bit_xor("mark").alias("base"), F.min("first").alias("first"), most.alias("most"))
-    general = steps.join(bases, ["leaf", "sign"]).where("step <= most").select("leaf", "sign", "first", F.col("base").bitwiseXOR(F.col("so_far")).alias("template"))
+    general = steps.join(bases.hint("merge"), ["leaf", "sign"]).where("step <= most").select("leaf", "sign", "first", F.col("base").bitwiseXOR(F.col("so_far")).alias("template"))
     made = written(general.unionByName(bases.select("leaf", "sign", "first", F.col("base").alias("template"))), "template-chains")
     forget(words)
     heads = made.groupBy("leaf", "template").agg(F.min("first").alias("head"), F.count("*").alias("n")).where("n > 1").select("leaf", "template", "head")
-    out = written(made.join(heads, ["leaf", "template"]).groupBy("leaf", "sign").agg(F.min("head").alias("head")), "template-heads")
+    out = written(made.join(heads.hint("merge"), ["leaf", "template"]).groupBy("leaf", "sign").agg(F.min("head").alias("head")), "template-heads")
     forget(made)
     return out
 
@@ -91,10 +94,11 @@ def repeated_lines(docs: DataFrame, depth: int = DEPTH, variable: int = VARIABLE
     kinds = written(lines.groupBy("leaf", "sign").agg(*summary), "template-kinds")
     heads = template_heads(kinds, lines, depth, variable)
     head = F.least("first", F.coalesce("head", "first"))
-    repeated = kinds.join(heads, ["leaf", "sign"], "left").withColumn("head", head).where("head < last").select("leaf", "sign", "head")
+    repeated = kinds.join(heads.hint("merge"), ["leaf", "sign"], "left").withColumn("head", head).where("head < last").select("leaf", "sign", "head")
     repeated = written(repeated, "template-repeated")
     forget(kinds, heads)
-    dropped = lines.select("row_key", "doc", "line_no", "leaf", "sign").join(repeated, ["leaf", "sign"]).where("head < doc")
+    places = maybe_among(lines.select("row_key", "doc", "line_no", "leaf", "sign"), repeated.select("sign"), "sign")
+    dropped = places.join(repeated.hint("merge"), ["leaf", "sign"]).where("head < doc")
     # Equal rows have equal keys, so a place may come more than once.
     repeats = written(dropped.groupBy("row_key").agg(F.sort_array(F.collect_set("line_no")).alias("lines")), "template-repeats")
     forget(lines, repeated)
@@ -117,7 +121,7 @@ def without_repeated_lines(docs: DataFrame, depth: int = DEPTH, variable: int =
     """
     key, gone, n_lines, n_dropped = fresh_names(docs.columns, "row_key", "gone_lines", "n_lines", "n_dropped")
     repeats = repeated_lines(docs.select("doc_id", "text"), depth, variable).withColumnsRenamed({"row_key": key, "lines": gone})
-    joined = docs.join(repeats, row_key() == F.col(key), "left")
+    joined = docs.join(repeats.hint("merge"), row_key() == F.col(key), "left")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col(gone)))
     dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from corpusmill.llm.common import maybe_among
 from corpusmill.llm.components import connected
 
 
@@ -40,3 +41,12 @@ def test_random_graphs(spark):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
         got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
         assert got == plain([e for e in edges if e[0] != e[1]])
+
+
+def test_maybe_among_keeps_every_key(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) as h", "id as map_bits")
+    keys = rows.where("map_bits % 7 = 0").select("h")
+    got = {r.map_bits for r in maybe_among(rows, keys, "h").collect()}
+    assert got >= set(range(0, 5000, 7)) and len(got) < 2500
+    assert maybe_among(rows, keys, "h").columns == rows.columns
+    assert maybe_among(rows, keys.limit(0), "h").count() == 0
