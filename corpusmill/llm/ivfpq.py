@@ -3,13 +3,14 @@
 Every vector belongs to the list of its nearest coarse centroid, and its residual is kept as one code per
 sub-space. A query visits the lists whose centroids are nearest, until a share of all lists that is set on a
 sample for the target recall. In a list its distances to all codes of a sub-space form a table; a candidate's
-distance is the sum of the entries its codes name (asymmetric distance). The nearest by that are ranked again by
-their cosine in double precision. Lists are cut into chunks of a fixed size, and each chunk gives a query its
+distance is the sum of the entries its codes name (asymmetric distance). The nearest by that, and no others, are
+ranked again by their cosine in double precision. Lists are cut into chunks of a fixed size, and each chunk gives a query its
 few best, so neither a long list nor a popular one meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_batches, forget, written
-from corpusmill.llm.vectors import codebook, nearest_centres, sample_rows, sample_units, squared_distances, unit_vectors
+from corpusmill.llm.vectors import BAND, banded, codebook, cosines, most_centres, nearest_centres, rows_of, sample_rows, sample_units, scaled_vectors, squared_distances, units_of, width_of
 
 
 @dataclass
 class Index:
-    """`books`: a codebook for each sub-space, `bounds`: where sub-spaces begin and end; `probes`: lists to visit; `rerank`: candidates per chunk to rank exactly."""
+    """`books`: a codebook for each sub-space, `bounds`: where sub-spaces begin and end; `probes`: lists to visit; `rerank`: how many of a chunk's nearest distinct codes to rank exactly."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
@@ -40,16 +41,21 @@ class Index:
         rest = x - self.coarse[lists]
         return np.stack([nearest_centres(rest[:, i:j], b)[0] for (i, j), b in zip(self.bounds, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def tables(self, x: np.ndarray, one_list: int) -> list[np.ndarray]:
-        rest = x - self.coarse[one_list]
-        return [squared_distances(rest[:, i:j], b) for (i, j), b in zip(self.bounds, self.books, strict=True)]
+    def approximate(self, x: np.ndarray, one_list: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of queries `x` to the rows of a list with these codes."""
+        rest, out = x - self.coarse[one_list], np.zeros((len(x), len(codes)))
+        for n, ((i, j), book) in enumerate(zip(self.bounds, self.books, strict=True)):
+            out += squared_distances(rest[:, i:j], book)[:, codes[:, n]]
+        return out
 
 
-def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int, chunk_rows: int, seed: int = 11) -> Index:
+def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int, n_rows: int, seed: int = 11) -> Index:
     """Coarse centroids and codebooks fitted on three quarters of `sample`; probes and rerank set on the rest.
 
-    Rows that centroids were fitted on lie nearer to them than others do, so the nearest of the rest, among the
-    rest, say how many lists must be visited and how deep approximate ranks must be followed for `recall`.
+    Rows that centroids were fitted on lie nearer to them than others do, so the rest ask. Their nearest among the
+    rest say how many lists must be visited, and their nearest in the whole sample, by how many of their own
+    list's codes these are passed over in approximate order, say how deep that order must be followed. Lists are
+    longer than in the sample, as `n_rows` is more than its rows, so depth grows in proportion.
     """
     kept = len(sample) - len(sample) // 4
     fitted, rest = sample[:kept], sample[kept:]
@@ -57,40 +63,49 @@ def fit_index(sample: np.ndarray, lists: int, spaces: int, recall: float, k: int
     width = sample.shape[1]
     cuts = np.linspace(0, width, min(spaces, width) + 1).astype(int)
     bounds = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    index = Index(coarse, [], bounds, len(coarse), chunk_rows)
+    index = Index(coarse, [], bounds, len(coarse), 2 * k)
     if not len(sample):
         index.books = [np.zeros((1, j - i)) for i, j in bounds]
         return index
     inner = fitted - coarse[index.nearest_list(fitted)]
     index.books = [codebook(inner[:, i:j], 256, rounds=8, seed=seed + n) for n, (i, j) in enumerate(bounds)]
     if len(rest) <= k:
+        index.rerank = max(2 * k, n_rows)
         return index
-    asked = np.arange(min(256, len(rest)))
-    exact = rest[asked] @ rest.T
-    exact[asked, asked] = -2.0
-    best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    order = np.argsort(squared_distances(rest[asked], coarse), axis=1, kind="stable")
+    asked = rest[: min(256, len(rest))]
+    order = np.argsort(squared_distances(asked, coarse), axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(len(coarse))[None, :].repeat(len(asked), 0), axis=1)
-    own = index.nearest_list(rest)
-    index.probes = int(np.quantile(np.take_along_axis(rank, own[best], axis=1), recall)) + 1
-    approximate = coarse[own] + np.concatenate([b[c] for b, c in zip(index.books, index.codes(rest, own).T, strict=True)], axis=1)
-    distance = squared_distances(rest[asked], approximate)
-    place = (distance[:, None, :] < np.take_along_axis(distance, best, axis=1)[:, :, None]).sum(2)
-    share = min(1.0, chunk_rows / len(rest))
-    index.rerank = int(np.clip(np.ceil(np.quantile(place, recall) * share) + 8 * k, 8 * k, chunk_rows))
+    best = nearest_rows(asked, rest, k)
+    index.probes = int(np.quantile(np.take_along_axis(rank, index.nearest_list(rest)[best], axis=1), recall)) + 1
+    own = index.nearest_list(sample)
+    codes = index.codes(sample, own)
+    passed = []
+    for q, found in zip(asked, nearest_rows(asked, sample, k), strict=True):
+        for one in np.unique(own[found]).tolist():
+            members = np.flatnonzero(own == one)
+            distance = index.approximate(q[None, :], one, codes[members])[0]
+            passed += [int((np.unique(distance) < distance[members == f][0]).sum()) for f in found[own[found] == one].tolist()]
+    index.rerank = k + math.ceil(np.quantile(passed, recall) * max(1.0, n_rows / len(sample)))
     return index
 
 
+def nearest_rows(asked: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places in `rows` of the `k` nearest to each of `asked` that are not equal to it."""
+    score = asked @ rows.T
+    score[score > 1 - 1e-12] = -2.0
+    return np.argsort(-score, axis=1, kind="stable")[:, :k]
+
+
 def in_second_order(sample: np.ndarray) -> np.ndarray:
     """`sample` in the order of another hash than it was picked by, so that its last quarter is like the rest of it."""
     marks = [xxhash.xxh64_intdigest(np.ascontiguousarray(row, "<f8").tobytes(), 7) for row in sample]
     return sample[np.argsort(np.array(marks, np.uint64), kind="stable")]
 
 
-def indexed(units: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
-    """(list, vec_id, unit, codes) of every vector of the index's dimension; those of another have list -dimension and no codes."""
-    shared = units.sparkSession.sparkContext.broadcast(index)
+def indexed(vectors: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
+    """(list, vec_id, vector, codes) of every vector of the index's dimension; those of another have list -dimension and no codes."""
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -102,13 +117,13 @@ def indexed(units: DataFrame, index: Index, chunk_rows: int) -> DataFrame:
             lists, codes = [-(len(u) // 8) for u in raw], [b""] * len(raw)
             fit = [i for i, u in enumerate(raw) if len(u) == 8 * width]
             if fit:
-                x = np.stack([np.frombuffer(raw[i], "<f8") for i in fit])
+                x = units_of(rows_of([raw[i] for i in fit]))
                 near = own.nearest_list(x)
                 for i, n, c in zip(fit, near.tolist(), own.codes(x, near), strict=True):
                     lists[i], codes[i] = n, c.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *batch.columns, pa.array(codes, pa.binary())], names=["list", "vec_id", "unit", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *batch.columns, pa.array(codes, pa.binary())], names=["list", "vec_id", "vector", "codes"])
 
-    return units.mapInArrow(run, "list long, vec_id long, unit binary, codes binary")
+    return vectors.mapInArrow(run, "list long, vec_id long, vector binary, codes binary")
 
 
 def probes(queries: DataFrame, index: Index) -> DataFrame:
@@ -124,7 +139,7 @@ def probes(queries: DataFrame, index: Index) -> DataFrame:
                 if len(u) != 8 * width:
                     rows.append((k, -(len(u) // 8)))
                     continue
-                d = squared_distances(np.frombuffer(u, "<f8")[None, :], own.coarse)[0]
+                d = squared_distances(units_of(rows_of([u])), own.coarse)[0]
                 rows += [(k, int(n)) for n in np.argsort(d, kind="stable")[: own.probes]]
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), *(c.take(take) for c in batch.columns)], names=["list", "query_id", "query"])
@@ -132,60 +147,63 @@ def probes(queries: DataFrame, index: Index) -> DataFrame:
     return queries.mapInArrow(run, "list long, query_id long, query binary")
 
 
+def near_by_codes(distance: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest distinct distances; rows with equal codes, copies among them, count once."""
+    kinds = np.unique(distance)
+    return np.flatnonzero(distance <= kinds[min(most, len(kinds)) - 1])
+
+
+def best_of_chunk(index: Index, one_list: int, query_ids: list[int], q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None, k: int) -> list[tuple[int, int, float]]:
+    """(query, vector, score): for each query the `k` best by cosine of the rows that are nearest by their codes; rows stand in order of id."""
+    distance = None if codes is None else index.approximate(units_of(q), one_list, codes)
+    out = []
+    for n, query_id in enumerate(query_ids):
+        others = ids != query_id
+        near = np.flatnonzero(others)
+        if distance is not None and len(near):
+            near = near[near_by_codes(distance[n, near], index.rerank)]
+        score = cosines(x[near], q[n][None, :])
+        best = np.lexsort((ids[near], -score))[:k]
+        out += [(query_id, int(v), float(s)) for v, s in zip(ids[near][best], score[best], strict=True)]
+    return out
+
+
 def search_chunks(met: DataFrame, index: Index, k: int) -> DataFrame:
-    """The `k` best of each chunk for each query, from rows (list, query_ids, queries, vec_ids, units, codes)."""
+    """The `k` best of each chunk for each query, from rows (list, query_ids, queries, vec_ids, vectors, codes). Vectors of another dimension than the index's have no codes."""
     shared = met.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             out: list[tuple[int, int, float]] = []
-            for one_list, query_ids, queries, vec_ids, units, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q = np.stack([np.frombuffer(u, "<f8") for u in queries])
-                x = np.stack([np.frombuffer(u, "<f8") for u in units])
-                ids = np.array([-(2**63) if v is None else v for v in vec_ids])
-                if one_list >= 0 and len(ids) > own.rerank:
-                    tables = own.tables(q, one_list)
-                    code = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
-                    distance = np.zeros((len(q), len(ids)))
-                    for j, t in enumerate(tables):
-                        distance += t[:, code[:, j]]
-                else:
-                    distance = None
-                for n, query_id in enumerate(query_ids):
-                    near = np.arange(len(ids))
-                    if distance is not None:
-                        # Ties at the cut go to smaller ids, as vectors stand in order of id.
-                        limit = np.partition(distance[n], own.rerank - 1)[own.rerank - 1]
-                        near = np.flatnonzero(distance[n] < limit)
-                        near = np.concatenate([near, np.flatnonzero(distance[n] == limit)[: own.rerank - len(near)]])
-                    near = near[ids[near] != query_id]
-                    score = x[near] @ q[n]
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out += [(query_id, int(v), float(s)) for v, s in zip(ids[near][best], score[best], strict=True)]
+            for one_list, query_ids, queries, vec_ids, vectors, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1) if one_list >= 0 else None
+                out += best_of_chunk(own, one_list, query_ids, rows_of(queries), np.array(vec_ids), rows_of(vectors), code, k)
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    return bounded_batches(met).select("list", "query_ids", "queries", "vec_ids", "units", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
+    return bounded_batches(met).select("list", "query_ids", "queries", "vec_ids", "vectors", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256, most_lists: int = 4096) -> DataFrame:
+def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the `k` nearest found for each query, the rows whose vec_id `modulus` divides.
 
     All rows but the query's own are candidates; ties go to the smaller vec_id. Vectors that are null, empty, zero
     or hold null or non-finite components, or have a null id, take no part; vectors of unlike dimensions never
     meet. A query among fewer than `k` candidates found gets those. Repeated rows with one id are one vector: the
-    id's own row is never its neighbour. There are about as many lists
-    as the root of the number of vectors; they and the codebooks are fitted on 8,192 to 65,536 distinct vectors (16 a
-    list), every vector is indexed. An empty table gives no rows; other columns are ignored.
+    id's own row is never its neighbour. There are about as many lists as the root of the number of vectors. They
+    and the codebooks are fitted on a sample of distinct vectors (16 a list, 8,192 at least, 256 MB at most), so
+    lists of 64 components stop at 32,768 (a billion vectors) and grow longer from there; every vector is
+    indexed. An empty table gives no rows; other columns are ignored.
     """
-    units = written(unit_vectors(embeddings).where("unit is not null and vec_id is not null"), "ivf-units")
-    lists = int(np.clip(np.sqrt(units.count()), 1, most_lists))
-    distinct = written(units.select("unit").distinct(), "ivf-distinct")
-    index = fit_index(in_second_order(sample_units(distinct, sample_rows(lists))), lists, spaces, recall, k, chunk_rows)
+    vectors = written(scaled_vectors(embeddings).where("vector is not null and vec_id is not null"), "ivf-vectors")
+    width, n_rows = width_of(vectors), vectors.count()
+    lists = int(np.clip(np.sqrt(n_rows), 1, most_centres(width)))
+    distinct = written(vectors.select("vector").distinct(), "ivf-distinct")
+    index = fit_index(in_second_order(sample_units(distinct, sample_rows(lists, width))), lists, spaces, recall, k, distinct.count())
     forget(distinct)
-    rows = written(indexed(units, index, chunk_rows), "ivf-rows")
-    asked = units.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query")).dropDuplicates(["query_id"])
+    rows = written(indexed(vectors, index, chunk_rows), "ivf-rows")
+    asked = vectors.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
     visited = written(probes(asked, index), "ivf-probes")
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
     loads = visited.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("long").alias("parts"))
@@ -193,18 +211,20 @@ def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float
     chunks = (
         rows.join(limits, "list")
         .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks"))
-        .groupBy("list", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "unit", "codes"))).alias("m"))
-        .select("list", F.col("m.vec_id").alias("vec_ids"), F.col("m.unit").alias("units"), F.col("m.codes").alias("codes"))
+        .groupBy("list", "chunks", "parts", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector", "codes"))).alias("m"))
+        .select("list", "chunks", "parts", "chunk", F.col("m.vec_id").alias("vec_ids"), F.col("m.vector").alias("vectors"), F.col("m.codes").alias("codes"))
     )
     parts = (
         visited.join(limits, "list")
         .withColumn("part", F.pmod(F.xxhash64("query_id"), "parts"))
-        .groupBy("list", "part")
+        .groupBy("list", "chunks", "parts", "part")
         .agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("m"))
-        .select("list", F.col("m.query_id").alias("query_ids"), F.col("m.query").alias("queries"))
+        .select("list", "chunks", "parts", "part", F.col("m.query_id").alias("query_ids"), F.col("m.query").alias("queries"))
     )
-    met = written(chunks, "ivf-chunks").join(written(parts, "ivf-parts"), "list")
+    chunks = banded(chunks, "chunk", F.ceil(F.col("parts") / BAND), True).drop("chunk", "chunks", "parts")
+    parts = banded(parts, "part", F.ceil(F.col("chunks") / BAND), False).drop("part", "chunks", "parts")
+    met = written(chunks, "ivf-chunks").join(written(parts, "ivf-parts"), ["list", "band_a", "band_b"])
     few = search_chunks(met, index, k).dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return few.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

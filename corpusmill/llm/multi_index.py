@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import bounded_batches, written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
-from corpusmill.llm.vectors import codebook, sample_rows, sample_units, squared_distances, unit_vectors
+from corpusmill.llm.vectors import BAND, banded, codebook, cosines, most_centres, rows_of, sample_rows, sample_units, scaled_vectors, squared_distances, units_of, width_of
 
 
 @dataclass
@@ -93,11 +93,11 @@ def visits(groups: DataFrame, grid: Grid) -> DataFrame:
         n_second = len(g.second)
         for batch in batches:
             for part in slices(batch, 1024):
-                units = part.column(1).to_pylist()
-                fit = [k for k, u in enumerate(units) if len(u) == 8 * width]
-                rows: list[tuple[int, int, bool]] = [(k, -len(units[k]), True) for k in range(len(units)) if len(units[k]) != 8 * width]
+                vectors = part.column(1).to_pylist()
+                fit = [k for k, u in enumerate(vectors) if len(u) == 8 * width]
+                rows: list[tuple[int, int, bool]] = [(k, -len(vectors[k]), True) for k in range(len(vectors)) if len(vectors[k]) != 8 * width]
                 if fit:
-                    a, b = g.distances(np.stack([np.frombuffer(units[k], "<f8") for k in fit]))
+                    a, b = g.distances(units_of(rows_of([vectors[k] for k in fit])))
                     home = a.argmin(1) * n_second + b.argmin(1)
                     for k, own, x, y in zip(fit, home.tolist(), a, b, strict=True):
                         rows.append((k, own, True))
@@ -105,9 +105,9 @@ def visits(groups: DataFrame, grid: Grid) -> DataFrame:
                             if i * n_second + j < own:
                                 rows.append((k, i * n_second + j, False))
                 take = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), *(c.take(take) for c in part.columns)], names=["cell", "home", "first_id", "unit", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), *(c.take(take) for c in part.columns)], names=["cell", "home", "first_id", "vector", "copies"])
 
-    return groups.select("first_id", "unit", "copies").mapInArrow(run, "cell long, home boolean, first_id long, unit binary, copies long")
+    return groups.select("first_id", "vector", "copies").mapInArrow(run, "cell long, home boolean, first_id long, vector binary, copies long")
 
 
 def chunk_links(met: DataFrame, threshold: float) -> DataFrame:
@@ -119,10 +119,8 @@ def chunk_links(met: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, left, right = [], [], []
-            for ids, units, copies, other_ids, other_units, other_copies, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(b"".join(units), "<f8").reshape(len(ids), -1)
-                y = np.frombuffer(b"".join(other_units), "<f8").reshape(len(other_ids), -1)
-                near = x @ y.T >= threshold
+            for ids, vectors, copies, other_ids, other_vectors, other_copies, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near = linked(rows_of(vectors), rows_of(other_vectors), threshold)
                 ids, other_ids = np.array(ids), np.array(other_ids)
                 if same:
                     near = np.triu(near, 1)
@@ -139,10 +137,19 @@ def chunk_links(met: DataFrame, threshold: float) -> DataFrame:
                 right += other_ids[b].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["kind", "a", "b"])
 
-    columns = ["ids", "units", "copies", "other_ids", "other_units", "other_copies", "same"]
+    columns = ["ids", "vectors", "copies", "other_ids", "other_vectors", "other_copies", "same"]
     return bounded_batches(met).select(*columns).mapInArrow(run, "kind int, a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosines of the rows of `x` and `y` reach the threshold. A matrix product finds them; those within its rounding error of the threshold are computed one by one from the vectors."""
+    product = units_of(x) @ units_of(y).T
+    near = product >= threshold
+    i, j = np.nonzero(np.abs(product - threshold) < 1e-12)
+    near[i, j] = cosines(x[i], y[j]) >= threshold
+    return near
+
+
 def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all that `near` (rows x columns) joins: at most one per row and one per column."""
     rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
@@ -174,41 +181,48 @@ def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def dealt_parts(rows: DataFrame, size: str, part_rows: int, names: tuple[str, str, str]) -> DataFrame:
     """Rows of each cell in parts of about `part_rows`, as arrays in order of id; `size` is the column with the cell's number of rows."""
     part = F.pmod(F.xxhash64("first_id"), F.ceil(F.col(size) / part_rows).cast("long"))
-    members = F.sort_array(F.collect_list(F.struct("first_id", "unit", "copies")))
-    grouped = rows.groupBy("cell", part.alias("part")).agg(members.alias("m"))
-    return grouped.select("cell", "part", *(F.col(f"m.{c}").alias(n) for c, n in zip(("first_id", "unit", "copies"), names, strict=True)))
+    members = F.sort_array(F.collect_list(F.struct("first_id", "vector", "copies")))
+    grouped = rows.groupBy("cell", "homes", "rows", part.alias("part")).agg(members.alias("m"))
+    return grouped.select("cell", "homes", "rows", "part", *(F.col(f"m.{c}").alias(n) for c, n in zip(("first_id", "vector", "copies"), names, strict=True)))
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float = 0.995, cell_rows: int = 64, part_rows: int = 256, most_centres: int = 1024) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.95, recall: float = 0.995, cell_rows: int = 64, part_rows: int = 256) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row for each row of `embeddings`.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay. Vectors of
     unlike dimensions never link. Equal vectors link with each other. Cells hold about `cell_rows` vectors; their
-    codebooks are fitted on 8,192 to 65,536 vectors (16 a centre), every vector is indexed. A row with a null id is a row like others, its component is the smallest
+    codebooks are fitted on a sample of distinct vectors (16 a centre, 8,192 at least, 256 MB at most, so that halves
+    have 32,768 centres for 64 components at most), every vector is indexed. A row with a null id is a row like others, its component is the smallest
     known id. An empty table gives no rows; other columns are ignored.
     """
-    units = written(unit_vectors(embeddings), "grid-units")
-    groups = written(units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "grid-groups")
+    vectors = written(scaled_vectors(embeddings), "grid-vectors")
+    groups = written(vectors.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "grid-groups")
     # A null id cannot name a group: groups are named by their smallest id, or by a negative hash of the vector.
-    groups = groups.withColumn("first_id", F.coalesce("first_id", -1 - F.pmod(F.xxhash64("unit"), F.lit(2**62))))
-    size = int(np.clip(np.ceil(np.sqrt(max(1, groups.count()) / cell_rows)), 1, most_centres))
-    grid = fit_grid(sample_units(groups, sample_rows(size)), size, threshold, recall)
+    groups = groups.withColumn("first_id", F.coalesce("first_id", -1 - F.pmod(F.xxhash64("vector"), F.lit(2**62))))
+    width = width_of(groups)
+    size = int(np.clip(np.ceil(np.sqrt(max(1, groups.count()) / cell_rows)), 1, most_centres(width)))
+    grid = fit_grid(sample_units(groups, sample_rows(size, width)), size, threshold, recall)
     members = written(visits(groups, grid), "grid-visits")
     sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("long")).alias("homes"))
     dealt = members.join(written(sizes.where("homes > 0 and rows > 1"), "grid-cells"), "cell")
-    homes = written(dealt_parts(dealt.where("home"), "homes", part_rows, ("ids", "units", "copies")), "grid-homes")
-    guests = written(dealt_parts(dealt.where("not home"), "rows", part_rows, ("other_ids", "other_units", "other_copies")), "grid-guests")
-    others = homes.select("cell", F.col("part").alias("other_part"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("copies").alias("other_copies"))
-    within = homes.join(others, "cell").where("part <= other_part").withColumn("same", F.col("part") == F.col("other_part")).drop("other_part")
-    across = homes.join(guests.withColumnRenamed("part", "other_part"), "cell").withColumn("same", F.lit(False)).drop("other_part")
+    homes = written(dealt_parts(dealt.where("home"), "homes", part_rows, ("ids", "vectors", "copies")), "grid-homes")
+    guests = written(dealt_parts(dealt.where("not home"), "rows", part_rows, ("other_ids", "other_vectors", "other_copies")), "grid-guests")
+    # The parts of a cell meet band by band, so that a cell which holds most rows is spread over many tasks.
+    h, g = (F.ceil(F.ceil(F.col(c) / part_rows) / BAND) for c in ("homes", "rows"))
+    others = homes.select("cell", "homes", "rows", F.col("part").alias("other_part"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"), F.col("copies").alias("other_copies"))
+    meet, columns = ["cell", "band_a", "band_b"], ["ids", "vectors", "copies", "other_ids", "other_vectors", "other_copies"]
+    first = banded(homes, "part", h, True).where("band_a <= band_b")
+    within = first.join(banded(others, "other_part", h, False).drop("homes", "rows").where("band_a <= band_b"), meet).where("part <= other_part")
+    within = within.select(*columns, (F.col("part") == F.col("other_part")).alias("same"))
+    across = banded(homes, "part", g, True).join(banded(guests, "part", h, False).drop("part", "homes", "rows"), meet).select(*columns, F.lit(False).alias("same"))
     links = written(chunk_links(within.unionByName(across), threshold), "grid-links")
     joined = connected(links.where("kind = 0"), "a", "b")
     counts = links.where("kind = 1").groupBy("a").agg(F.sum("b").alias("links")).withColumnRenamed("a", "first_id")
     found = groups.join(joined.withColumnRenamed("node", "first_id"), "first_id", "left").join(counts, "first_id", "left")
-    found = written(found.select("unit", "first_id", "copies", F.coalesce("component", "first_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "grid-found")
+    found = written(found.select("vector", "first_id", "copies", F.coalesce("component", "first_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "grid-found")
     named = found.join(found.groupBy("component").agg(F.min(F.when(F.col("first_id") >= 0, F.col("first_id"))).alias("named")), "component")
-    named = written(named.select(F.col("unit").alias("group_unit"), "named", (F.col("copies") - 1 + F.col("links")).alias("group_links")), "grid-named")
-    result = units.join(named, F.col("unit") == F.col("group_unit"), "left")
+    named = written(named.select(F.col("vector").alias("group_vector"), "named", (F.col("copies") - 1 + F.col("links")).alias("group_links")), "grid-named")
+    result = vectors.join(named, F.col("vector") == F.col("group_vector"), "left")
     component = F.coalesce("named", "vec_id")
     return result.select("vec_id", F.coalesce("group_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from corpusmill.llm import ivfpq, multi_index
-from corpusmill.llm.vectors import codebook
+from corpusmill.llm.vectors import codebook, nearest_centres, units_of
 
 EMB = "vec_id long, embedding array<float>, label int"
 
@@ -107,6 +107,42 @@ def test_codebooks_take_few_or_equal_rows():
     assert len(codebook(np.eye(3), 8)) == 3
 
 
+def test_two_level_codebooks_are_nearly_as_good():
+    x = np.random.default_rng(3).standard_normal((4000, 8))
+    flat, tree = codebook(x, 200), codebook(x, 200, direct=100)
+    assert 150 <= len(tree) <= 250
+    assert nearest_centres(x, tree)[1].mean() < 1.15 * nearest_centres(x, flat)[1].mean()
+
+
+def test_links_at_the_threshold_are_those_of_the_vectors_themselves():
+    rng = np.random.default_rng(8)
+    a = rng.integers(-9, 10, (300, 4)).astype(float)
+    a = a[(a != 0).any(1)]
+    for threshold in (0.6, 0.8, 0.95):
+        want = [[float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum())) >= threshold for y in a] for x in a]
+        assert multi_index.linked(a, a, threshold).tolist() == want
+
+
+def test_only_rows_near_by_their_codes_are_ranked_exactly():
+    x = units_of(np.random.default_rng(2).standard_normal((3000, 16)))
+    index = ivfpq.fit_index(x, 20, 8, 0.97, 5, len(x))
+    lists = index.nearest_list(x)
+    one = int(np.bincount(lists).argmax())
+    ids = np.flatnonzero(lists == one)
+    assert index.rerank < len(ids) / 2
+    codes = index.codes(x[ids], lists[ids])
+    found = ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], ids, x[ids], codes, 5)
+    assert found[0][1] == ids[0]
+    far = index.approximate(x[ids[:1]], one, codes)[0].argmax()
+    codes[0] = codes[far]  # with another row's codes the row itself is not looked at
+    assert ids[0] not in [v for _, v, _ in ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], ids, x[ids], codes, 5)]
+
+
+def test_copies_count_once_by_their_codes():
+    distance = np.array([3.0, 1.0, 1.0, 1.0, 2.0, 5.0])
+    assert ivfpq.near_by_codes(distance, 2).tolist() == [1, 2, 3, 4] and len(ivfpq.near_by_codes(distance, 9)) == 6
+
+
 def test_vectors_without_ids_or_rows(spark):
     same = [(None, [1.0, 0.0], 0), (4, [1.0, 0.0], 0), (4, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (6, [-1.0, 0.0], 0)]
     got = sorted(((r.vec_id or -1), r.n_links, r.component_id or -1) for r in multi_index.near_vectors(spark.createDataFrame(same, EMB)).collect())
