@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import blocks_for, text_or_empty, word_count, written
+from corpusmill.llm.common import blocks_for, fresh_names, text_or_empty, word_count, written
 
 NEAR = 1e-9
 
@@ -166,15 +166,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Both the join and the ranks are dealt by one hashed key, so texts are moved once.
     """
     mix = balanced_mix(docs, **options)
-    twins = mix.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
-    renamed = {"doc_id": "mix_id", "source": "mix_source", "size": "mix_size"}
-    twins = twins.withColumn("mix_key", F.xxhash64("doc_id", "source", "size")).withColumnsRenamed(renamed)
-    keyed = docs.withColumn("own_size", word_count(text_or_empty())).withColumn("own_key", F.xxhash64("doc_id", "source", "own_size"))
+    size, key, copies, n_rows, share, copy, mix_id, mix_source, mix_size, mix_key = fresh_names(
+        docs.columns, "own_size", "own_key", "mix_copies", "mix_rows", "mix_share", "mix_copy", "mix_id", "mix_source", "mix_size", "mix_key"
+    )
+    twins = mix.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count("*").alias(n_rows)).where(F.col(copies) > 0)
+    twins = twins.withColumn(mix_key, F.xxhash64("doc_id", "source", "size")).withColumnsRenamed({"doc_id": mix_id, "source": mix_source, "size": mix_size})
+    keyed = docs.withColumn(size, word_count(text_or_empty())).withColumn(key, F.xxhash64("doc_id", "source", size))
     # Within `coalesce` these are no join keys, so the hashed key alone deals the rows, for the ranks too.
     alike = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
-    same = alike("doc_id", "mix_id") & alike("source", "mix_source") & alike("own_size", "mix_size")
-    taken = keyed.join(twins, F.col("own_key") == F.col("mix_key")).where(same)
-    rank = F.row_number().over(Window.partitionBy("own_key", "doc_id", "source", "own_size").orderBy(F.xxhash64("text")))
-    share = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (rank <= F.col("mix_copies") % F.col("mix_rows")).cast("long")
-    shared = taken.withColumn("mix_share", share.cast("int")).where("mix_share > 0")
-    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_share"))).alias("mix_copy")).drop("mix_copy")
+    same = alike("doc_id", mix_id) & alike("source", mix_source) & alike(size, mix_size)
+    taken = keyed.join(twins, F.col(key) == F.col(mix_key)).where(same)
+    rank = F.row_number().over(Window.partitionBy(key, "doc_id", "source", size).orderBy(F.xxhash64("text")))
+    own = F.floor(F.col(copies) / F.col(n_rows)) + (rank <= F.col(copies) % F.col(n_rows)).cast("long")
+    shared = taken.withColumn(share, own.cast("int")).where(F.col(share) > 0)
+    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(share))).alias(copy)).drop(copy)

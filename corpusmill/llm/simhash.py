@@ -6,10 +6,11 @@ posting list for each 3 positions within a half and their bytes; 5 shared positi
 half, so no pair is missed. Within a posting list the shared positional bytes are tallied per pair, pairs
 that reach the minimum are verified bit by bit, and one tree of links per list goes on.
 
-Distinct fingerprints alone are indexed. A posting list that is longer than `longest` would be quadratic; its
-fingerprints are linked exactly in another way: two of them differ in at most 3 bits of the other 5 bytes if
-and only if a 40-bit value lies within 1 bit of one and within 2 bits of the other. Such values are a second
-inverted index, linear in the list.
+Distinct fingerprints alone are indexed. A posting list longer than `longest` would be quadratic, so it is
+split by every 2 of the other 5 positions: two of its fingerprints that reach the minimum share 2 of them. A list
+of one whole set of 5 positions that is still longer holds only pairs that have reached the minimum; what is left
+is to verify them, in linear time: two fingerprints differ in at most 3 bits of the other 3 bytes if and only if
+some 24-bit value lies within 1 bit of one and within 2 bits of the other. Such values are one more index.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from corpusmill.llm.tokens import slices
 
 #: 3 positions within a half.
 KEYS = tuple(c for half in (range(4), range(4, 8)) for c in combinations(half, 3))
+#: The sets of positions that a pair at the minimum shares.
+FIVES = tuple(combinations(range(8), 5))
 SEED = 42
 NEAR = 3
 MINIMUM = 8 - NEAR
@@ -68,12 +71,30 @@ def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFr
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *keys).mapInArrow(run, schema)
 
 
-def key_column(k: int, positions: tuple[int, ...]):
+def key_column(k: int, positions: tuple[int, ...]) -> Column:
     mask = sum(0xFF << (8 * p) for p in positions)
     mask -= (mask >> 63) << 64
     return F.xxhash64(F.lit(k), F.col("mark").bitwiseAND(F.lit(mask)))
 
 
+def posted(rows: DataFrame, keys: dict[int, tuple[int, ...]]) -> DataFrame:
+    """A posting (k, key, mark) of each fingerprint for each of the sets of positions."""
+    posts = F.array(*(F.struct(F.lit(k).alias("k"), key_column(k, positions).alias("key")) for k, positions in keys.items()))
+    return rows.select(F.explode(posts).alias("post"), "mark").select("post.k", "post.key", "mark")
+
+
+def short_and_long(posts: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the lists of at most `longest` fingerprints, and the postings of the longer lists; both are written tables."""
+    sizes = posts.groupBy("key").count().where("count > 1")
+    short = written(sizes.where(F.col("count") <= longest).select("key"), "simhash-short")
+    long = written(sizes.where(F.col("count") > longest).select("key"), "simhash-long")
+    lists = posts.join(short, "key").groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    links = written(list_links(lists), "simhash-links")
+    left = written(posts.join(long, "key"), "simhash-left")
+    forget(short, long)
+    return links, left
+
+
 def forest(marks: np.ndarray, near: int = NEAR) -> tuple[list[int], list[int]]:
     """Links that join what the verified pairs of `marks` join: from each fingerprint not yet reached, a search over near ones."""
     left = np.arange(len(marks))
@@ -116,45 +137,51 @@ def balls(bits: list[int], radius: int) -> np.ndarray:
     return np.array(flips, np.uint64)
 
 
-def long_list_links(rows: DataFrame) -> DataFrame:
-    """Links within long lists, from rows (k, mark): `k` says which 3 positions the list shares.
+def long_list_links(rows: DataFrame, part: int = 1024) -> DataFrame:
+    """Links within lists that share a whole set of 5 positions, from rows (k, mark): `k` says which.
 
     Each fingerprint is posted to the values within 1 bit (near) and within 2 bits (far) of it, over the bits its
     list does not share. If a value has a near posting, all its postings are within 3 bits of that one.
     """
-    tables = {k: [balls([8 * p + b for p in range(8) if p not in positions for b in range(8)], r) for r in (1, 2)] for k, positions in enumerate(KEYS)}
+    tables = {k: [balls([8 * p + b for p in range(8) if p not in positions for b in range(8)], r) for r in (1, 2)] for k, positions in enumerate(FIVES)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k, mark in zip(frame["k"].tolist(), frame["mark"].to_numpy().view(np.uint64), strict=True):
+            for k, own in frame.groupby("k")["mark"]:
                 one, two = tables[k]
-                values = (two ^ mark).view(np.int64)
-                near = np.zeros(len(values), bool)
-                near[: len(one)] = True
-                yield pd.DataFrame({"value": values, "mark": np.full(len(values), int(mark.view(np.int64))), "near": near})
-
-    posted = rows.select("k", "mark").distinct().mapInPandas(run, "value long, mark long, near boolean").select("value", "mark", "near")
-    centre = posted.groupBy("value").agg(F.min(F.when(F.col("near"), F.col("mark"))).alias("head"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+                for at in range(0, len(own), part):
+                    marks = own.to_numpy()[at : at + part]
+                    values = (two[None, :] ^ marks.view(np.uint64)[:, None]).view(np.int64)
+                    near = np.zeros(values.shape, bool)
+                    near[:, : len(one)] = True
+                    yield pd.DataFrame({"value": values.ravel(), "mark": np.repeat(marks, len(two)), "near": near.ravel()})
+
+    around = rows.select("k", "mark").distinct().mapInPandas(run, "value long, mark long, near boolean").select("value", "mark", "near")
+    centre = around.groupBy("value").agg(F.min(F.when(F.col("near"), F.col("mark"))).alias("head"), F.min("mark").alias("low"), F.max("mark").alias("high"))
     centre = written(centre.where("head is not null and low < high").select("value", "head"), "simhash-centres")
-    return posted.join(centre, "value").where("mark != head").select(F.col("head").alias("a"), F.col("mark").alias("b")).distinct()
+    return around.join(centre, "value").where("mark != head").select(F.col("head").alias("a"), F.col("mark").alias("b")).distinct()
 
 
 def near_links(marks: DataFrame, longest: int = 512) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of `marks` (distinct, column `mark`) at 3 or fewer bits."""
-    posts = None
-    for k, positions in enumerate(KEYS):
-        one = marks.select(key_column(k, positions).alias("key"), F.lit(k).alias("k"), "mark")
-        posts = one if posts is None else posts.unionByName(one)
-    posts = written(posts, "simhash-posts")
-    sizes = posts.groupBy("key").count().where("count > 1")
-    short = written(sizes.where(F.col("count") <= longest).select("key"), "simhash-short")
-    long = written(sizes.where(F.col("count") > longest).select("key"), "simhash-long")
-    lists = posts.join(short, "key").groupBy("key").agg(F.collect_list("mark").alias("marks"))
-    links = written(list_links(lists), "simhash-links")
-    if not long.isEmpty():
-        links = written(links.unionByName(long_list_links(posts.join(long, "key"))), "simhash-all-links")
-    forget(posts, short, long)
-    return links
+    posts = written(posted(marks, dict(enumerate(KEYS))), "simhash-posts")
+    links, left = short_and_long(posts, longest)
+    forget(posts)
+    if left.isEmpty():
+        forget(left)
+        return links
+    split = [posted(left.where(F.col("k") == k), {n: five for n, five in enumerate(FIVES) if set(own) <= set(five)}) for k, own in enumerate(KEYS)]
+    further = split[0]
+    for more in split[1:]:
+        further = further.unionByName(more)
+    further = written(further.distinct(), "simhash-further")
+    more, full = short_and_long(further, longest)
+    every = links.unionByName(more)
+    if not full.isEmpty():
+        every = every.unionByName(long_list_links(full))
+    out = written(every, "simhash-all-links")
+    forget(left, further, links, more, full)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, longest: int = 512) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity scores by a character n-gram linear classifier with naive Bayes log-count ratios.
 
-A text's features are its distinct character n-grams, taken over UTF-8 bytes with ASCII letters lowered and
-hashed to a fixed number of buckets. In training, the number of toxic and of clean texts with each bucket is
+A text's features are its distinct n-grams of characters (code points), with ASCII letters lowered, hashed to a
+fixed number of buckets. In training, the number of toxic and of clean texts with each bucket is
 counted over all labelled rows, on the executors. The log-count ratio of a bucket scales its feature; a
 logistic regression over the scaled features is then fitted on a bounded sample of labelled rows. A score is
 a function of the text alone.
@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import bounded_batches, forget, hashed_sample, id_remainder, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, forget, fresh_names, hashed_sample, id_remainder, text_or_empty, written
 from corpusmill.llm.tokens import slices
 
-LOWER = np.arange(256, dtype=np.uint8)
+#: Code points below 128 as they count: ASCII letters lowered, white space one kind of character.
+LOWER = np.arange(128, dtype=np.uint32)
 LOWER[65:91] += 32
-#: White space is one kind of character.
 LOWER[9:14] = 32
+#: Multiplies the code of a gram before its next character is added, modulo 2 ** 32.
+BASE = 0x01000193
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,12 @@ class Model:
 
 def features_of(text: str, settings: Settings) -> np.ndarray:
     """Distinct buckets of a text's n-grams; a space is set before and after the text."""
-    chars = LOWER[np.frombuffer(b" " + text.encode("utf-8", "replace") + b" ", np.uint8)].astype(np.uint32)
+    chars = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    chars = LOWER[chars] if text.isascii() else np.where(chars < 128, LOWER[np.minimum(chars, 127)], chars)
     found = []
     code, n = np.zeros(len(chars), np.uint32), len(chars)
     for k in range(max(settings.orders)):
-        code = code[: n - k] * np.uint32(257) + chars[k:] + np.uint32(1)
+        code = code[: n - k] * np.uint32(BASE) + chars[k:] + np.uint32(1)
         if not len(code):
             break
         if k + 1 in settings.orders:
@@ -182,12 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` with `toxic_score` (0 to 1); a null text scores as an empty one."""
+    """All columns of `docs` and, last, the score (0 to 1): `toxic_score`, with `_` behind it if `docs` has such a column. A null text scores as an empty one."""
     settings = model.settings
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     names = docs.columns
-    if "toxic_score" in names:
-        raise ValueError("documents already have a column toxic_score")
+    score, own_text = fresh_names(names, "toxic_score", "toxic_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -195,10 +197,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 scores = [own.score(features_of(t or "", settings)) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "toxic_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*names, score])
 
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
-    return bounded_batches(docs).select(*names, text_or_empty().alias("toxic_text")).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    return bounded_batches(docs).select(*names, text_or_empty().alias(own_text)).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -216,4 +218,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), limit: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below `limit`, with their columns."""
-    return score_documents(docs, train(docs, labels, settings)).where(F.col("toxic_score") < limit).drop("toxic_score")
+    scored = score_documents(docs, train(docs, labels, settings))
+    return scored.where(F.col(scored.columns[-1]) < limit).select(*docs.columns)

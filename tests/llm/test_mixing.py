@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import mixing
@@ -42,6 +43,45 @@ def test_flight_keeps_both_totals_and_leaves_two():
     assert all(p in (0.0, 1.0) for p in mixing.landing(sizes, out, random.Random(3)))
 
 
+def plain_flight(sizes, chances, rng):
+    """The flight with null vectors from linear algebra: a move along one keeps both constraints, forth or back to the next wall."""
+    out = np.array(chances, float)
+    while True:
+        active = [i for i in range(len(out)) if 1e-9 < out[i] < 1 - 1e-9][:3]
+        rows = np.array([[1.0] * len(active), [sizes[i] for i in active]])
+        if len(active) < 2 or np.linalg.matrix_rank(rows) == len(active):
+            return out
+        a, b = sizes[active[0]], sizes[active[1]]
+        if len(active) == 3 and not (a == b == sizes[active[2]]):
+            u = np.linalg.svd(rows)[2][-1]
+            c = sizes[active[2]]
+            u = u * np.sign(u[np.abs(u).argmax()]) * np.sign(np.array([b - c, c - a, a - b])[np.abs(u).argmax()])
+        else:
+            u = np.array([1.0, -1.0, 0.0])[: len(active)]
+        walls = lambda d: min(((1 - out[i]) / x if x > 0 else out[i] / -x) for i, x in zip(active, d) if abs(x) > 1e-12)
+        forth, back = walls(u), walls(-u)
+        out[active] += u * (forth if rng.random() * (forth + back) < back else -back)
+        out[np.abs(out) < 1e-9] = 0.0
+        out[np.abs(1 - out) < 1e-9] = 1.0
+
+
+def test_flight_against_null_vectors_of_linear_algebra():
+    for seed in range(20):
+        rng = random.Random(seed)
+        sizes = [float(rng.choice([3, 3, 7, 20, rng.randrange(1, 99)])) for _ in range(40)]
+        chances = [rng.choice([0.25, 0.5, rng.random()]) for _ in sizes]
+        assert mixing.flight(sizes, chances, random.Random(seed)) == pytest.approx(plain_flight(sizes, chances, random.Random(seed)), abs=1e-6)
+
+
+def test_each_document_is_taken_with_its_chance():
+    sizes, chances = [3.0, 5.0, 8.0, 13.0, 2.0, 9.0], [0.2, 0.5, 0.7, 0.4, 0.9, 0.3]
+    total, n = np.zeros(6), 4000
+    for seed in range(n):
+        rng = random.Random(seed)
+        total += mixing.landing(sizes, mixing.flight(sizes, chances, rng), rng)
+    assert np.abs(total / n - chances).max() < 5 * 0.5 / n**0.5
+
+
 def test_mix_meets_targets(spark):
     rows = [doc(i, words(5 + i % 60, i), f"s{i % 5}" if i % 3 else "s0") for i in range(1500)]
     got = mixing.balanced_mix(frame(spark, rows), block_rows=64).toPandas()
@@ -67,8 +107,9 @@ def test_odd_rows(spark):
 
 def test_documents_come_as_often_as_taken(spark):
     rows = odd_docs() + [doc(100 + i, words(10 + i, i), "b") for i in range(60)]
-    docs = frame(spark, [(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, copies int")
+    docs = frame(spark, [(*r, 1, 2, 777, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, copies int, own_size int, mix_id int, mix_key int, own_key int")
     mix = mixing.balanced_mix(docs)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
+    assert {r.own_size for r in out.collect()} == {777}
     assert out.count() == mix.agg({"copies": "sum"}).first()[0]

@@ -60,7 +60,7 @@ def test_links_give_the_components_of_all_pairs(spark):
     marks = near_marks(300, 3)
     want = plain_components(marks)
     signed = np.array(marks, np.uint64).view(np.int64).tolist()
-    for longest in (512, 2):  # 2: nearly all lists take the way for long lists
+    for longest in (512, 12, 2):  # the less, the more lists are split by further positions; 2: most of those are still too long
         table = spark.createDataFrame([(m,) for m in signed], "mark long")
         links = simhash.near_links(table, longest).collect()
         at = {m: i for i, m in enumerate(signed)}
@@ -78,6 +78,13 @@ def test_links_give_the_components_of_all_pairs(spark):
         assert [root(i) for i in range(len(marks))] == want
 
 
+def test_lists_are_split_by_the_positions_of_the_minimum():
+    for k, own in enumerate(simhash.KEYS):
+        rest = [p for p in range(8) if p not in own]
+        further = [set(five) - set(own) for five in simhash.FIVES if set(own) <= set(five)]
+        assert sorted(map(sorted, further)) == [[a, b] for i, a in enumerate(rest) for b in rest[i + 1 :]], k
+
+
 def test_documents_against_brute_force(spark):
     rng = random.Random(5)
     base = words(120, 1).split(" ")

@@ -39,6 +39,47 @@ def test_features_are_the_distinct_grams_of_the_whole_text():
     assert np.array_equal(toxicity.distinct(values, 12), np.unique(values))
 
 
+def plain_buckets(text, orders=(3, 4), bits=18):
+    """Distinct grams as strings, and their hashes in whole numbers."""
+    chars = [32 if 9 <= ord(c) <= 13 else ord(c) + 32 * ("A" <= c <= "Z") for c in f" {text} "]
+    grams = {tuple(chars[i : i + n]) for n in orders for i in range(len(chars) - n + 1)}
+    out = set()
+    for g in grams:
+        code = 0
+        for c in g:
+            code = (code * 0x01000193 + c + 1) % 2**32
+        code = code * 2654435761 % 2**32
+        code ^= code >> 15
+        out.add((code * 2246822519 % 2**32) >> (32 - bits))
+    return out
+
+
+def test_grams_are_of_characters():
+    for text in ["Straße über Ähre", "Привет, мир", "日本語のテキスト", "Yes\tNo \u00a0 x", "a", "", "😀 ok 😀", words(60, 3)]:
+        assert set(toxicity.features_of(text, toxicity.Settings()).tolist()) == plain_buckets(text), text
+    assert len(toxicity.features_of("日本語", toxicity.Settings(orders=(3,)))) == 3
+
+
+def test_regression_against_a_dense_one():
+    s = toxicity.Settings(bits=6, rounds=15)
+    rng = np.random.default_rng(6)
+    sample = [(int(k % 3 == 0), np.sort(rng.choice(64, rng.integers(1, 20), replace=False)).astype("<u4")) for k in range(50)]
+    ratio = rng.standard_normal(64)
+    x = np.zeros((50, 64))
+    for row, (_, f) in zip(x, sample):
+        row[f] = ratio[f] / np.sqrt(len(f))
+    y = np.array([t for t, _ in sample], float)
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    w, m, v = np.zeros(65), np.zeros(65), np.zeros(65)
+    for k in range(1, s.rounds + 1):
+        error = each * (1 / (1 + np.exp(-(x @ w[:64] + w[64]))) - y)
+        slope = np.append(x.T @ error + s.ridge * w[:64] / len(y), error.sum())
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w = w - s.rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    got, bias = toxicity.fit_regression(list(sample), ratio, s, part=16)
+    assert np.allclose(got, w[:64], atol=1e-8) and abs(bias - w[64]) < 1e-8
+
+
 def test_held_out_rows_are_told_apart(spark):
     docs, labels = corpus()
     got = toxicity.toxicity(frame(spark, docs), frame(spark, labels, LABELS)).toPandas()
@@ -70,7 +111,7 @@ def test_scores_know_texts_alone_and_counts_match_a_plain_count(spark):
 
 def test_odd_rows(spark):
     rows = odd_docs()
-    docs = frame(spark, [(*r, 1, 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, toxic int, score double")
+    docs = frame(spark, [(*r, 1, 0.5, 0.1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, toxic int, score double, toxic_score double, toxic_text string")
     for labels in ([], [(1, 1, 1)], [(1, 1, 0), (1, 1, 1), (None, 1, 1), (5, None, None), (9, 0, 0), (77, 1, 1), (7, 1, 9)]):
         got = toxicity.toxicity(docs, frame(spark, labels, LABELS)).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
