@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,27 +146,49 @@ def smoke_reasons(response: Column, expected: Column) -> Column:
     )
 
 
-def gram_score(reference: str, hypothesis: str, orders: int = CHRF_ORDERS, beta: float = CHRF_BETA) -> float:
-    """Mean over orders of the F-score of clipped n-gram matches, times 100; see `chrf2`."""
-    total, used, weight = 0.0, 0, beta * beta
-    for n in range(1, min(orders, len(reference), len(hypothesis)) + 1):
-        own = Counter([reference[i : i + n] for i in range(len(reference) - n + 1)])
-        matched = 0
-        for i in range(len(hypothesis) - n + 1):
-            gram = hypothesis[i : i + n]
-            left = own.get(gram, 0)
-            if left:
-                own[gram] = left - 1
-                matched += 1
-        total += (1 + weight) * matched / (weight * (len(reference) - n + 1) + len(hypothesis) - n + 1)
-        used += 1
-    return 100.0 * total / used if used else 0.0
+def gram_scores(references: list[str], hypotheses: list[str], orders: int = CHRF_ORDERS, beta: float = CHRF_BETA) -> np.ndarray:
+    """`chrf2` of pairs of texts, all together: n-grams are numbered order by order, from the number of the gram before and its next character."""
+    n_rows, weight = len(references), beta * beta
+    texts = [*references, *hypotheses]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(2 * n_rows), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+    letters, code = np.unique(chars, return_inverse=True)
+    letter, row = code.astype(np.int64), text % max(1, n_rows)
+    gram, total, used = letter, np.zeros(n_rows), np.zeros(n_rows)
+    for n in range(1, orders + 1):
+        at = np.flatnonzero(left >= n)
+        if n > 1:
+            numbers = gram[at] * len(letters) + letter[at + n - 1]
+            gram = np.zeros(len(chars), np.int64)
+            gram[at] = np.unique(numbers, return_inverse=True)[1]
+        # A gram of a row, and how often either text has it.
+        key = row[at] * (len(chars) + 1) + gram[at]
+        kinds, place = np.unique(key, return_inverse=True)
+        other = text[at] >= n_rows
+        both = np.minimum(np.bincount(place[~other], minlength=len(kinds)), np.bincount(place[other], minlength=len(kinds)))
+        matched = np.bincount(kinds // (len(chars) + 1), both, minlength=n_rows)
+        r, h = sizes[:n_rows] - n + 1, sizes[n_rows:] - n + 1
+        some = (r > 0) & (h > 0)
+        total[some] += ((1 + weight) * matched[some]) / (weight * r[some] + h[some])
+        used += some
+    return 100.0 * total / np.maximum(used, 1)
 
 
 @F.pandas_udf(DoubleType())
 def chrf2_column(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
-    """`chrf2` of each row where it lies: n-grams of long texts are many more bytes than the texts, so none are shuffled."""
-    return pd.Series([None if r is None or h is None else gram_score(r, h) for r, h in zip(references, hypotheses, strict=True)], dtype="float64")
+    """`chrf2` of each row where it lies: n-grams of long texts are many more bytes than the texts, so none are shuffled. Null if either text is."""
+    out = np.full(len(references), np.nan)
+    known = np.flatnonzero((references.notna() & hypotheses.notna()).to_numpy())
+    begin, size = 0, 0
+    for k, i in enumerate(known.tolist(), 1):
+        size += len(references.iloc[i]) + len(hypotheses.iloc[i])
+        if size > 1 << 18 or k == len(known):
+            some = known[begin:k]
+            out[some] = gram_scores(references.iloc[some].tolist(), hypotheses.iloc[some].tolist())
+            begin, size = k, 0
+    return pd.Series(out).astype(object).where(pd.Series(out).notna(), None)
 
 
 def character_grams(rows: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:

@@ -22,6 +22,11 @@ NOT_ALPHANUMERIC = r"[^\p{L}\p{N}]+"
 REPLACEMENT = "�"
 #: Code points below U+0300 are in normal form C, in any order.
 SIMPLE = r"^[\x00-\x{2ff}]*$"
+#: Letters and signs above that of scripts without case and of Cyrillic, none of which combines with another character: texts of these are in normal form C.
+CASELESS = r"\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3001}-\x{3029}\x{3030}-\x{303e}\x{3041}-\x{3096}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{a000}-\x{a48c}\x{a490}-\x{a4c6}\x{ac00}-\x{d7a3}"
+COMPOSED = rf"^[\x00-\x{{2ff}}\x{{400}}-\x{{482}}\x{{48a}}-\x{{52f}}{CASELESS}]*$"
+#: Full case folding leaves these letters as they are.
+FOLDED = rf"^[\x00-\x{{2ff}}{CASELESS}]*$"
 
 
 @F.pandas_udf(StringType())
@@ -40,13 +45,13 @@ def or_empty(text: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    simple = text.rlike(SIMPLE)
+    simple = text.rlike(COMPOSED)
     return F.when(simple, text).otherwise(_nfc(F.when(~simple, text)))
 
 
 def casefold(text: Column) -> Column:
     """Full case folding. Below U+0300 five letters fold in another way than they are lowered."""
-    simple = text.rlike(SIMPLE)
+    simple = text.rlike(FOLDED)
     native = F.translate(text, "µſ", "μs")
     for letter, folded in (("ß", "ss"), ("ŉ", "ʼn"), ("ǰ", "ǰ")):
         native = F.replace(native, F.lit(letter), F.lit(folded))

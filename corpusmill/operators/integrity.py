@@ -28,6 +28,20 @@ def verify_manifest(required: DataFrame, declared: DataFrame, actual: DataFrame)
     return rows.select("name", status.alias("status"), "bytes", F.col("told_records").alias("records"))
 
 
+def folded_hashes(rows: DataFrame, group: str, order: str, text: str, per: int = 1024) -> DataFrame:
+    """(group, sha256, bytes, records): one hash of all texts of a group, from hashes of texts in order, so that no text is collected.
+
+    The texts' SHA-256 (nothing for a null) are joined and hashed in parts of `per` numbers of `order`, and so are the
+    parts' hashes; `order` is a whole number.
+    """
+    part = F.floor(F.col(order) / per).alias("part")
+    sums = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.sha2(text, 256), F.lit("")).alias("sum")))), lambda x: x["sum"]), "")
+    size = F.sum(F.octet_length(text)).cast("long")
+    parts = rows.groupBy(group, part).agg(F.sha2(sums, 256).alias("sum"), size.alias("bytes"), F.count("*").alias("records"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sum"))), lambda x: x["sum"]), "")
+    return parts.groupBy(group).agg(F.sha2(whole, 256).alias("sha256"), F.sum("bytes").alias("bytes"), F.sum("records").alias("records"))
+
+
 def without_exact_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """Of rows that share a key the one with the smallest `order`."""
     least = rows.groupBy(key.alias("exact_key")).agg(F.min(order).alias("exact_first"))

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from corpusmill.sources.files import Store
 
 DONE = "DONE"
 
 
-def run_stage(folder: str | Path, produce: Callable[[Path], None], needs: tuple[str | Path, ...] = ()) -> bool:
-    """Runs `produce(folder)` and marks the folder as done; False if it was done before.
+def run_stage(spark: SparkSession, folder: str, produce: Callable[[str], None], needs: tuple[str, ...] = ()) -> bool:
+    """Runs `produce(folder)` and marks the folder as done; False if it was done before. Folders may be in any store that Spark reaches.
 
     Output without a mark is what a broken run left or what someone else wrote, so it is refused, never replaced.
     """
-    folder = Path(folder)
-    if (folder / DONE).is_file():
+    store = Store(spark, folder)
+    if store.exists(DONE):
         return False
     for path in needs:
-        if not Path(path).exists():
+        if not Store(spark, path).exists():
             raise FileNotFoundError(f"a stage before this one has not finished: {path} is missing")
-    if folder.exists() and any(folder.iterdir()):
+    if store.names():
         raise FileExistsError(f"{folder} holds output without {DONE}")
-    folder.mkdir(parents=True, exist_ok=True)
+    store.make()
     produce(folder)
-    (folder / DONE).touch()
+    store.touch(DONE)
     return True

@@ -478,14 +478,14 @@ def tensor_health_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select source as name, sha256(string_agg(text, chr(10) order by doc_id)) as sha, sum(strlen(text))::bigint as bytes, count(*)::bigint as records from documents group by source),
+with b as (select source, doc_id // 1024 as part, sha256(string_agg(coalesce(sha256(text), ''), '' order by doc_id)) as sha, sum(strlen(text))::bigint as bytes, count(*)::bigint as records from documents group by source, doc_id // 1024),
+a as (select source as name, sha256(string_agg(sha, '' order by part)) as sha, sum(bytes)::bigint as bytes, sum(records)::bigint as records from b group by source),
 n as (select unnest(range(25)) as k), r as (select 'src' || k as name, k from n)
 select r.name, case when k % 5 = 4 then 'undeclared' when a.sha is null then 'missing' when k % 5 = 3 then 'sha_mismatch' when k % 5 = 2 then 'records_mismatch' else 'ok' end as status, a.bytes,
   case when k % 5 = 4 or a.sha is null and k % 5 <> 4 and k >= 25 then null when k % 5 = 2 then coalesce(a.records, 0) + 1 else coalesce(a.records, 0) end::bigint as records from r left join a on a.name = r.name""")
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\n")
-    actual = docs.groupBy(F.col("source").alias("name")).agg(F.sha2(joined, 256).alias("sha256"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count("*").alias("records"))
+    actual = integrity.folded_hashes(docs, "source", "doc_id", "text").withColumnRenamed("source", "name")
     required = spark.range(25).select(F.concat(F.lit("src"), F.col("id")).alias("name"), F.col("id").alias("k"))
     told = required.where("k % 5 <> 4").join(actual, "name", "left")
     sha = F.when(F.col("k") % 5 == 3, F.lit("0" * 64)).otherwise(F.upper(F.coalesce("sha256", F.lit("ab"))))
@@ -526,16 +526,8 @@ def jsonl_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", none.alias("error"), F.sha2("text", 256).alias("value_sha")).unionByName(bad.select("doc_id", "error", none.alias("value_sha")))
 
 
-@query(f"with t as (select doc_id, case when doc_id % 3 = 0 then substr(text, 1, 40) || 'abcabcabcabcabc' else substr(text, 1, 40) end as t from documents) select doc_id, doc_id % 3 = 0 as loops from t where doc_id % 3 = 0")
-def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documented, not implemented, in what this engine follows: the rule is this engine's own. DuckDB has no back-references, so a planted loop is looked for."""
-    n = F.col("doc_id")
-    planted = F.when(n % 3 == 0, F.concat(F.substring("text", 1, 40), F.lit("abcabcabcabcabc"))).otherwise(F.substring("text", 1, 40))
-    return table(spark, sf_dir, "documents").where(n % 3 == 0).select("doc_id", integrity.has_loop(planted).alias("loops"))
-
-
 @query()
-def repetition_loops_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops in the whole text of every document, units of any length; SQL has no back-references, so there is none."""
     return table(spark, sf_dir, "documents").select("doc_id", integrity.has_loop(F.col("text")).alias("loops"))
 

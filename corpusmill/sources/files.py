@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MARKERS = ("VERIFIED.sha256", "snapshot_manifest.json")
 
 
-def inventory(spark: SparkSession, root: str, pattern: str | None = None, skip_folder: str = ".cache", skip_names: tuple[str, ...] = MARKERS) -> DataFrame:
-    """(path, bytes, sha256) of all files below `root`, paths relative; what lies in a skipped folder, and marker files, are left out. For files below 2 GB."""
+#: Bytes of a file read at a time; files below the limit are hashed by Spark itself, larger ones in blocks.
+BLOCK, WHOLE_FILE = 8 << 20, 1 << 30
+
+
+def with_hashes(found: DataFrame, limit: int = WHOLE_FILE) -> DataFrame:
+    """`found` (path, length and other columns of listed files) with `sha256`. A file of any size takes the memory of a block or, below `limit`, of the file."""
+    names = found.columns
+    small = found.where(F.col("length") < limit).select(*names, F.sha2("content", 256).alias("sha256")).drop("content")
+    large = found.where(F.col("length") >= limit).drop("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with opened(path) as source:
+                    while block := source.read(BLOCK):
+                        digest.update(block)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[*batch.schema.names, "sha256"])
+
+    return small.unionByName(large.mapInArrow(run, StructType([*large.schema.fields, StructField("sha256", StringType())])))
+
+
+def opened(path: str) -> Any:
+    """A stream of a file that Arrow's file systems reach by its URI."""
+    store, local = pyarrow.fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+    return store.open_input_file(local)
+
+
+def listed(reader: DataFrameReader, paths: str | list[str]) -> DataFrame:
+    """(path, length, content) of files. Spark's scans pass over empty files, so these are added from the list of files that it holds."""
+    found = reader.load(paths).select("path", "length", "content")
+    names = [("file:" + n[7:] if n.startswith("file:///") else n,) for n in map(unquote, found.inputFiles())]
+    every = found.sparkSession.createDataFrame(names, "path string")
+    empty = every.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
+def inventory(spark: SparkSession, root: str, pattern: str | None = None, skip_folder: str = ".cache", skip_names: tuple[str, ...] = MARKERS, limit: int = WHOLE_FILE) -> DataFrame:
+    """(path, bytes, sha256) of all files below `root`, paths relative; what lies in a skipped folder, and marker files, are left out. Files may have any size."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
+    found = listed(reader.option("pathGlobFilter", pattern) if pattern else reader, root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     path = F.regexp_replace(F.element_at(F.split("path", r"^\w+:(//[^/]*)?", 2), -1), "^" + regex_quoted(base) + "/+", "")
     parts = F.split(path, "/")
-    kept = found.select(path.alias("path"), parts.alias("parts"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return kept.where(~F.array_contains("parts", skip_folder) & ~F.element_at("parts", -1).isin(*skip_names)).select("path", "bytes", "sha256")
+    kept = found.where(~F.array_contains(parts, skip_folder) & ~F.element_at(parts, -1).isin(*skip_names))
+    named = with_hashes(kept.select("path", "length", path.alias("name"), "content"), limit)
+    return named.select(F.col("name").alias("path"), F.col("length").alias("bytes"), "sha256")
 
 
 def regex_quoted(text: str) -> str:
@@ -54,13 +99,44 @@ def write_manifest(path: str | Path, content: dict[str, Any], stamp: str | None
     Path(path).write_text(json.dumps(content, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
 
 
-def write_marker(folder: str | Path, passed: bool) -> Path:
-    """PASSED or FAILED, the other one removed."""
-    for name in ("PASSED", "FAILED"):
-        (Path(folder) / name).unlink(missing_ok=True)
-    marker = Path(folder) / ("PASSED" if passed else "FAILED")
-    marker.touch()
-    return marker
+def write_marker(folder: str | Path, passed: bool, spark: SparkSession | None = None) -> Any:
+    """PASSED or FAILED, the other one removed. With `spark`, in any store that it reaches."""
+    kept, gone = ("PASSED", "FAILED") if passed else ("FAILED", "PASSED")
+    if spark is None:
+        (Path(folder) / gone).unlink(missing_ok=True)
+        (Path(folder) / kept).touch()
+        return Path(folder) / kept
+    store = Store(spark, str(folder))
+    store.remove(gone)
+    store.touch(kept)
+    return f"{folder}/{kept}"
+
+
+class Store:
+    """Names below a folder of a file system that Spark reaches, shared ones among them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._root = self._path(folder)
+        self._system = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str) -> Any:
+        return self._path(self._root, name) if name else self._root
+
+    def exists(self, name: str = "") -> bool:
+        return self._system.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._system.listStatus(self._root)) if self.exists() else []
+
+    def touch(self, name: str) -> None:
+        self._system.create(self._at(name), True).close()
+
+    def remove(self, name: str) -> None:
+        self._system.delete(self._at(name), True)
+
+    def make(self) -> None:
+        self._system.mkdirs(self._root)
 
 
 def write_verification(spark: SparkSession, root: str, **about: Any) -> DataFrame:
@@ -77,21 +153,24 @@ TENSOR_TYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": "<u2", "I64":
 
 
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, shape, values) of tensor files: an 8-byte header size, a JSON header, then the data; one file at a time in a task."""
-    import numpy as np
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                size = int.from_bytes(content[:8], "little")
-                header = json.loads(content[8 : 8 + size])
-                for name, t in header.items():
-                    if name == "__metadata__":
-                        continue
-                    begin, end = (8 + size + x for x in t["data_offsets"])
-                    raw = np.frombuffer(content[begin:end], TENSOR_TYPES[t["dtype"]])
-                    values = (raw.astype("<u4") << 16).view("<f4") if t["dtype"] == "BF16" else raw
-                    yield pd.DataFrame({"file": [file], "name": [name], "shape": [t["shape"]], "values": [values.astype("<f8")]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, name string, shape array<long>, values array<double>")
+    """(file, name, shape, values) of tensor files of any size: an 8-byte header size, a JSON header, then the data. A task holds one tensor at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with opened(file) as source:
+                    size = int.from_bytes(source.read(8), "little")
+                    header = json.loads(source.read(size))
+                    for name, t in header.items():
+                        if name == "__metadata__":
+                            continue
+                        begin, end = t["data_offsets"]
+                        source.seek(8 + size + begin)
+                        raw = np.frombuffer(source.read(end - begin), TENSOR_TYPES[t["dtype"]])
+                        values = (raw.astype("<u4") << 16).view("<f4") if t["dtype"] == "BF16" else raw
+                        values = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype("<f8")))
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([name]), pa.array([t["shape"]], pa.list_(pa.int64())), values], names=["file", "name", "shape", "values"])
+
+    # Without `content` Spark lists the files and reads none.
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(run, "file string, name string, shape array<long>, values array<double>")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import sys
 import unicodedata
@@ -89,7 +90,13 @@ def test_chrf_and_error_rate(spark):
     got = {r.k: r.chrf2 for r in metrics.chrf2(rows, ["k"], "r", "h").collect()}
     for i, (r, h) in enumerate(pairs):
         assert got[i] == pytest.approx(plain_chrf(r, h), abs=1e-9)
-        assert metrics.gram_score(r, h) == pytest.approx(plain_chrf(r, h), abs=1e-9)
+        assert metrics.gram_scores([r], [h])[0] == pytest.approx(plain_chrf(r, h), abs=1e-9)
+    rng = random.Random(2)
+    pairs += [("".join(rng.choice("abç \U0001f600ꀀ") for _ in range(rng.randrange(60))), "".join(rng.choice("abç \U0001f600") for _ in range(rng.randrange(60)))) for _ in range(200)]
+    want = [pytest.approx(plain_chrf(r, h), abs=1e-9) for r, h in pairs]
+    assert metrics.gram_scores(*zip(*pairs)).tolist() == want
+    many = spark.createDataFrame([(i, *p) for i, p in enumerate([*pairs, (None, "a"), ("a", None)])], "k int, r string, h string")
+    assert [r.c for r in many.select("k", metrics.chrf2_column(F.col("r"), F.col("h")).alias("c")).orderBy("k").collect()] == [*want, None, None]
     cer = [r.c for r in rows.orderBy("k").select(metrics.character_error_rate(F.col("r"), F.col("h")).alias("c")).collect()]
     assert cer[:5] == [0, pytest.approx(1 / 3), 0, 0, 3]
 
@@ -125,3 +132,19 @@ def test_rounding_is_of_the_binary_value(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(rounded(F.col("x"), 2)).collect()]
     assert [round(x, 2) for x in numbers][1] == 0.12 and got == pytest.approx([round(x, 2) for x in numbers], abs=0.0101)
     assert got[1] == 0.12 and got[2] == pytest.approx(318.15)
+
+
+def test_sets_of_characters_that_need_no_python():
+    """Every character of the sets is a starter in normal form C that no composition ends with, and those without case fold to themselves."""
+    java = lambda x: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)) if m[1] != "2ff" else "\u02ff", x)
+    composed, folded = (re.compile(java(x)) for x in (text.COMPOSED, text.FOLDED))
+    ends = set()
+    for c in map(chr, range(0x110000)):
+        d = unicodedata.decomposition(c)
+        if d and "<" not in d and len(d.split()) == 2:
+            ends.add(chr(int(d.split()[1], 16)))
+    for c in map(chr, range(0x300, 0x110000)):
+        if composed.match(c):
+            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in ends, hex(ord(c))
+        if folded.match(c):
+            assert c.casefold() == c == c.lower(), hex(ord(c))

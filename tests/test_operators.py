@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import hashlib
 import random
 
 import pytest
@@ -281,18 +282,29 @@ def test_truncation_kinds(spark):
     assert [r.truncation for r in got] == ["runaway_repetition", "reference_too_long", "other", None]
 
 
-def test_stages_run_once(tmp_path):
-    made = []
-    run = lambda name, needs=(): stages.run_stage(tmp_path / name, lambda p: made.append(p.name), needs)
-    assert run("a") and not run("a") and run("b", (tmp_path / "a" / stages.DONE,)) and made == ["a", "b"]
+def test_stages_run_once(spark, tmp_path):
+    made, root = [], f"file://{tmp_path}"
+    run = lambda name, needs=(): stages.run_stage(spark, f"{root}/{name}", lambda p: made.append(p.rsplit("/")[-1]), needs)
+    assert run("a") and not run("a") and run("b", (f"{root}/a/{stages.DONE}",)) and made == ["a", "b"]
     with pytest.raises(FileNotFoundError, match="not finished"):
-        run("c", (tmp_path / "x",))
+        run("c", (f"{root}/x",))
     (tmp_path / "d").mkdir()
     (tmp_path / "d/part").touch()
     with pytest.raises(FileExistsError, match="without DONE"):
         run("d")
 
 
+def test_hashes_of_groups_are_folded(spark):
+    rows = [(i, f"g{i % 3}", None if i % 7 == 0 else f"text {i}") for i in range(-20, 60)]
+    got = {r.g: (r.sha256, r.bytes, r.records) for r in integrity.folded_hashes(spark.createDataFrame(rows, "i int, g string, t string").repartition(4), "g", "i", "t", per=8).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for g in ("g0", "g1", "g2"):
+        own = [(i, t) for i, k, t in rows if k == g]
+        parts = sorted({i // 8 for i, _ in own})
+        want = sha("".join(sha("".join(sha(t) if t is not None else "" for i, t in own if i // 8 == p)) for p in parts))
+        assert got[g] == (want, sum(len(t or "") for _, t in own), len(own))
+
+
 def test_template_choice():
     assert chat.template_for("plain", False) == "plain" and chat.template_for("plain", True) == chat.GENERATION_TEMPLATE == chat.template_for(None, True)
     assert chat.template_for(chat.GENERATION_TEMPLATE + " ", True) == chat.GENERATION_TEMPLATE + " "

@@ -11,12 +11,12 @@ from corpusmill.streaming.batches import handle_available
 
 
 def test_stage_contract(spark, tmp_path):
-    lines = ['﻿{"text":"ꆈꌠ","metadata":{"source_page":"cover"}}', "", '{"text":"ꀀꁌ","metadata":{"source_page":25}}', '{"metadata":{}}', "{broken", '{"text":7}', " \t", '{"text":" "}', "[1]"]
-    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    good, bad = jsonl.read_stage(spark, str(tmp_path / "a.jsonl"), "cpt")
-    assert sorted((r.line, r.text) for r in good.collect()) == [(1, "ꆈꌠ"), (3, "ꀀꁌ")]
+    lines = ['\ufeff{"text":"first words","metadata":{"n":[1]}}', "  ", '{"text":"second","metadata":"plain"}', '{"note":1}', '{"text":"cut', '{"text":null}', "\t", '{"text":"\\u3000"}', "17"]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    good, bad = jsonl.read_stage(spark, str(tmp_path / "in.jsonl"), "cpt")
+    assert sorted((r.line, r.text) for r in good.collect()) == [(1, "first words"), (3, "second")]
     assert sorted((r.line, r.error) for r in bad.collect()) == [(4, "text_missing"), (5, "invalid_json"), (6, "text_missing"), (8, "text_missing"), (9, "text_missing")]
-    with pytest.raises(ValueError, match="a.jsonl:"):
+    with pytest.raises(ValueError, match="in.jsonl:"):
         jsonl.require_valid(good, bad)
     assert jsonl.require_valid(good, bad.limit(0)).count() == 2
     with pytest.raises(ValueError, match="no usable"):
@@ -24,10 +24,11 @@ def test_stage_contract(spark, tmp_path):
 
 
 def test_messages_contract(spark, tmp_path):
-    lines = ['{"messages":[{"role":"user","content":"你好"},{"role":"assistant","content":"ꀋꉬ"}],"metadata":1}', '{"messages":[]}', '{"messages":"x"}', '{"text":"x"}']
-    (tmp_path / "b.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    turns = [{"role": "system", "content": "Be brief."}, {"role": "user", "content": "Two plus two?"}, {"role": "assistant", "content": "Four."}]
+    lines = [json.dumps({"messages": turns, "extra": [None]}), '{"messages":[]}', '{"messages":{"role":"user"}}', '{"turns":[]}']
+    (tmp_path / "chat.jsonl").write_text("\n".join(lines), encoding="utf-8")
     good, bad = jsonl.read_stage(spark, str(tmp_path), "sft")
-    assert [[tuple(m) for m in r.messages] for r in good.collect()] == [[("user", "你好"), ("assistant", "ꀋꉬ")]]
+    assert [[tuple(m) for m in r.messages] for r in good.collect()] == [[(t["role"], t["content"]) for t in turns]]
     assert bad.count() == 3
     with pytest.raises(ValueError, match="unknown stage"):
         jsonl.read_stage(spark, str(tmp_path), "rl")
@@ -45,20 +46,35 @@ def test_lines_and_sinks(spark, tmp_path):
 
 
 def test_inventory_and_checksums(spark, tmp_path):
-    root = tmp_path / "model"
-    (root / ".cache/x").mkdir(parents=True)
-    (root / "sub").mkdir()
-    (root / "config.json").write_bytes(b"words\n")
-    (root / "sub/w.bin").write_bytes(b"\x00\x01")
-    (root / ".cache/x/download.lock").write_bytes(b"")
-    got = files.write_verification(spark, str(root), repo_id="a/b")
-    assert sorted((r.path, r.bytes, r.sha256) for r in got.collect()) == [("config.json", 6, hashlib.sha256(b"words\n").hexdigest()), ("sub/w.bin", 2, hashlib.sha256(b"\x00\x01").hexdigest())]
+    root = tmp_path / "tree"
+    contents = {"readme.txt": b"one line", "deep/er/numbers.bin": bytes(range(256)), "deep/empty": b""}
+    for name, data in (contents | {".cache/left/over.tmp": b"?"}).items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    want = sorted((name, len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items())
+    assert sorted(tuple(r) for r in files.inventory(spark, str(root), limit=100).collect()) == want  # the larger one in blocks
+    got = files.write_verification(spark, str(root), about="a tree")
+    assert sorted(tuple(r) for r in got.collect()) == want
     told = {r.path: r.sha256 for r in files.read_checksums(spark, str(root / "VERIFIED.sha256")).collect()}
-    assert told.keys() == {"config.json", "snapshot_manifest.json", "sub/w.bin"} and told["sub/w.bin"] == hashlib.sha256(b"\x00\x01").hexdigest()
-    assert json.loads((root / "snapshot_manifest.json").read_text())["repo_id"] == "a/b"
+    assert told.keys() == {*contents, "snapshot_manifest.json"} and told["deep/empty"] == hashlib.sha256(b"").hexdigest()
+    assert json.loads((root / "snapshot_manifest.json").read_text())["about"] == "a tree"
     (tmp_path / "manifest.json").write_text(json.dumps({"files": {"a": {"sha256": "x", "records": 1, "bytes": 2}, "b": {"sha256": None}}}))
     assert sorted(tuple(r) for r in files.read_manifest(spark, str(tmp_path / "manifest.json")).collect()) == [("a", "x", 1, 2), ("b", None, None, None)]
     assert files.write_marker(tmp_path, True).name == "PASSED" and files.write_marker(tmp_path, False).name == "FAILED" and not (tmp_path / "PASSED").exists()
+    assert files.write_marker(f"file://{tmp_path}", True, spark).endswith("/PASSED") and (tmp_path / "PASSED").exists() and not (tmp_path / "FAILED").exists()
+
+
+def test_a_file_of_three_gigabytes(spark, tmp_path):
+    """Longer than any array can be; sparse, so it takes no room."""
+    with open(tmp_path / "long.bin", "wb") as out:
+        out.seek((3 << 30) - 1)
+        out.write(b"x")
+    digest = hashlib.sha256()
+    for _ in range(3 * 1024 - 1):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes((1 << 20) - 1) + b"x")
+    (row,) = files.inventory(spark, str(tmp_path)).collect()
+    assert tuple(row) == ("long.bin", 3 << 30, digest.hexdigest())
 
 
 def test_tensor_files(spark, tmp_path):
@@ -89,7 +105,14 @@ def test_merged_parts_are_one_ordered_file(spark, tmp_path):
 
 def test_provenance(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
-    got = provenance.run_record(spark, tmp_path, [str(tmp_path / "f")], "0, Card A, 1.2, 24 GB, 8.6\n\n1, Card B, 1.2, 24 GB, 8.6")
-    assert got["inputs"][0]["bytes"] == 3 and got["inputs"][0]["sha256"] == hashlib.sha256(b"abc").hexdigest()
-    assert [g["name"] for g in got["gpus"]] == ["Card A", "Card B"] and got["git"]["dirty"] is False
-    assert provenance.command_output(["no-such-command"]) is None
+    (got,) = provenance.run_record(spark, str(tmp_path), [str(tmp_path / "f")], "7, Some card, 9.9, 16 GB, 1.0\n\n8, Other card, 9.9, 16 GB, 1.0").collect()
+    assert got.inputs[0].bytes == 3 and got.inputs[0].sha256 == hashlib.sha256(b"abc").hexdigest()
+    assert [g.name for g in got.devices] == ["Some card", "Other card"] and got.code.commit == "" and not got.code.clean
+
+
+def test_code_state():
+    told = "# branch.oid 12ab\n# branch.head side\n# branch.upstream o/side\n1 .M N... 100644 100644 100644 aa bb src/a b.py\n2 R. N... 100644 100644 100644 aa bb R100 new name\told\n? loose file\n"
+    assert provenance.parse_status(told) == provenance.CodeState("12ab", "side", ["src/a b.py", "new name", "loose file"])
+    fresh = provenance.parse_status("# branch.oid (initial)\n# branch.head (detached)\n")
+    assert fresh == provenance.CodeState() and not fresh.clean and provenance.CodeState("1", "m").clean
+    assert provenance.code_state("/no/such/folder") == provenance.CodeState()
