@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_batches, forget, text_or_empty, written
+from corpusmill.llm.common import bounded_batches, forget, fresh_names, text_or_empty, written
 from corpusmill.llm.components import connected
 from corpusmill.llm.tokens import slices
 
@@ -213,8 +213,9 @@ def one_of_each(docs: DataFrame, width: int = 3, longest: int = 512) -> DataFram
     groups = written(connected(near_links(heads.select("mark"), longest), "a", "b"), "simhash-groups")
     joined = heads.join(groups.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     best = joined.groupBy("component").agg(F.min("head").alias("head"))
-    kept = written(best.select(F.col("head.doc_id").alias("kept_id"), F.col("head.simhash_key").alias("kept_key")), "simhash-kept")
+    key, kept_id, kept_key = fresh_names(docs.columns, "simhash_key", "kept_id", "kept_key")
+    kept = written(best.select(F.col("head.doc_id").alias(kept_id), F.col("head.simhash_key").alias(kept_key)), "simhash-kept")
     forget(marked, heads, groups)
-    rows = docs.withColumn("simhash_key", row_key())
-    same = (F.col("simhash_key") == F.col("kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "simhash_key"]).select(*docs.columns)
+    rows = docs.withColumn(key, row_key())
+    same = (F.col(key) == F.col(kept_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
