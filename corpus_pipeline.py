@@ -22,7 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template an earlier document has are cut out of the text; n_chars follows; every document stays."""
     out = templates.without_repeated_lines(docs)
-    changed = F.col("n_dropped") > 0
+    changed = F.col(out.columns[-1]) > 0
     names = [F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*names)
 
