@@ -7,6 +7,7 @@ rule of the tokenizer does look across (runs of white space, special tokens), th
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -59,7 +60,7 @@ class IdTable:
         del self.starts[n + 1 :]
         del self.ids[self.starts[n] :]
 
-    def gather(self, places: np.ndarray, part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, places: np.ndarray, part: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the entries at `places`, and their ids one after another."""
         starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
         lengths = starts[places + 1] - starts[places]
@@ -79,7 +80,7 @@ class PieceEncoder:
     About `most` pieces are remembered. Then the earliest `keep` stay, as frequent pieces come early; this changes no result.
     """
 
-    def __init__(self, path: str, spaces: bool, most: int = 1_200_000, keep: int = 1_000_000):
+    def __init__(self, path: str, spaces: bool, most: int = 600_000, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -154,7 +155,7 @@ class PieceEncoder:
             places[k] = -1
         return places
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
+    def _places(self, pieces: list[str], part: int = 1 << 15) -> np.ndarray:
         places = list(map(self.known.get, pieces))
         holes = [k for k, c in enumerate(places) if c is None]
         if holes:
@@ -164,11 +165,12 @@ class PieceEncoder:
             try:
                 for lead in (" ", "\n") if self.spaces else ("",):
                     some = [k for k in holes if pieces[k][:1] == "\n"] if lead == "\n" else [k for k in holes if pieces[k][:1] != "\n"]
-                    new = [pieces[k] for k in some]
-                    found = self._learn([p[1:] for p in new], "", [self.line_id]) if lead == "\n" else self._learn(new, lead, [])
-                    self.known.update(zip(new, found, strict=True))
-                    for k, place in zip(some, found, strict=True):
-                        places[k] = place
+                    for at in range(0, len(some), part):
+                        new = [pieces[k] for k in some[at : at + part]]
+                        found = self._learn([p[1:] for p in new], "", [self.line_id]) if lead == "\n" else self._learn(new, lead, [])
+                        self.known.update(zip(new, found, strict=True))
+                        for k, place in zip(some[at : at + part], found, strict=True):
+                            places[k] = place
             finally:
                 if collects:
                     gc.enable()
@@ -203,17 +205,20 @@ class PieceEncoder:
         odd = self._odd(texts)
         # Lines are cut like words: a byte-level piece that begins with a line feed stands for one after it.
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaces else " "), " ")
-        words = cut.flatten().dictionary_encode()
-        pieces = words.dictionary.to_pylist()
         ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-        indices = words.indices.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        # By way of numpy, as Arrow makes a list of strings one scalar at a time.
+        pieces, indices = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        del cut, words
         if self.spaces:
             # A text's first piece has no space before it, so its ids are its own; they stay in the table for this batch alone.
             first = ends[:-1]
             heads = [pieces[k] for k in indices[first].tolist()]
             inner = np.ones(len(indices), bool)
             inner[first] = False
-            used = np.unique(indices[inner])
+            seen = np.zeros(len(pieces), bool)
+            seen[indices[inner]] = True
+            used = np.flatnonzero(seen)
             places = np.zeros(len(pieces), np.int64)
             places[used] = self._places([pieces[k] for k in used.tolist()])
             places = places[indices]
@@ -267,10 +272,19 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterato
         if size >= most:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
+            give_back()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def give_back() -> None:
+    """Hands memory that is free but still held back to the system, as executors are limited by what their workers hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Seconds after which a worker that encodes nothing gives its encoders up: workers outlive tasks, and other work needs the memory.
 IDLE = 5.0
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -293,10 +307,12 @@ def give_up_idle() -> None:
     """Only the references kept here go; a task that still holds its encoder goes on with it."""
     while _encoders:
         time.sleep(IDLE / 5)
-        for key, one in list(_encoders.items()):
-            if time.monotonic() - one.used > IDLE:
-                _encoders.pop(key, None)
-        one = None
+        idle = [key for key, one in list(_encoders.items()) if time.monotonic() - one.used > IDLE]
+        for key in idle:
+            _encoders.pop(key, None)
+        if idle:
+            gc.collect()
+            give_back()
 
 
 def slices(batch, rows: int = 256):
