@@ -80,7 +80,7 @@ class PieceEncoder:
     About `most` pieces are remembered. Then the earliest `keep` stay, as frequent pieces come early; this changes no result.
     """
 
-    def __init__(self, path: str, spaces: bool, most: int = 600_000, keep: int = 500_000):
+    def __init__(self, path: str, spaces: bool, most: int = 400_000, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -261,7 +261,7 @@ def with_end(lengths: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray
     return lengths + 1, out
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes, as large batches repeat more of their words."""
     held: list[pa.RecordBatch] = []
     size = 0
