@@ -34,6 +34,8 @@ from corpusmill.llm.tokens import SEPARATORS, SHOWN, IdTable, PieceEncoder, gath
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes of a word up to which it is merged by the array; rows merged at once.
 SHORT, ROWS = 64, 1 << 14
+#: Marks that are words of their own after letters.
+MARKS = frozenset(".,;:!?")
 NO_RANK = np.int32(2**31 - 1)
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
@@ -230,7 +232,15 @@ class RankEncoder(PieceEncoder):
         rims = [k for k, p in enumerate(new) if not p or p[0].isspace() or p[-1].isspace() or SEPARATORS.search(p)]
         at_rim = set(rims)
         words = self.tokenizer.words
-        ids = self.tokenizer.encode_words([[] if k in at_rim else words(lead + p) for k, p in enumerate(new)])
+        lists = []
+        for k, p in enumerate(new):
+            if p.isalpha():
+                lists.append([lead + p])
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                lists.append([lead + p[:-1], p[-1]])
+            else:
+                lists.append([] if k in at_rim else words(lead + p))
+        ids = self.tokenizer.encode_words(lists)
         places = list(self.table.add([head + own for own in ids] if head else ids))
         for k in rims:
             places[k] = -1

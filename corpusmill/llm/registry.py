@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import hmm, ivfpq, mixing, multi_index, packing, pages, simhash, templates, tokenfile, toxicity
+from corpusmill.llm import hmm, ivfpq, mixing, multi_index, packing, pages, rank_bpe, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op9_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return rank_bpe.digests(rank_bpe.decoded(rank_bpe.encoded(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -65,6 +70,7 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_ivfpq": op9_ivfpq,
     "op10_templates": op10_templates,
+    "op11_rank_bpe": op11_rank_bpe,
 }
 
 ORACLES: dict[str, str] = {
