@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import hmm, ivfpq, mixing, multi_index, packing, pages, rank_bpe, simhash, templates, tokenfile, toxicity
+from corpusmill.llm import hmm, ivfpq, mixing, multi_index, packing, pages, phrases, prefix_trie, rank_bpe, simhash, templates, tokenfile, toxicity
 from corpusmill.llm.common import table
 
 
@@ -59,6 +59,14 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.digests(rank_bpe.decoded(rank_bpe.encoded(table(spark, sf_dir, "documents"), path), path))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -71,9 +79,13 @@ QUERIES = {
     "op9_ivfpq": op9_ivfpq,
     "op10_templates": op10_templates,
     "op11_rank_bpe": op11_rank_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op7_multi_index": multi_index.oracle(),
     "op10_templates": templates.oracle(),
+    "op12_phrases": phrases.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
 }

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -40,7 +41,7 @@ def test_flight_keeps_both_totals_and_leaves_two():
     assert sum(out) == pytest.approx(sum(chances), abs=1e-6)
     assert sum(s * p for s, p in zip(sizes, out)) == pytest.approx(sum(s * p for s, p in zip(sizes, chances)), rel=1e-9)
     assert sum(1e-9 < p < 1 - 1e-9 for p in out) <= 2
-    assert all(p in (0.0, 1.0) for p in mixing.landing(sizes, out, random.Random(3)))
+    assert all(p in (0.0, 1.0) for p in mixing.nearest_landing(sizes, out, random.Random(3)))
 
 
 def plain_flight(sizes, chances, rng):
@@ -73,15 +74,50 @@ def test_flight_against_null_vectors_of_linear_algebra():
         assert mixing.flight(sizes, chances, random.Random(seed)) == pytest.approx(plain_flight(sizes, chances, random.Random(seed)), abs=1e-6)
 
 
-def test_each_document_is_taken_with_its_chance():
-    sizes, chances = [3.0, 5.0, 8.0, 13.0, 2.0, 9.0], [0.2, 0.5, 0.7, 0.4, 0.9, 0.3]
-    total, n = np.zeros(6), 4000
+@pytest.mark.parametrize("fly", [mixing.flight, lambda *a: mixing.flight_by_size(*a, leave=12)])
+def test_each_document_is_taken_with_its_chance(fly):
+    rng = random.Random(11)
+    sizes, chances = sorted((float(rng.randrange(5, 30)) for _ in range(30)), reverse=True), [rng.uniform(0.2, 0.8) for _ in range(30)]
+    total, n = np.zeros(30), 4000
     for seed in range(n):
-        rng = random.Random(seed)
-        total += mixing.landing(sizes, mixing.flight(sizes, chances, rng), rng)
+        total += fly(sizes, chances, random.Random(seed))
     assert np.abs(total / n - chances).max() < 5 * 0.5 / n**0.5
 
 
+def test_the_smallest_are_left_and_both_totals_kept():
+    for seed in range(20):
+        rng = random.Random(seed)
+        sizes = sorted((float(rng.randrange(1, 300)) for _ in range(rng.randrange(3, 200))), reverse=True)
+        chances = [rng.random() for _ in sizes]
+        out = mixing.flight_by_size(sizes, chances, random.Random(seed))
+        left = [i for i, p in enumerate(out) if 0 < p < 1]
+        assert len(left) <= 2
+        if len(sizes) > 50:
+            assert abs(sum(out) - sum(chances)) < 2 and min(left, default=len(sizes)) > len(sizes) // 2
+        assert sum(s * p for s, p in zip(sizes, out)) == pytest.approx(sum(s * p for s, p in zip(sizes, chances)), rel=1e-9)
+
+
+def test_one_document_with_a_fifth_of_its_source():
+    for seed in range(100):
+        rng = random.Random(seed)
+        sizes = sorted((float(rng.randrange(5, 64)) for _ in range(150)), reverse=True)
+        sizes = [sum(sizes) / 4, *sizes]
+        chances = [0.37] * len(sizes)
+        out = mixing.nearest_landing(sizes, mixing.flight_by_size(sizes, chances, rng, 12), rng)
+        assert abs(sum(s * p for s, p in zip(sizes, out)) - 0.37 * sum(sizes)) <= 1
+
+
+def test_landing_is_the_nearest_of_all_ways():
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes = [float(rng.randrange(1, 40)) for _ in range(7)]
+        chances = [rng.choice([0.0, 1.0, rng.random()]) for _ in sizes]
+        want = sum(s * p for s, p in zip(sizes, chances))
+        out = mixing.nearest_landing(sizes, chances, rng)
+        ways = itertools.product(*[(p,) if p in (0.0, 1.0) else (0.0, 1.0) for p in chances])
+        assert abs(sum(s * p for s, p in zip(sizes, out)) - want) == pytest.approx(min(abs(sum(s * p for s, p in zip(sizes, w)) - want) for w in ways))
+
+
 def test_mix_meets_targets(spark):
     rows = [doc(i, words(5 + i % 60, i), f"s{i % 5}" if i % 3 else "s0") for i in range(1500)]
     got = mixing.balanced_mix(frame(spark, rows), block_rows=64).toPandas()
@@ -97,6 +133,24 @@ def test_mix_meets_targets(spark):
     assert got[key].sort_values("doc_id").values.tolist() == again[key].sort_values("doc_id").values.tolist()
 
 
+def test_mix_meets_targets_with_sizes_of_any_kind(spark):
+    rng = random.Random(4)
+    rows = [doc(i, "w " * int(rng.paretovariate(0.9) * 4 if i % 7 else rng.randrange(3)), f"s{i % 4}") for i in range(1200)]
+    rows += [doc(5000, "w " * 9000, "s1"), doc(5001, "w " * 30000, "big"), *(doc(6000 + i, "w " * (20 + i % 30), "big") for i in range(3000))]
+    for size in (64, 1024):
+        got = mixing.balanced_mix(frame(spark, rows), block_rows=size).toPandas()
+        for _, own in got.groupby("source"):
+            assert abs(own.taken.sum() - own.target.iloc[0]) <= max(1, own["size"].median())
+
+
+def test_rows_alike_are_numbered(spark):
+    rows = [(1, "a", 3)] * 10 + [(None, None, 0)] * 25 + [(2, "a", 3)]
+    alone = mixing.numbered_twins(frame(spark, rows, "doc_id long, source string, size long"), chunk=4)
+    assert sorted(r.twin for r in alone.where("doc_id = 1").collect()) == list(range(10))
+    assert sorted(r.twin for r in alone.where("doc_id is null").collect()) == list(range(25))
+    assert [r.twin for r in alone.where("doc_id = 2").collect()] == [0]
+
+
 def test_odd_rows(spark):
     rows = odd_docs()
     got = mixing.balanced_mix(frame(spark, rows)).collect()
