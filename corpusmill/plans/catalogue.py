@@ -6,6 +6,8 @@ hold, `embeddings` a set of tensors. Generations are pairs of consecutive assist
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, metrics, text
 from corpusmill.functions import tokens as tok
-from corpusmill.operators import chunk, gates, integrity, leakage, numeric, profile, reshape, resume, scoring, statistics
+from corpusmill.operators import chunk, gates, integrity, language, leakage, numeric, profile, reshape, resume, scoring, statistics
 from corpusmill.sources import files, jsonl
+from corpusmill.streaming import batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -399,16 +402,23 @@ def retention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.retention_gate(scoring.summarize(rows), scoring.summarize(rows.where("conv_id % 2 = 0")))
 
 
-#: Prompts to try a model on, by id, with what an answer must hold.
-SMOKE = [("zh-capital", "北京是中国的首都。", "北京"), ("en-capital", "乱码�", "Paris"), ("arithmetic", "It is 2.", "2"), ("blank", " \n", "x"), ("folded", "STRASSE", "straße")]
+SMOKE = f"""
+s as (select conv_id || '-' || turn as id, case conv_id % 4 when 0 then text when 1 then ' ' || chr(10) when 2 then text || chr(65533) else 'STRASSE ' || text end as response,
+  case when conv_id % 4 = 3 and conv_id % 3 = 0 then 'straße' when conv_id % 3 = 1 then substr(text, 1, 9) else 'Paris' end as expected from conversations where role = 'assistant'),
+f as (select id, {strip('response')} = '' as blank, contains(response, chr(65533)) as odd, not contains(replace(lower(response), 'ß', 'ss'), replace(lower(expected), 'ß', 'ss')) as lacks from s),
+a as (select id, not (blank or odd or lacks) as passed, concat_ws(',', case when blank then 'empty' end, case when odd then 'unicode_replacement_character' end, case when lacks then 'expected_text_missing' end) as reasons from f)"""
 
 
-@query("select * from (values ('zh-capital', true, ''), ('en-capital', false, 'unicode_replacement_character,expected_text_missing'), ('arithmetic', true, ''), ('blank', false, 'empty,expected_text_missing'), ('folded', true, '')) t(id, passed, reasons)")
+@query(f"with {SMOKE} select * from a")
 def smoke_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.smoke_results(spark.createDataFrame(SMOKE, "id string, response string, expected string"))
+    """The assistant's turns as answers of a model: as they are, blank, with a replacement character, or longer."""
+    turns, n = table(spark, sf_dir, "conversations").where("role = 'assistant'"), F.col("conv_id")
+    response = F.when(n % 4 == 0, F.col("text")).when(n % 4 == 1, F.lit(" \n")).when(n % 4 == 2, F.concat("text", F.lit("\ufffd"))).otherwise(F.concat(F.lit("STRASSE "), "text"))
+    expected = F.when((n % 4 == 3) & (n % 3 == 0), F.lit("straße")).when(n % 3 == 1, F.substring("text", 1, 9)).otherwise(F.lit("Paris"))
+    return gates.smoke_results(turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), response.alias("response"), expected.alias("expected")))
 
 
-@query("select 5::bigint as prompts, 3::bigint as passes, true as passed")
+@query(f"with {SMOKE} select count(*)::bigint as prompts, (count(*) filter (passed))::bigint as passes, count(*) filter (passed) >= 2 as passed from a")
 def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.smoke_gate(smoke_assess(spark, sf_dir))
 
@@ -552,3 +562,80 @@ def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = scored(spark, sf_dir).select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), "chrf2")
     return statistics.bootstrap_interval(items, "id", "chrf2")
+
+
+WORDS_SQL = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(f"""
+with g0 as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations where role = 'assistant'),
+w as (select conv_id % 4 as arm, conv_id, turn, {WORDS_SQL.format('text')} as r, {WORDS_SQL.format("case when conv_id % 4 = 0 then text || ' and more' when conv_id % 4 = 3 then '' else nxt end")} as g from g0 where nxt is not null),
+x as (select arm, conv_id, turn, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i : i + n - 1], ' '))) as gram, 1 as r, 0 as g from w, range(1, 5) t(n)
+  union all select arm, conv_id, turn, n, unnest(list_transform(range(1, len(g) - n + 2), lambda i: array_to_string(g[i : i + n - 1], ' '))), 0, 1 from w, range(1, 5) t(n)),
+m as (select arm, n, sum(least(r, g)) as hits, sum(g) as total from (select arm, conv_id, turn, n, gram, sum(r) as r, sum(g) as g from x group by all) group by all),
+s as (select arm, count(*)::bigint as pairs, sum(len(g))::bigint as generated_words, sum(len(r))::bigint as reference_words from w group by arm),
+p as (select s.*, {', '.join(f"coalesce((select case when total > 0 then hits / total end from m where m.arm = s.arm and n = {k}), 0) as precision_{k}" for k in range(1, 5))},
+  case when generated_words >= reference_words then 1.0 when generated_words = 0 then 0.0 else exp(1 - reference_words / generated_words) end as brevity from s)
+select arm, pairs, generated_words, reference_words, {', '.join(f"round(precision_{k}::double, 6) as precision_{k}" for k in range(1, 5))}, round(brevity::double, 6) as brevity,
+  round(case when least(precision_1, precision_2, precision_3, precision_4) > 0 then brevity * exp((ln(precision_1) + ln(precision_2) + ln(precision_3) + ln(precision_4)) / 4) else 0 end, 6) as bleu from p""")
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of assistant turns against the next ones, by arm: one is its own reference and two words, one is empty."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = turns.withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("nxt is not null")
+    arm = F.col("conv_id") % 4
+    generated = F.when(arm == 0, F.concat("text", F.lit(" and more"))).when(arm == 3, F.lit("")).otherwise(F.col("nxt"))
+    found = language.bleu(rows.select(arm.alias("arm"), F.concat_ws("-", "conv_id", "turn").alias("id"), "text", generated.alias("generated")), "text", "generated", "id", "arm")
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if found.schema[c].dataType.typeName() == "double"})
+
+
+RUNS_SQL = f"""
+t as (select doc_id, doc_id % 10 <> 3 as learned, list_concat([' (', ' ('], {WORDS_SQL.format('text')}, [' )']) as t from documents),
+r as (select doc_id, learned, unnest(list_transform(range(1, len(t) - 1), lambda i: {{'u': t[i], 'v': t[i + 1], 'w': t[i + 2]}})) as x from t),
+counted as (select doc_id, learned, x.u as u, x.v as v, x.w as w, count(*) as n from r group by all),
+three as (select u, v, w, coalesce(sum(n) filter (learned), 0) as c from counted group by all), two as (select v, w, count(*) as c from three where c > 0 group by all), one as (select w, count(*) as c from two group by all),
+ones as (select {', '.join(f"(select count(*) from {t} where c = 1) as once_{n}, (select count(*) from {t} where c = 2) as twice_{n}" for n, t in ((3, 'three'), (2, 'two'), (1, 'one')))}),
+d as (select *, {', '.join(f"case when once_{n} > 0 then once_{n} / (once_{n} + 2 * twice_{n}) else 0.5 end as d_{n}" for n in (3, 2, 1))} from ones)"""
+
+
+def learned_part(doc_id: str = "doc_id") -> Column:
+    return F.col(doc_id) % 10 != 3
+
+
+@query(f"with {RUNS_SQL} select once_3, twice_3, round(d_3::double, 9) as d_3, once_2, twice_2, round(d_2::double, 9) as d_2, once_1, twice_1, round(d_1::double, 9) as d_1 from d")
+def kneser_ney_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of runs counted once and twice, and the discounts that follow from them."""
+    found = language.discounts(language.model_counts(language.gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text", learned_part())))
+    return found.withColumns({f"d_{n}": F.round(f"d_{n}", 9) for n in (1, 2, 3)})
+
+
+@query(f"""
+with {RUNS_SQL}, l2 as (select u, v, sum(c) as total, count(*) as kinds from three where c > 0 group by all), l1 as (select v, sum(c) as total, count(*) as kinds from two group by all), l0 as (select coalesce(sum(c), 0) as total, count(*) as kinds from one),
+p1 as (select three.*, two.c as c2, case when l0.total > 0 then (greatest(coalesce(one.c, 0) - d_1, 0) + d_1 * l0.kinds * (1.0::double / (l0.kinds + 1))) / l0.total else 1.0::double / (l0.kinds + 1) end as p1, d_2, d_3 from three left join two using (v, w) left join one using (w), l0, d),
+p2 as (select p1.*, case when l1.total > 0 then (greatest(coalesce(c2, 0) - d_2, 0) + d_2 * l1.kinds * p1) / l1.total else p1 end as p2 from p1 left join l1 using (v)),
+p3 as (select u, v, w, case when l2.total > 0 then (greatest(c - d_3, 0) + d_3 * l2.kinds * p2) / l2.total else p2 end as p from p2 left join l2 using (u, v)),
+s as (select doc_id, sum(n)::bigint as n_tokens, sum(n * log10(p)) as log10_prob from counted join p3 using (u, v, w) group by doc_id)
+select doc_id, n_tokens, round(log10_prob / n_tokens, 6) as mean_log10 from s""")
+def document_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log10 probability of a token, by a model of nine tenths of the documents; 10 to its negative is the perplexity."""
+    found = language.perplexity(table(spark, sf_dir, "documents"), learned_part())
+    return found.select("doc_id", "n_tokens", F.round(F.col("log10_prob") / F.col("n_tokens"), 6).alias("mean_log10"))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the one of `spark.checkpoint.dir`, or of this machine where that is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("select event_id as source_index, user_id, event_type, round(value * 2, 6) as doubled from events")
+def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, handled in batches; then the checkpoint is lost and all of them come again, to no effect."""
+    held = table(spark, sf_dir, "events").select(F.col("event_id").alias("source_index"), "user_id", "event_type", "value")
+    stream = lambda: spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("event_id").alias("source_index"), *held.columns[1:])
+    out = scratch(spark, "micro-batches")
+    for mark in ("first", "second"):
+        done = batches.handle_available(stream(), lambda b: b.select("source_index", "user_id", "event_type", F.round(F.col("value") * 2, 6).alias("doubled")), f"{out}/rows", f"{out}/{mark}")
+        done.awaitTermination()
+    return batches.committed(spark, f"{out}/rows")

@@ -140,12 +140,31 @@ class Store:
 
 
 def write_verification(spark: SparkSession, root: str, **about: Any) -> DataFrame:
-    """Writes the manifest and the checksum file of a folder and returns its inventory; the checksum file holds the manifest too."""
-    rows = inventory(spark, root).orderBy("path").collect()
-    write_manifest(Path(root) / MARKERS[1], about | {"files": {r["path"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in rows}}, stamp="verified_at")
-    lines = checksum_lines(inventory(spark, root, skip_names=MARKERS[:1])).collect()
-    (Path(root) / MARKERS[0]).write_text("".join(r["value"] + "\n" for r in lines), encoding="utf-8")
-    return inventory(spark, root)
+    """Writes the manifest and the checksum file of a folder and returns its inventory; the checksum file holds the manifest too.
+
+    Every file is hashed once; rows are kept by the executors, and pass through the driver a few at a time.
+    """
+    rows = inventory(spark, root).orderBy("path").persist()
+    manifest, sums = Path(root) / MARKERS[1], Path(root) / MARKERS[0]
+    content = {**about, "files": None, "verified_at": datetime.now(UTC).isoformat()}
+    with open(manifest, "w", encoding="utf-8") as out:
+        for k, name in enumerate(sorted(content)):
+            out.write(f"{',' if k else '{'}\n  {json.dumps(name)}: ")
+            if name != "files":
+                out.write(json.dumps(content[name], ensure_ascii=False, indent=2, sort_keys=True))
+                continue
+            first = True
+            for r in rows.toLocalIterator():
+                out.write(f"{'{' if first else ','}\n    {json.dumps(r['path'], ensure_ascii=False)}: {json.dumps({'bytes': r['bytes'], 'sha256': r['sha256']})}")
+                first = False
+            out.write("{}" if first else "\n  }")
+        out.write("\n}\n")
+    with open(manifest, "rb") as written:
+        own = spark.createDataFrame([(MARKERS[1], hashlib.file_digest(written, "sha256").hexdigest())], "path string, sha256 string")
+    with open(sums, "w", encoding="utf-8") as out:
+        for r in checksum_lines(rows.select("path", "sha256").unionByName(own)).toLocalIterator():
+            out.write(r["value"] + "\n")
+    return rows
 
 
 #: Array types of the tensor file format; bfloat16 is read as the upper half of a float32.

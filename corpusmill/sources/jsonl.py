@@ -13,11 +13,28 @@ FIELDS = {"cpt": ("text", "string"), "sft": ("messages", MESSAGES)}
 
 
 def lines(spark: SparkSession, paths: str | list[str], numbered: bool = False) -> DataFrame:
-    """(file, value[, line]) of text files; `numbered` counts lines from 1, blank ones too, in one task per file."""
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    if numbered:
-        rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id())))
-    return rows
+    """(file, value[, line, source_index]) of text files.
+
+    `numbered` counts lines, blank ones too: `line` from 1 in its file, `source_index` from 0 over all files in the
+    order of their paths. Files are read in as many byte ranges as Spark cuts them into. A first pass counts the lines
+    of every range; a second one adds the lines of the ranges before to each line's place in its own. Rows of a range
+    are never shuffled, and the counts, a row for each range, are broadcast.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_block_start").alias("start"))
+    if not numbered:
+        return rows.drop("start")
+    # A task's row numbers go up by one, so those of a range less the first of them are places in it.
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    ranges = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    # Only the sizes of ranges are added up in one task.
+    so_far = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    before = ranges.select("file", "start", "first", "last", "n", F.coalesce(F.sum("n").over(in_file), zero).alias("in_file"), F.coalesce(F.sum("n").over(so_far), zero).alias("in_all"))
+    known = rows.join(F.broadcast(before), ["file", "start"], "left")
+    whole = (F.col("at").between(F.col("first"), F.col("last"))) & (F.col("last") - F.col("first") == F.col("n") - 1)
+    place = F.when(F.coalesce(whole, F.lit(False)), F.col("at") - F.col("first")).otherwise(F.raise_error(F.lit("files changed between the two passes")).cast("long"))
+    return known.select("file", "value", (F.col("in_file") + place + 1).alias("line"), (F.col("in_all") + place).alias("source_index"))
 
 
 def stage_rows(raw: DataFrame, stage: str, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import struct
 
+import numpy as np
 import pytest
 
-from corpusmill.sources import files, jsonl, provenance
-from corpusmill.streaming.batches import handle_available
+from corpusmill.operators import numeric
+from corpusmill.sources import files, jsonl, provenance, tensors
+from corpusmill.streaming import batches
 
 
 def test_stage_contract(spark, tmp_path):
@@ -85,15 +88,145 @@ def test_tensor_files(spark, tmp_path):
     assert got == {"a": ([3], [1.0, -2.0, 0.0]), "b": ([1, 2], [1.0, -2.0])}
 
 
+def test_a_tensor_of_more_than_two_gigabytes_is_read_in_slices(spark, tmp_path):
+    """Sparse, so it takes no room: F16 zeros, with a few values far apart, and other tensors beside it."""
+    n = (2200 << 20) // 2
+    small = np.array([1.0, -2.0, np.nan, np.inf, 0.0], "<f8")
+    header = {"big": {"dtype": "F16", "shape": [2, n // 2], "data_offsets": [0, 2 * n]}, "small": {"dtype": "F64", "shape": [5], "data_offsets": [2 * n, 2 * n + 40]}, "none": {"dtype": "I8", "shape": [0], "data_offsets": [2 * n + 40, 2 * n + 40]}}
+    raw = json.dumps(header).encode()
+    with open(tmp_path / "large.tensors", "wb") as out:
+        out.write(len(raw).to_bytes(8, "little") + raw)
+        for place, value in ((0, 3.0), (n // 2, -4.0), (n - 1, 12.0)):
+            out.seek(8 + len(raw) + 2 * place)
+            out.write(np.array([value], "<f2").tobytes())
+        out.seek(8 + len(raw) + 2 * n)
+        out.write(small.tobytes())
+    path = f"file://{tmp_path}/large.tensors"
+    ranges = tensors.tensor_ranges(spark, path).collect()
+    assert sum(r.length for r in ranges if r.name == "big") == 2 * n and len(ranges) == 37
+    found = tensors.tensor_moments(spark, path)
+    assert found.rdd.getNumPartitions() > 0
+    got = {r.name: r for r in found.collect()}
+    assert (got["big"].n, got["big"].ok, got["big"].zeros, got["big"].a, got["big"].q, got["big"].m) == (n, n, n - 3, 19.0, 169.0, 12.0)
+    assert (got["small"].n, got["small"].ok, got["small"].zeros, got["small"].a, got["small"].q, got["small"].m) == (5, 3, 1, 3.0, 5.0, 2.0)
+    (whole,) = numeric.health(found).collect()
+    assert (whole.tensors, whole.elements, whole.nonfinite_elements, whole.max_abs) == (3, n + 5, 2, 12.0)
+    assert whole.mean_abs == pytest.approx(22.0 / (n + 3))
+
+
+def test_slices_are_the_tensor(spark, tmp_path):
+    values = np.arange(1000, dtype="<f4")
+    header = json.dumps({"a": {"dtype": "F32", "shape": [10, 100], "data_offsets": [0, 4000]}}).encode()
+    (tmp_path / "m.tensors").write_bytes(len(header).to_bytes(8, "little") + header + values.tobytes())
+    rows = sorted(tensors.tensor_slices(spark, f"file://{tmp_path}/m.tensors", 256).collect(), key=lambda r: r.first)
+    assert len(rows) == 16 and [r.first for r in rows] == list(range(0, 1000, 64))
+    assert [x for r in rows for x in r["values"]] == values.tolist()
+    whole = files.read_tensors(spark, str(tmp_path / "m.tensors"))
+    (sliced,), (plain,) = numeric.health(tensors.tensor_moments(spark, f"file://{tmp_path}/m.tensors", 256)).collect(), numeric.tensor_health(whole, "values").collect()
+    assert sliced.asDict() == pytest.approx(plain.asDict())
+    (tmp_path / "m.tensors").write_bytes((tmp_path / "m.tensors").read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends within a tensor"):
+        tensors.tensor_moments(spark, f"file://{tmp_path}/m.tensors", 256).collect()
+
+
+def test_places_in_files_of_many_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    plain, count = [], 0
+    for name in ("b.txt", "a.txt", "c.txt"):
+        own = ["".join(rng.choice("xyz é") for _ in range(rng.choice([0, 3, 90]))) for _ in range(rng.randrange(200, 400))]
+        (tmp_path / name).write_text("\n".join(own) + ("\n" if name != "a.txt" else ""), encoding="utf-8")
+    for name in ("a.txt", "b.txt", "c.txt"):
+        for k, line in enumerate((tmp_path / name).read_text(encoding="utf-8").splitlines()):
+            plain.append((name, k + 1, count, line))
+            count += 1
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for most in ("97", "4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = jsonl.lines(spark, str(tmp_path), numbered=True)
+            ranges = got.rdd.getNumPartitions()
+            assert most != "97" or ranges > 50
+            assert sorted((r.file.rsplit("/", 1)[1], r.line, r.source_index, r.value) for r in got.collect()) == plain
+        finally:
+            for c, v in old.items():
+                spark.conf.set(c, v)
+
+
+def ints(spark, path, *ranges, mode="append"):
+    for low, high in ranges:
+        spark.range(low, high, 1, 1).withColumnRenamed("id", "source_index").write.mode(mode).parquet(path)
+
+
+def run_batches(spark, tmp_path, mark, handle=lambda b: b, per_batch=1):
+    stream = spark.readStream.schema("source_index long").option("maxFilesPerTrigger", per_batch).parquet(str(tmp_path / "in"))
+    batches.handle_available(stream, handle, str(tmp_path / "out"), str(tmp_path / mark)).awaitTermination()
+
+
+def keys(spark, tmp_path):
+    return sorted(r.source_index for r in batches.committed(spark, str(tmp_path / "out")).collect())
+
+
 def test_micro_batches_are_taken_up_again(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.range(5).withColumnRenamed("id", "source_index").write.parquet(source)
-    run = lambda mark: handle_available(spark.readStream.schema("source_index long").parquet(source), lambda b: b, out, str(tmp_path / mark)).awaitTermination()
-    run("c1")
-    spark.range(5, 9).withColumnRenamed("id", "source_index").write.mode("append").parquet(source)
-    run("c1")
-    run("c2")  # a lost checkpoint: all input comes again
-    assert sorted(r.source_index for r in spark.read.parquet(out).collect()) == list(range(9))
+    ints(spark, str(tmp_path / "in"), (0, 5), (3, 8))  # three keys come twice
+    run_batches(spark, tmp_path, "c1")
+    assert keys(spark, tmp_path) == list(range(8))
+    ints(spark, str(tmp_path / "in"), (8, 12), (2, 9))
+    run_batches(spark, tmp_path, "c1")
+    assert keys(spark, tmp_path) == list(range(12))
+    run_batches(spark, tmp_path, "c2", per_batch=3)  # a lost checkpoint: all input comes again, in other batches
+    assert keys(spark, tmp_path) == list(range(12))
+    ints(spark, str(tmp_path / "in"), (12, 14))
+    run_batches(spark, tmp_path, "c2")
+    run_batches(spark, tmp_path, "c1")  # the old checkpoint is found again
+    assert keys(spark, tmp_path) == list(range(14))
+
+
+def test_a_batch_that_breaks_off(spark, tmp_path):
+    ints(spark, str(tmp_path / "in"), (0, 4), (4, 9), (9, 12))
+
+    def broken(batch):
+        if batch.where("source_index = 5").count():
+            raise RuntimeError("no more power")
+        return batch
+
+    with pytest.raises(Exception, match="no more power"):
+        run_batches(spark, tmp_path, "c", broken)
+    assert keys(spark, tmp_path) == list(range(4))
+    # What a broken batch had written does not count, and is replaced.
+    ints(spark, str(tmp_path / "out" / "run=0" / "batch=1"), (100, 103))
+    assert keys(spark, tmp_path) == list(range(4))
+    run_batches(spark, tmp_path, "c")
+    assert keys(spark, tmp_path) == list(range(12))
+    # A commit that Spark's own checkpoint does not know yet: the batch comes again and is left alone.
+    for log in (tmp_path / "c" / "commits").glob("*2*"):
+        log.unlink()
+    run_batches(spark, tmp_path, "c")
+    assert keys(spark, tmp_path) == list(range(12))
+
+
+def test_work_of_a_batch_does_not_grow(spark, tmp_path, monkeypatch):
+    ints(spark, str(tmp_path / "in"), *((k, k + 10) for k in range(0, 120, 10)))
+    read = []
+    real = batches.left_over
+
+    def spied(batch, out, earlier, key):
+        least, most = batch.agg({key: "min"}).first()[0], batch.agg({key: "max"}).first()[0]
+        read.append(sum(c.rows for c in earlier if least is not None and c.meets(least, most)))
+        return real(batch, out, earlier, key)
+
+    monkeypatch.setattr(batches, "left_over", spied)
+    run_batches(spark, tmp_path, "c1")
+    assert read == []  # nothing that was done before is read
+    run_batches(spark, tmp_path, "c2")
+    assert len([n for n in read if n]) == 12 and max(read) == 10  # the tenth batch reads as much as the first
+    assert keys(spark, tmp_path) == list(range(120))
+
+
+def test_records_without_a_key_are_refused(spark, tmp_path):
+    spark.createDataFrame([(1,), (None,)], "source_index long").write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="has no source_index"):
+        run_batches(spark, tmp_path, "c")
 
 
 def test_merged_parts_are_one_ordered_file(spark, tmp_path):
