@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,10 +56,10 @@ def hash_split(key: Column, train: int = 80, validation: int = 10) -> Column:
     return F.when(place < train, "train").when(place < train + validation, "validation").otherwise("test")
 
 
-def loops(text: str, least: int = 2, repeats: int = 4) -> bool:
-    """Whether some run of `least` characters or more, of any length, comes `repeats` times (3 at least) in a row.
+def runs(text: str, least: int = 2, repeats: int = 4) -> Iterator[tuple[int, int, int]]:
+    """(start, end, period) of the stretches in which some run of `least` characters or more, of any length, comes `repeats` times (3 at least) in a row, as long as they go on.
 
-    Such a run has a smallest period p. Of windows of W characters, p < W <= 2p, those in the run come again p places
+    Such a stretch has a smallest period p. Of windows of W characters, p < W <= 2p, those in it come again p places
     on and not before, so the distance to a window's next occurrence tells p; W goes through the powers of two.
     """
     t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -77,11 +79,43 @@ def loops(text: str, least: int = 2, repeats: int = 4) -> bool:
         gap = gaps[cuts]
         whole = gap * -(-least // np.maximum(gap, 1))  # the least multiple of the period that is long enough
         found = (gap >= half) & (gap < width) & (lengths + width - 1 + gap >= repeats * whole)
-        for start, p, size in zip(cuts[found].tolist(), gap[found].tolist(), (repeats * whole)[found].tolist(), strict=True):
-            if np.array_equal(t[start : start + size - p], t[start + p : start + size]):
-                return True
+        for start, p, size in zip(cuts[found].tolist(), gap[found].tolist(), (lengths + width - 1)[found].tolist(), strict=True):
+            if np.array_equal(t[start : start + size], t[start + p : start + p + size]):
+                yield start, start + size + p, p
         width *= 2
-    return False
+
+
+def loops(text: str, least: int = 2, repeats: int = 4) -> bool:
+    """Whether there is one of `runs`."""
+    return next(runs(text, least, repeats), None) is not None
+
+
+def repeated_characters(text: str, least: int = 2, repeats: int = 4) -> int:
+    """How many characters of a text lie in one of `runs` or more."""
+    covered = end = 0
+    for low, high, _ in sorted(runs(text, least, repeats)):
+        covered += max(0, high - max(low, end))
+        end = max(end, high)
+    return covered
+
+
+def repetition(text: Column, least: int = 2, repeats: int = 4) -> Column:
+    """How many characters of a text repeat what is before or after them in a loop; null for a null text."""
+    if repeats < 3:
+        raise ValueError("repeats must be 3 or more")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else repeated_characters(t, least, repeats) for t in texts], dtype="Int64")
+
+    return F.pandas_udf(run, "long")(text.cast("string"))
+
+
+def repetition_rates(rows: DataFrame, text: str, group: str) -> DataFrame:
+    """Per group: texts, characters, repeated ones, looping_texts, rate (the share of characters) and mean_rate (the mean of the texts' own shares; empty ones have 0)."""
+    own = rows.select(F.col(group).alias("own_group"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), F.coalesce(repetition(F.col(text)), F.lit(0)).alias("r"))
+    share = lambda r, n: F.coalesce(F.try_divide(r, n), F.lit(0.0))
+    out = own.groupBy("own_group").agg(F.count("*").alias("texts"), F.sum("n").alias("characters"), F.sum("r").alias("repeated"), F.count_if(F.col("r") > 0).alias("looping_texts"), F.avg(share(F.col("r"), F.col("n"))).alias("mean_rate"))
+    return out.withColumn("rate", share(F.col("repeated"), F.col("characters"))).withColumnRenamed("own_group", group)
 
 
 def has_loop(text: Column, least: int = 2, repeats: int = 4) -> Column:

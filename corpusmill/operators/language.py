@@ -27,10 +27,14 @@ def bleu(rows: DataFrame, reference: str, generated: str, key: str, group: str |
     Matches of n-grams are clipped pair by pair and pooled over the group before any ratio is taken. `key` tells pairs
     apart; those with a null reference or text have no words there. A group without matches of some order scores 0.
     """
-    groups = [group] if group else []
-    pairs = rows.select(*groups, F.col(key).alias("pair"), words(F.col(reference)).alias("r"), words(F.col(generated)).alias("g"))
+    groups = ["own_group"] if group else []
+    pairs = rows.select(*([F.col(group).alias("own_group")] if group else []), F.col(key).alias("pair"), words(F.col(reference)).alias("r"), words(F.col(generated)).alias("g"))
     sizes = pairs.groupBy(*groups).agg(F.count("*").alias("pairs"), F.sum(F.size("g")).cast("long").alias("generated_words"), F.sum(F.size("r")).cast("long").alias("reference_words"))
-    orders = [F.transform(grams(F.col(side), n), lambda x, n=n, own=own: F.struct(F.lit(n).alias("n"), x.alias("gram"), F.lit(own).alias("own"))) for n in range(1, most_n + 1) for side, own in (("r", 0), ("g", 1))]
+
+    def marked(n: int, side: str, own: int) -> Column:
+        return F.transform(grams(F.col(side), n), lambda x: F.struct(F.lit(n).alias("n"), x.alias("gram"), F.lit(own).alias("own")))
+
+    orders = [marked(n, side, own) for n in range(1, most_n + 1) for side, own in (("r", 0), ("g", 1))]
     each = pairs.select(*groups, "pair", F.explode(F.concat(*orders)).alias("x")).select(*groups, "pair", "x.*")
     both = each.groupBy(*groups, "pair", "n", "gram").agg(F.sum("own").alias("g"), F.sum(1 - F.col("own")).alias("r"))
     pooled = both.groupBy(*groups).agg(
@@ -38,7 +42,7 @@ def bleu(rows: DataFrame, reference: str, generated: str, key: str, group: str |
         *(F.sum(F.when(F.col("n") == n, F.col("g"))).alias(f"total_{n}") for n in range(1, most_n + 1)),
     )
     if group:
-        joined = sizes.join(pooled.withColumnRenamed(group, "own_group"), F.col(group).eqNullSafe(F.col("own_group")), "left").drop("own_group")
+        joined = sizes.join(pooled.withColumnRenamed("own_group", "pooled_group"), F.col("own_group").eqNullSafe(F.col("pooled_group")), "left").drop("pooled_group")
     else:
         joined = sizes.join(pooled, how="cross")
     precision = {n: F.when(F.coalesce(F.col(f"total_{n}"), F.lit(0)) > 0, F.col(f"match_{n}") / F.col(f"total_{n}")).otherwise(F.lit(0.0)) for n in range(1, most_n + 1)}
@@ -46,7 +50,8 @@ def bleu(rows: DataFrame, reference: str, generated: str, key: str, group: str |
     means = [F.col(f"precision_{n}") for n in range(1, most_n + 1)]
     out = joined.select(*groups, "pairs", "generated_words", "reference_words", *(precision[n].alias(f"precision_{n}") for n in precision), brevity.alias("brevity"))
     score = F.when(F.least(*means) > 0, F.col("brevity") * F.exp(sum((F.log(m) for m in means), F.lit(0.0)) / most_n)).otherwise(F.lit(0.0))
-    return out.withColumn("bleu", score)
+    out = out.withColumn("bleu", score)
+    return out.withColumnRenamed("own_group", group) if group else out
 
 
 def gram_counts(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:

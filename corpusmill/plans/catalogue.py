@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat, metrics, text
+from corpusmill.functions import chat, garble, metrics, text
 from corpusmill.functions import tokens as tok
-from corpusmill.operators import chunk, gates, integrity, language, leakage, numeric, profile, reshape, resume, scoring, statistics
+from corpusmill.operators import chunk, gates, integrity, language, leakage, numeric, profile, reshape, resume, sampling, scoring, statistics
 from corpusmill.sources import files, jsonl
 from corpusmill.streaming import batches
 
@@ -639,3 +639,45 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = batches.handle_available(stream(), lambda b: b.select("source_index", "user_id", "event_type", F.round(F.col("value") * 2, 6).alias("doubled")), f"{out}/rows", f"{out}/{mark}")
         done.awaitTermination()
     return batches.committed(spark, f"{out}/rows")
+
+
+RE2 = {k: v.replace("'", "''") for k, v in {"whole": garble.WHOLE, **dict(garble.TAILS)}.items()}
+
+
+@query(f"""
+with p as (select conv_id, turn, conv_id % 6 as task, case conv_id % 6 when 1 then replace(text, 'é', 'Ã©') when 2 then replace(text, 'a', chr(65533)) when 3 then text || chr(8205) when 4 then text || 'â€™ ðŸ˜' when 5 then text || chr(127462) else text end as t from conversations),
+m as (select *, length(t) - length(regexp_replace(t, '{RE2['whole']}', '', 'g')) as g, length(t) - length(replace(t, chr(65533), '')) as r, {' or '.join(f"regexp_matches(t, '{RE2[n]}')" for n, _ in garble.TAILS)} as tail from p)
+select task, count(*)::bigint as texts, sum(length(t))::bigint as characters, sum(g)::bigint as garbled, sum(r)::bigint as replaced, (count(*) filter (g > 0))::bigint as garbled_texts, (count(*) filter (tail))::bigint as spoilt_tails, round((sum(g) + sum(r)) / sum(length(t)), 9) as rate from m group by task""")
+def garbling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by task: as they are, doubly encoded, with replacement characters, or with a spoilt end."""
+    turns, n = table(spark, sf_dir, "conversations"), F.col("conv_id") % 6
+    spoilt = F.when(n == 1, F.replace("text", F.lit("é"), F.lit("Ã©"))).when(n == 2, F.replace("text", F.lit("a"), F.lit("\ufffd"))).when(n == 3, F.concat("text", F.lit("\u200d"))).when(n == 4, F.concat("text", F.lit("â€™ ðŸ˜"))).when(n == 5, F.concat("text", F.lit("\U0001f1e6"))).otherwise(F.col("text"))
+    return garble.garbling(turns.select(n.alias("task"), spoilt.alias("t")), "t", "task").withColumn("rate", F.round("rate", 9))
+
+
+@query()
+def repetition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each source's texts lies in loops; SQL has no back-references, so there is none."""
+    return integrity.repetition_rates(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("""
+with w as (select d.doc_id, d.source, case when l.quality = 1 then 4.0 when l.quality = 0 then 0.25 else 1.0 end as weight from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l using (doc_id)),
+k as (select *, -ln((('0x' || substr(sha256('7:' || doc_id), 1, 13))::bigint + 0.5::double) / 4503599627370496) / weight as k from w),
+r as (select doc_id, source, weight::double as weight, row_number() over (partition by source order by k, doc_id)::int as sample_rank from k) select * from r where sample_rank <= 20""")
+def quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents of each source; good ones are sixteen times as likely as bad ones to be drawn next."""
+    quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(quality, "doc_id", "left")
+    weight = F.when(F.col("quality") == 1, 4.0).when(F.col("quality") == 0, 0.25).otherwise(1.0)
+    return sampling.weighted_sample(docs.select("doc_id", "source", weight.alias("weight")), "doc_id", F.col("weight"), 20, "source", seed=7)
+
+
+@query("""
+with l as (select lang, least(length(text), 4096) as n from documents), q as (select lang, count(*)::bigint as samples, quantile_disc(n, 0.99) as q, max(n)::bigint as longest from l group by lang),
+p as (select *, (ceil(greatest(q, 1) / 64) * 64)::bigint as planned_length, (ceil(greatest(longest, 1) / 64) * 64)::bigint as most from q)
+select lang, samples, planned_length, longest, (15000000000 // (planned_length * 400000))::bigint as batch_size, (15000000000 // (most * 400000))::bigint as batch_size_by_longest, (select count(*) from l where l.lang = p.lang and n > planned_length)::bigint as over_plan from p""")
+def batch_by_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch sizes by language for 24 GB, of which 8 are taken and one stays free, at 400,000 bytes a character."""
+    lengths = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("length"))
+    return sampling.batch_plan(sampling.length_sketch(lengths, 4096, "lang"), 24 * 10**9, 8 * 10**9, 400_000, 10**9, group="lang")

@@ -56,9 +56,10 @@ def dealt_out(ranges: DataFrame) -> DataFrame:
 def read_range(file: str, kind: str, begin: int, length: int) -> np.ndarray:
     with opened(file) as source:
         source.seek(begin)
-        raw = np.frombuffer(source.read(length), TENSOR_TYPES[kind])
-    if raw.nbytes != length:
+        held = source.read(length)
+    if len(held) != length:
         raise ValueError(f"{file} ends within a tensor")
+    raw = np.frombuffer(held, TENSOR_TYPES[kind])
     return (raw.astype("<u4") << 16).view("<f4") if kind == "BF16" else raw
 
 
