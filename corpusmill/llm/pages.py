@@ -2,13 +2,16 @@
 
 A page is cut into text lines (blocks). Pages of a host are put in order of URL path; each is aligned, by the
 longest common subsequence of lines, with the page whose path is nearest, and the lines both share are deleted:
-menus, notices and footers that a site repeats, inside an article element too. Pages that share most of their
-sentences are copies of one article, so the next page that is none is taken instead, however far it is in the
-block. Markup judges what the alignment leaves: text in elements for navigation, adverts, forms or comments is no
-content however rare it is, and where a page has an article element only text inside it may be content.
-
-The order is cut into blocks at sampled places, so a host that holds most pages is spread over many tasks;
-each block also gets the few pages just before and after it. A task holds the lines of one block.
+menus, notices and footers that a site repeats. Pages that share most of their sentences are copies of one article,
+so the next page that is none is taken instead, however far it is in the block. One other page says little about
+the inside of an article: there a line goes only from the beginning or the end, and only if two more pages that
+differ from each other share it. Markup judges what the alignment leaves: text in elements for navigation, adverts,
+forms or comments is no content however rare it is; and if article elements hold most of the text that is left,
+only theirs is content. Where they hold less they are teasers, whose links go.
+
+The order is cut into blocks at sampled places, so a host that holds most pages is spread over many tasks; each
+block also gets the nearest pages before and after it, eight on either side whose sentences differ, so a run of
+copies counts as one page. A task holds the lines of one block.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ import bisect
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_batches, hashed_sample, partitions
+from corpusmill.llm.common import bounded_batches, hashed_sample
 from corpusmill.llm.tokens import slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -39,9 +43,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOT_TEXT = frozenset("nav footer aside form button select menu dialog fieldset svg canvas object video audio head math map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body main".split())
-#: Elements of an article that a word below may take out of it; its paragraphs and headings stay whatever their names.
+#: Elements of an article that a name for comments takes out of it; all else in it stays whatever its names.
 BOXES = frozenset("div section ul ol dl table details center".split())
-#: Words in an element's class or id that say that it is no part of the article.
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+#: Words in the class or id of an element around or beside an article that say that it is no part of it.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar "
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus respond reply replies share sharing social related recommended widget widgets login signup "
@@ -50,15 +55,16 @@ ASIDE_WORDS = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 ARTICLE_NAMES = frozenset("article-body article-content article-text post-content post-body entry-content story-body story-content articlebody".split())
 
-CONTENT, OTHER, NO_TEXT = 2, 1, 0
-#: Pages on either side of a block that it also gets; words that make a line a sentence in the test for copies; pages that a block has at least where there is no need for smaller ones.
-NEIGHBOURS, SENTENCE, FEW = 4, 8, 1024
+#: TEASER: a line inside an article that is all links.
+TEASER, CONTENT, OTHER, NO_TEXT = 3, 2, 1, 0
+#: Pages of different sentences on either side of a block that it also gets; words that make a line a sentence in the test for copies; pages besides its own that must share a line of an article before it goes.
+NEIGHBOURS, SENTENCE, WITNESSES = 8, 8, 2
 
 
 @dataclass
 class Page:
     lines: list[str] = field(default_factory=list)
-    #: CONTENT inside an article, NO_TEXT where markup says so, else OTHER.
+    #: CONTENT or TEASER inside an article, NO_TEXT where markup says so, else OTHER.
     kinds: list[int] = field(default_factory=list)
 
 
@@ -70,6 +76,7 @@ class Open:
     dropped: bool
     article: bool
     header: bool
+    link: bool = False
     wraps: tuple[int, ...] = ()
 
 
@@ -89,11 +96,12 @@ def element(tag: str, attributes: str, parent: Open, number: int) -> Open:
     elif tag in NOT_TEXT or role in ASIDE_ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
         dropped = True
     names = (named.get("class", "") + " " + named.get("id", "")).lower()
-    if names != " " and tag not in WHOLE and not dropped and (not article or tag in BOXES) and not ASIDE_WORDS.isdisjoint(WORDS.findall(names)):
+    aside = COMMENT_WORDS if article else ASIDE_WORDS
+    if names != " " and tag not in WHOLE and not dropped and (not article or tag in BOXES) and not aside.isdisjoint(WORDS.findall(names)):
         wraps += (number,)
     if not dropped and (tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "").lower() == "articlebody" or not ARTICLE_NAMES.isdisjoint(names.split())):
         article = True
-    return Open(tag, dropped, article, header, wraps)
+    return Open(tag, dropped, article, header, parent.link or tag == "a", wraps)
 
 
 def layout(n_chars: dict[int, int], articles: list[tuple[int, ...]], total: int) -> set[int]:
@@ -110,16 +118,23 @@ def parse(source: str) -> Page:
     n_chars: dict[int, int] = {}
     articles: list[tuple[int, ...]] = []
     at = total = number = 0
+    plain = False
+
+    def add(piece: str) -> None:
+        nonlocal plain
+        text.append(piece)
+        plain = plain or not stack[-1].link and not piece.isspace()
 
     def flush() -> None:
-        nonlocal total
+        nonlocal total, plain
+        linked, plain = not plain, False
         line = " ".join(html.unescape("".join(text)).split()) if text else ""
         text.clear()
         if line:
             top = stack[-1]
             away = top.dropped or top.header and not any(o.tag in HEADINGS for o in stack)
             page.lines.append(line)
-            page.kinds.append(NO_TEXT if away else CONTENT if top.article else OTHER)
+            page.kinds.append(NO_TEXT if away else OTHER if not top.article else TEASER if linked else CONTENT)
             around.append(top.wraps)
             if not away:
                 total += len(line)
@@ -128,7 +143,7 @@ def parse(source: str) -> Page:
 
     for m in iter(lambda: TOKEN.search(source, at), None):
         if m.start() > at:
-            text.append(source[at : m.start()])
+            add(source[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -168,12 +183,10 @@ def parse(source: str) -> Page:
                 articles.append(tuple(k for k in inner.wraps if k != number))
             stack.append(inner)
     if at < len(source):
-        text.append(source[at:])
+        add(source[at:])
     flush()
     stay = layout(n_chars, articles, total)
     page.kinds = [NO_TEXT if any(k not in stay for k in w) else kind for kind, w in zip(page.kinds, around, strict=True)]
-    if CONTENT in page.kinds:
-        page.kinds = [k if k == CONTENT else NO_TEXT for k in page.kinds]
     return page
 
 
@@ -248,8 +261,8 @@ def is_copy(a: Page, b: Page) -> bool:
     return 2 * sum(len(x) for x in own if x in there) > sum(map(len, own))
 
 
-def partners(pages: list[Page], hosts: list[str], paths: list[str]) -> list[int | None]:
-    """For each of the pages in order the place of its partner: of the nearest pages of its host on either side that are no copies, that whose path has more in common."""
+def sides(pages: list[Page], hosts: list[str]) -> tuple[list[int | None], list[int | None]]:
+    """For each of the pages in order the places of the nearest pages of its host before and after it that are no copies of it."""
 
     def walk(order: range) -> list[int | None]:
         # Copies stand in runs: what a page passes over, the next copy passes over at once.
@@ -263,18 +276,55 @@ def partners(pages: list[Page], hosts: list[str], paths: list[str]) -> list[int
             before = i
         return out
 
-    chosen = []
-    for i, (low, high) in enumerate(zip(walk(range(len(pages))), walk(range(len(pages) - 1, -1, -1)), strict=True)):
-        some = [k for k in (low, high) if k is not None]
-        chosen.append(min(some, key=lambda k: (-nearness(paths[i], paths[k]), abs(i - k), k)) if some else None)
-    return chosen
+    return walk(range(len(pages))), walk(range(len(pages) - 1, -1, -1))
+
+
+def partner_of(i: int, low: list[int | None], high: list[int | None], paths: list[str]) -> int | None:
+    """Of the nearest pages on either side the one whose path has more in common, the one before among equals.
 
+    Their distance does not count, as a block lacks copies that stand between.
+    """
+    some = [k for k in (low[i], high[i]) if k is not None]
+    return min(some, key=lambda k: (-nearness(paths[i], paths[k]), k)) if some else None
+
+
+def witnesses(i: int, partner: int, pages: list[Page], low: list[int | None], high: list[int | None]) -> list[Page]:
+    """The nearest two pages, of three on either side, that are copies neither of page `i`, nor of its partner, nor of each other."""
+    found, before, after = [pages[partner]], i, i
+    for _ in range(3):
+        before, after = (None if k is None else side[k] for k, side in ((before, low), (after, high)))
+        for k in (before, after):
+            if len(found) <= WITNESSES and k is not None and k not in (i, partner) and not is_copy(pages[i], pages[k]) and not any(is_copy(pages[k], p) or is_copy(p, pages[k]) for p in found):
+                found.append(pages[k])
+    return found[1:]
+
+
+def deleted(page: Page, partner: Page, others: Callable[[], list[Page]]) -> set[int]:
+    """Places of the lines that the alignment deletes."""
+    shared = set(common_lines(page.lines, partner.lines))
+    article = [i for i, k in enumerate(page.kinds) if k >= CONTENT]
+    inside = shared.intersection(article)
+    if inside:
+        told = [set(common_lines(page.lines, p.lines)) for p in others()]
+        common = {i for i in inside if sum(i in t for t in told) >= WITNESSES}
+        edge: set[int] = set()
+        for order in (article, article[::-1]):
+            for i in order:
+                if i not in common:
+                    break
+                edge.add(i)
+        shared -= inside - edge
+    return shared
 
-def main_text(page: Page, partner: Page | None) -> tuple[str, int, int]:
-    """Text, and how many lines the alignment deletes and how many of the rest markup does."""
-    shared = set(common_lines(page.lines, partner.lines)) if partner else set()
-    rest = [(x, k) for i, (x, k) in enumerate(zip(page.lines, page.kinds, strict=True)) if i not in shared]
-    return " ".join(x for x, k in rest if k != NO_TEXT), len(shared), sum(k == NO_TEXT for _, k in rest)
+
+def main_text(page: Page, partner: Page | None, others: Callable[[], list[Page]] = list) -> tuple[str, int, int, int]:
+    """Text, and how many lines the alignment deletes, how many of these inside articles, and how many of the rest markup does."""
+    gone = deleted(page, partner, others) if partner else set()
+    rest = [(x, k) for i, (x, k) in enumerate(zip(page.lines, page.kinds, strict=True)) if i not in gone]
+    inside, outside = (sum(len(x) for x, k in rest if (k >= CONTENT) == own and k != NO_TEXT) for own in (True, False))
+    wanted = (CONTENT, TEASER) if inside > outside else (OTHER, CONTENT)
+    kept = [x for x, k in rest if k in wanted]
+    return " ".join(kept), len(gone), sum(page.kinds[i] >= CONTENT for i in gone), len(rest) - len(kept)
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -295,52 +345,64 @@ def sort_key(url: str | None, page_id: int | None) -> tuple[str, str, str, int]:
     return (*url_key(url), url or "", -(2**63) if page_id is None else page_id)
 
 
-def block_rows(pages: DataFrame, least: int, block_bytes: int, sample_per_block: int) -> tuple[int, list[tuple], dict[tuple, list[int]]]:
-    """The number of blocks, where they begin, from a bounded sample of URLs, and the pages at their rims with the blocks that they are also read in."""
+def block_rows(pages: DataFrame, block_bytes: int, sample_per_block: int, most_sampled: int = 1 << 20) -> tuple[int, list[tuple], dict[tuple, list[int]]]:
+    """The number of blocks, where they begin, from a bounded sample of URLs, and the pages near their rims with the blocks that they are also read in."""
+    source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     urls = pages.select("page_id", "url")
-    seen = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("html").cast("string"))), F.lit(0))).first()
-    blocks = max(math.ceil(seen[1] / block_bytes), min(least, seen[0] // FEW), 1)
-    sample = blocks * sample_per_block
-    got = sorted(sort_key(r["url"], r["page_id"]) for r in hashed_sample(urls, sample, "url", "page_id").collect())
+    seen = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(source)), F.lit(0))).first()
+    blocks = max(math.ceil(seen[1] / block_bytes), 1)
+    sample = min(blocks * sample_per_block, max(most_sampled, 2 * blocks))
+    got = sorted(sort_key(r["url"], r["page_id"]) for r in hashed_sample(urls, sample, "url", "page_id").collect()) if blocks > 1 else []
     starts = sorted({got[len(got) * k // blocks] for k in range(1, blocks)}) if got else []
+    if not starts:
+        return 1, [], {}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sort_key(u, p) for p, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            columns = [pa.array([bisect.bisect_right(starts, k) for k in keys], pa.int32()), *(pa.array([k[i] for k in keys]) for i in range(3)), pa.array([k[3] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns], names=["block", "host", "path", "link", "number", "page_id", "url"])
+            for part in slices(batch):
+                ids, links, sources = (c.to_pylist() for c in part.columns)
+                keys = [sort_key(u, p) for p, u in zip(ids, links, strict=True)]
+                digests = [xxhash.xxh64_intdigest("\n".join(sorted(sentences(parse(h))))) - (1 << 63) for h in sources]
+                columns = [pa.array([bisect.bisect_right(starts, k) for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([k[3] for k in keys], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[:2], pa.array(digests, pa.int64())], names=["block", "host", "path", "link", "number", "page_id", "url", "digest"])
 
     kind = pages.select("page_id", "url").schema
-    schema = f"block int, host string, path string, link string, number long, page_id {kind['page_id'].dataType.simpleString()}, url string"
-    placed = urls.mapInArrow(place, schema)
-    order = ["host", "path", "link", "number"]
+    schema = f"block int, host string, path string, link string, number long, page_id {kind['page_id'].dataType.simpleString()}, url string, digest long"
+    placed = bounded_batches(pages.select("page_id", "url", source.alias("html"))).mapInArrow(place, schema).select("block", "digest", F.struct("host", "path", "link", "number", "page_id", "url").alias("page"))
+    # The first and the last pages with the same sentences, and of these the outermost.
+    ends = placed.groupBy("block", "digest").agg(F.min("page").alias("first"), F.max("page").alias("last"))
     window = Window.partitionBy("block")
-    first = F.row_number().over(window.orderBy(*order))
-    last = F.row_number().over(window.orderBy(*(F.desc(c) for c in order)))
-    rims = placed.select("block", *order, "page_id", "url", first.alias("first"), last.alias("last")).where(f"first <= {NEIGHBOURS} or last <= {NEIGHBOURS}")
-    # In order, the rows before a block's first are the last ones of the blocks before it, and so after it.
-    rows = sorted((((r["block"], *(r[c] for c in order)), (r["page_id"], r["url"])) for r in rims.collect()), key=lambda r: r[0])
-    also: dict[tuple, list[int]] = {}
-    for block in {k[0] for k, _ in rows}:
-        i, j = bisect.bisect_left(rows, block, key=lambda r: r[0][0]), bisect.bisect_right(rows, block, key=lambda r: r[0][0])
-        for _, page in (*rows[max(0, i - NEIGHBOURS) : i], *rows[j : j + NEIGHBOURS]):
-            also.setdefault(page, []).append(block)
-    return blocks, starts, also
-
-
-def main_texts(pages: DataFrame, block_bytes: int = 32 << 20, sample_per_block: int = 50) -> DataFrame:
-    """page_id, url, text, n_chars, n_lines, n_shared, n_dropped and paired, a row for each row of `pages`.
-
-    n_shared lines are deleted by the alignment, n_dropped of the rest by markup; `paired` is whether the page had
-    a partner. A null or empty html has an empty text. Pages without a host in their URL, or without any URL, form
+    first = ends.withColumn("rank", F.row_number().over(window.orderBy("first"))).where(F.col("rank") <= NEIGHBOURS).collect()
+    last = ends.withColumn("rank", F.row_number().over(window.orderBy(F.desc("last")))).where(F.col("rank") <= NEIGHBOURS).collect()
+    also: dict[tuple, set[int]] = {}
+    for side, rows, step in (("first", first, 1), ("last", last, -1)):
+        of: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: r["rank"]):
+            of.setdefault(r["block"], []).append((r["digest"], (r[side]["page_id"], r[side]["url"])))
+        for block in range(len(starts) + 1):
+            told: set[int] = set()
+            beyond = block + step
+            while 0 <= beyond <= len(starts) and len(told) < NEIGHBOURS:
+                for digest, page in of.get(beyond, ()):
+                    if digest not in told and len(told) < NEIGHBOURS:
+                        told.add(digest)
+                        also.setdefault(page, set()).add(block)
+                beyond += step
+    return len(starts) + 1, starts, {page: sorted(blocks) for page, blocks in also.items()}
+
+
+def main_texts(pages: DataFrame, block_bytes: int = 8 << 20, sample_per_block: int = 50) -> DataFrame:
+    """page_id, url, text, n_chars, n_lines, n_shared, n_inside, n_dropped and paired, a row for each row of `pages`.
+
+    n_shared lines are deleted by the alignment, n_inside of them inside articles, n_dropped of the rest by markup;
+    `paired` is whether the page had a partner. A null or empty html has an empty text. Pages without a host in their URL, or without any URL, form
     a host of their own. Pages whose URL repeats stand beside each other in order of page_id. A page without a
-    neighbour on its host, or whose whole block holds nothing but its copies, has no partner and keeps what markup
-    leaves. Broken markup is read as far as it goes. Blocks hold about `block_bytes` of html, or less, but 1,024
-    pages, if the session has more shuffle partitions than that makes; the driver holds their limits and rim pages,
-    `sample_per_block` and 8 rows of URLs a block.
+    neighbour on its host, or with nothing but copies in its block and among the pages near it, has no partner and
+    keeps what markup leaves. Broken markup is read as far as it goes. Blocks hold about `block_bytes` of html; the
+    driver holds their limits, `sample_per_block` URLs a block and a million in all, and those of 16 pages a block.
     """
     spark = pages.sparkSession
-    blocks, starts, also = block_rows(pages, partitions(spark), block_bytes, sample_per_block)
+    blocks, starts, also = block_rows(pages, block_bytes, sample_per_block)
     shared = spark.sparkContext.broadcast((starts, also))
     id_type = pages.schema["page_id"].dataType.simpleString()
     columns = f"block int, rim boolean, host string, path string, link string, number long, page_id {id_type}, url string, lines array<string>, kinds binary"
@@ -354,14 +416,14 @@ def main_texts(pages: DataFrame, block_bytes: int = 32 << 20, sample_per_block:
                 for page_id, url, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     key, page = sort_key(url, page_id), parse(source or "")
                     block = bisect.bisect_right(begins, key)
-                    for to in (block, *sorted(set(rims.get((page_id, url), ())))):
+                    for to in (block, *(b for b in rims.get((page_id, url), ()) if b != block)):
                         rows.append((to, to != block, *key, page_id, url, page.lines, bytes(page.kinds)))
                 kinds = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), part.schema.field(0).type, pa.string(), pa.list_(pa.string()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     lines = bounded_batches(pages).select("page_id", "url", F.col("html").cast("string")).mapInArrow(cut, columns)
     dealt = lines.repartitionById(blocks, F.col("block")).sortWithinPartitions("host", "path", "link", "number", "rim")
-    out_names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_dropped", "paired"]
+    out_names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_inside", "n_dropped", "paired"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found = [], []
@@ -372,15 +434,16 @@ def main_texts(pages: DataFrame, block_bytes: int = 32 << 20, sample_per_block:
                 for rim, host, path, page_id, url, page_lines, kinds in zip(*(part.column(c).to_pylist() for c in ("rim", "host", "path", "page_id", "url", "lines", "kinds")), strict=True):
                     held.append((rim, host, path, page_id, url))
                     found.append(Page(page_lines or [], list(kinds or b"")))
-        chosen = partners(found, [h[1] for h in held], [h[2] for h in held])
+        hosts, paths = [h[1] for h in held], [h[2] for h in held]
+        low, high = sides(found, hosts)
         own = [i for i, h in enumerate(held) if not h[0]]
         for at in range(0, len(own), 256):
             rows = []
             for i in own[at : at + 256]:
-                partner = None if chosen[i] is None else found[chosen[i]]
-                text, n_shared, n_dropped = main_text(found[i], partner)
-                rows.append((held[i][3], held[i][4], text, len(text), len(found[i].lines), n_shared, n_dropped, partner is not None))
-            kinds = (id_arrow, pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_())
+                k = partner_of(i, low, high, paths)
+                text, *counts = main_text(found[i], None if k is None else found[k], lambda i=i, k=k: witnesses(i, k, found, low, high))
+                rows.append((held[i][3], held[i][4], text, len(text), len(found[i].lines), *counts, k is not None))
+            kinds = (id_arrow, pa.string(), pa.string(), *[pa.int64()] * 5, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=out_names)
 
-    return dealt.mapInArrow(pair, f"page_id {id_type}, url string, text string, n_chars long, n_lines long, n_shared long, n_dropped long, paired boolean")
+    return dealt.mapInArrow(pair, f"page_id {id_type}, url string, text string, n_chars long, n_lines long, n_shared long, n_inside long, n_dropped long, paired boolean")

@@ -125,22 +125,66 @@ def test_links_at_the_threshold_are_those_of_the_vectors_themselves():
 
 def test_only_rows_near_by_their_codes_are_ranked_exactly():
     x = units_of(np.random.default_rng(2).standard_normal((3000, 16)))
-    index = ivfpq.fit_index(x, 20, 8, 0.97, 5, len(x))
+    index = ivfpq.fit_index(x, 20, 8)
     lists = index.nearest_list(x)
     one = int(np.bincount(lists).argmax())
     ids = np.flatnonzero(lists == one)
-    assert index.rerank < len(ids) / 2
     codes = index.codes(x[ids], lists[ids])
-    found = ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], ids, x[ids], codes, 5)
-    assert found[0][1] == ids[0]
-    far = index.approximate(x[ids[:1]], one, codes)[0].argmax()
-    codes[0] = codes[far]  # with another row's codes the row itself is not looked at
-    assert ids[0] not in [v for _, v, _ in ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], ids, x[ids], codes, 5)]
+    distance = index.approximate(x[ids[:1]], one, codes)[0]
+    limit = np.sort(distance)[[9]]
+    own = [[int(i)] for i in ids]
+    found = ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], limit, own, x[ids], codes, 5)
+    assert found[0][1] == ids[0] and {v for _, v, _ in found} <= set(ids[distance <= limit].tolist())
+    codes[0] = codes[distance.argmax()]  # with another row's codes the row itself is not looked at
+    assert ids[0] not in [v for _, v, _ in ivfpq.best_of_chunk(index, one, [-1], x[ids[:1]], limit, own, x[ids], codes, 5)]
+
+
+def test_distances_are_those_of_each_list():
+    rng = np.random.default_rng(3)
+    x = units_of(rng.standard_normal((600, 12)))
+    index = ivfpq.fit_index(x, 9, 4)
+    lists = index.nearest_list(x)
+    codes = index.codes(x, lists)
+    index.probes = 3
+    visited = index.list_ranks(x[:7]) < 3
+    assert (visited.sum(1) == 3).all() and all(visited[q, lists[q]] for q in range(7))
+    got = index.distances(x[:7], lists, codes, visited)
+    rebuilt = index.coarse[lists] + np.concatenate([b[codes[:, n]] for n, b in enumerate(index.books)], axis=1)
+    want = ((x[:7, None, :] - rebuilt[None]) ** 2).sum(2)
+    assert np.allclose(got[visited[:, lists]], want[visited[:, lists]]) and np.isinf(got[~visited[:, lists]]).all()
 
 
-def test_copies_count_once_by_their_codes():
-    distance = np.array([3.0, 1.0, 1.0, 1.0, 2.0, 5.0])
-    assert ivfpq.near_by_codes(distance, 2).tolist() == [1, 2, 3, 4] and len(ivfpq.near_by_codes(distance, 9)) == 6
+def test_probes_and_depth_are_measured_on_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 8))
+    vectors = spark.createDataFrame([(i, row.astype("<f8").tobytes()) for i, row in enumerate(x)], "vec_id long, vector binary")
+    distinct = ivfpq.distinct_vectors(vectors, 5)
+    units = units_of(x)
+    index = ivfpq.fit_index(units[:2000], 30, 4)
+    rows = ivfpq.indexed(distinct, index).cache()
+    asked = units[1500:1560]
+    index = ivfpq.measured(index, rows, rows.select("list", "codes").distinct(), asked, 0.9, 5)
+    lists = index.nearest_list(units)
+    codes = index.codes(units, lists)
+    ranks = index.list_ranks(asked)
+    score = asked @ units.T
+    score[score > 1 - 1e-12] = -2
+    near = np.argsort(-score, axis=1)[:, :5]
+    assert index.probes == int(np.quantile(np.take_along_axis(ranks, lists[near], 1), 0.9, method="higher")) + 1
+    distance = index.distances(asked, lists, codes, ranks < index.probes)
+    kinds = [np.unique(d[np.isfinite(d)].round(12)) for d in distance]
+    passed = [int((kinds[q] < distance[q, v] - 1e-9).sum()) for q in range(60) for v in near[q] if np.isfinite(distance[q, v])]
+    assert abs(index.depth - 5 - int(np.quantile(passed, 0.9, method="higher"))) <= 2
+    assert index.depth < 200
+
+
+def test_different_vectors_with_one_id(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (1, [1.0, 0.1], 0), (2, [0.1, 1.0], 0), (2, [1.0, 0.0], 0)]
+    want = None
+    for parts in (1, 3, 5):
+        got = sorted(tuple(r) for r in ivfpq.nearest(spark.createDataFrame(rows, EMB).repartition(parts)).collect())
+        assert [(r[0], r[2]) for r in got] in ([(0, 1), (0, 2)], [(0, 2), (0, 1)]) and (want is None or got == want)
+        want = got
 
 
 def test_vectors_without_ids_or_rows(spark):
@@ -185,20 +229,22 @@ def test_ties_go_to_smaller_ids(spark):
 def test_many_equal_vectors_do_not_set_the_probes(spark):
     rng = np.random.default_rng(9)
     x = [[float(np.float32(v)) for v in row] for row in rng.standard_normal((1600, 8))]
-    seen, fit = [], ivfpq.fit_index
+    seen, fit, measure = [], ivfpq.fit_index, ivfpq.measured
 
     def watched(sample, *rest, **more):
-        seen.append((sample, fit(sample, *rest, **more)))
-        return seen[-1][1]
+        seen.append(sample)
+        return fit(sample, *rest, **more)
 
+    found = []
     ivfpq.fit_index = watched
+    ivfpq.measured = lambda *a: found.append(measure(*a)) or found[-1]
     try:
         for k in (0, 1):  # whichever hash the repeated vector has
             rows = [(i, v, 0) for i, v in enumerate(x)] + [(10_000 + i, x[k], 0) for i in range(800)]
             ivfpq.nearest(spark.createDataFrame(rows, EMB), modulus=400)
     finally:
-        ivfpq.fit_index = fit
-    for sample, index in seen:
+        ivfpq.fit_index, ivfpq.measured = fit, measure
+    for sample, index in zip(seen, found, strict=True):
         assert len(np.unique(sample, axis=0)) == len(sample) == 1600
         assert index.probes > 1
-    assert not (seen[0][0] == np.array(sorted(seen[0][0].tolist()))).all()
+    assert not (seen[0] == np.array(sorted(seen[0].tolist()))).all()
