@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics
@@ -38,7 +38,17 @@ def retention_gate(base: DataFrame, adapted: DataFrame, least_retention: float =
     """A row that compares two `overall` rows: answers kept, thinking kept; a run that a length limit cut is invalid."""
     names = ("compact_exact_match", "thinking_terminated_rate", "length_truncation_rate")
     row = lambda s, p: s.where("grp = 'overall'").select(*(F.col(n).alias(p + n) for n in names))
-    both = row(base, "base_").crossJoin(row(adapted, "adapted_"))
+    return compared(row(base, "base_").crossJoin(row(adapted, "adapted_")), least_retention, most_thinking_drop)
+
+
+def retention_of_scores(scores: DataFrame, base: Column, adapted: Column, least_retention: float = 0.95, most_thinking_drop: float = 0.05) -> DataFrame:
+    """`retention_gate` of two parts of one table of scores, which is read once."""
+    means = {"compact_exact_match": "compact_exact", "thinking_terminated_rate": "thinking_terminated", "length_truncation_rate": "length_truncated"}
+    part = lambda p, where: [rounded(F.coalesce(F.avg(F.when(where, F.col(c).cast("double"))), F.lit(0.0)), 6).alias(p + n) for n, c in means.items()]
+    return compared(scores.agg(*part("base_", base), *part("adapted_", adapted)), least_retention, most_thinking_drop)
+
+
+def compared(both: DataFrame, least_retention: float, most_thinking_drop: float) -> DataFrame:
     retention = F.when(F.col("base_compact_exact_match") > 0, F.col("adapted_compact_exact_match") / F.col("base_compact_exact_match")).otherwise(1.0)
     drop = F.col("base_thinking_terminated_rate") - F.col("adapted_thinking_terminated_rate")
     valid = (F.col("base_length_truncation_rate") == 0) & (F.col("adapted_length_truncation_rate") == 0)

@@ -398,8 +398,7 @@ r as (select round(case when b.compact_exact_match > 0 then a.compact_exact_matc
   b.length_truncation_rate = 0 and a.length_truncation_rate = 0 as valid from summary b, other a where b.grp = 'overall' and a.grp = 'overall')
 select *, valid and answer_retention >= 0.95 and thinking_drop <= 0.05 as passed from r""")
 def retention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    return gates.retention_gate(scoring.summarize(rows), scoring.summarize(rows.where("conv_id % 2 = 0")))
+    return gates.retention_of_scores(scored(spark, sf_dir), F.lit(True), F.col("conv_id") % 2 == 0)
 
 
 SMOKE = f"""

@@ -95,3 +95,36 @@ def write_merged(parts: list[DataFrame], path: str, key: str = "source_index") -
     rows = merged(parts, key)
     write(rows, path, files=1)
     return rows.sparkSession.read.text(path).count()
+
+
+def write_ordered(parts: list[DataFrame], path: str, key: str = "source_index", files: int | None = None) -> DataFrame:
+    """All parts in order of the number `key`, in files that many tasks write, and their manifest: place, file, rows, least, most and first (rows in the files before).
+
+    The files one after another are the one file of `write_merged`. The manifest is written to `path`/_order.
+    """
+    rows = merged(parts, key)
+    spark = rows.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write(rows.repartitionByRange(n, key).sortWithinPartitions(key), path)
+    held = spark.read.schema(f"{key} long").json(path).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+    sizes = held.agg(F.count("*").alias("rows"), F.min(key).alias("least"), F.max(key).alias("most"))
+    # A row for each file.
+    order = Window.orderBy("least")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    manifest = sizes.select((F.row_number().over(order) - 1).alias("place"), "file", "rows", "least", "most", before.alias("first"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/_order")
+    return read_order(spark, path)
+
+
+def read_order(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("place int, file string, rows long, least long, most long, first long").json(f"{path}/_order")
+
+
+def read_places(spark: SparkSession, path: str, schema: str, first: int, last: int, key: str = "source_index") -> DataFrame:
+    """Rows of an ordered table from place `first` up to, without, `last`; no file is read that holds none of them."""
+    files = read_order(spark, path).where((F.col("first") < last) & (F.col("first") + F.col("rows") > first)).orderBy("place").collect()
+    if not files:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).json([f"{path}/{f['file']}" for f in files])
+    start = files[0]["first"]
+    return rows.orderBy(key).offset(max(0, first - start)).limit(last - max(first, start))

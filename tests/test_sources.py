@@ -236,6 +236,21 @@ def test_merged_parts_are_one_ordered_file(spark, tmp_path):
     assert [json.loads(x)["source_index"] for x in part.read_text().splitlines()] == list(range(10))
 
 
+def test_ordered_files_are_the_one_file(spark, tmp_path):
+    rng = random.Random(5)
+    keys = rng.sample(range(1000), 300)
+    parts = [spark.createDataFrame([(i, f"té{i}", None if i % 3 else "n") for i in keys[k::3]], "source_index long, t string, n string") for k in range(3)]
+    jsonl.write_merged([*parts, parts[0].limit(3)], str(tmp_path / "one"))
+    order = jsonl.write_ordered([*parts, parts[0].limit(3)], str(tmp_path / "many"), files=7).orderBy("place").collect()
+    (one,) = (tmp_path / "one").glob("part-*")
+    assert len(order) == 7 and b"".join((tmp_path / "many" / r.file).read_bytes() for r in order) == one.read_bytes()
+    assert [r.first for r in order] == [sum(x.rows for x in order[:k]) for k in range(7)] and sum(r.rows for r in order) == 300
+    want = sorted(keys)
+    for first, last in ((0, 5), (100, 180), (290, 400), (0, 300), (300, 310)):
+        got = jsonl.read_places(spark, str(tmp_path / "many"), "source_index long, t string, n string", first, last).collect()
+        assert [r.source_index for r in got] == want[first:last]
+
+
 def test_provenance(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     (got,) = provenance.run_record(spark, str(tmp_path), [str(tmp_path / "f")], "7, Some card, 9.9, 16 GB, 1.0\n\n8, Other card, 9.9, 16 GB, 1.0").collect()
