@@ -12,8 +12,8 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
     """(node, component) for every node of `edges`.
 
     Alternates large-star and small-star steps until every node that is no smallest one has one edge, to the
-    smallest of its component. Only minima per node are aggregated and joined, so a hub is no group of rows in
-    one task, and each round is written to the shared folder. The number of rounds is logarithmic.
+    smallest of its component. Minima per node are pre-aggregated, and joined with the edges by sort-merge, where
+    adaptive execution splits the edges of a hub; each round is written to the shared folder. The number of rounds is logarithmic.
     """
     both = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = written(both, "links")

@@ -90,7 +90,8 @@ def pack_pieces(pieces: DataFrame, capacity: tuple[int, int, int], weights: tupl
     """`pieces` (any table with doc_id, piece, length) with sequence_id and offset. Ties in length go by doc_id and piece."""
     rows = pieces.count()
     blocks = blocks_for(rows, block_rows)
-    block = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(blocks)).cast("long")
+    # Row numbers keep rows that are alike from sharing a block.
+    block = F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
     dealt = pieces.withColumn("block", block)
     schema = dealt.drop("block").schema.add("sequence_id", "long").add("offset", "long")
 
