@@ -272,7 +272,7 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
 
 
-def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 16, chunk_rows: int = 1024, query_rows: int = 256) -> DataFrame:
+def nearest(embeddings: DataFrame, modulus: int = 50, k: int = 5, recall: float = 0.97, spaces: int = 32, chunk_rows: int = 1024, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the `k` nearest found for each query, the rows whose vec_id `modulus` divides.
 
     All rows but the query's own are candidates; ties go to the smaller vec_id. Vectors that are null, empty, zero
