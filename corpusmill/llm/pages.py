@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_batches, hashed_sample
+from corpusmill.llm.common import bounded_batches, forget, hashed_sample, written
 from corpusmill.llm.tokens import slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -370,10 +370,11 @@ def block_rows(pages: DataFrame, block_bytes: int, sample_per_block: int, most_s
     schema = f"block int, host string, path string, link string, number long, page_id {kind['page_id'].dataType.simpleString()}, url string, digest long"
     placed = bounded_batches(pages.select("page_id", "url", source.alias("html"))).mapInArrow(place, schema).select("block", "digest", F.struct("host", "path", "link", "number", "page_id", "url").alias("page"))
     # The first and the last pages with the same sentences, and of these the outermost.
-    ends = placed.groupBy("block", "digest").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    ends = written(placed.groupBy("block", "digest").agg(F.min("page").alias("first"), F.max("page").alias("last")), "page-ends")
     window = Window.partitionBy("block")
     first = ends.withColumn("rank", F.row_number().over(window.orderBy("first"))).where(F.col("rank") <= NEIGHBOURS).collect()
     last = ends.withColumn("rank", F.row_number().over(window.orderBy(F.desc("last")))).where(F.col("rank") <= NEIGHBOURS).collect()
+    forget(ends)
     also: dict[tuple, set[int]] = {}
     for side, rows, step in (("first", first, 1), ("last", last, -1)):
         of: dict[int, list] = {}
