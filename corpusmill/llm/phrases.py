@@ -288,11 +288,12 @@ def oracle() -> str:
     return r"""
     WITH pieces AS (
       SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
       FROM documents WHERE text IS NOT NULL),
     listed AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
     grams AS (
-      SELECT lang, m.m AS m, unnest(list_transform(range(1, len(w) - m.m + 2), i -> array_to_string(w[i : i + m.m - 1], ' '))) AS phrase
+      SELECT lang, m.m AS m, unnest(list_transform(range(1, len(w) - m.m + 2), lambda i: array_to_string(w[i : i + m.m - 1], ' '))) AS phrase
       FROM listed, (SELECT unnest([1, 2, 3]) AS m) m WHERE len(w) >= m.m),
     counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
     totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),

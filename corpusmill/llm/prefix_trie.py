@@ -238,7 +238,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB SQL. crc32 is spelled out, bit by bit; sequences are compared by digests of digests."""
-    crc = "(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), ch -> ord(ch)::BIGINT)), (crc, b) -> list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (x, i) -> xor(x >> 1, 3988292384 * (x & 1)))))"
+    crc = "(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
     return f"""
     WITH own AS (
       SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,

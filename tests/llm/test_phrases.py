@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 
 from corpusmill.llm import phrases
@@ -105,6 +106,14 @@ def test_numbers_of_many_columns_stay_exact():
     assert all(rows[firsts[k]] == r for k, r in zip(number, rows))
 
 
+def test_sql_agrees(spark, tmp_path):
+    rows = corpus(4, 150) + odd_docs()
+    frame(spark, rows).write.parquet(f"{tmp_path}/d")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
+    assert sorted(duck.sql(f"select lang, rank, phrase, a, l, r, n, score from ({phrases.oracle()})").fetchall()) == plain(rows)
+
+
 def test_odd_rows(spark):
     rows = odd_docs() + [doc(50 + k, "Same words. same words, SAME WORDS", "a") for k in range(9)]
     assert made(spark, rows) == plain(rows)

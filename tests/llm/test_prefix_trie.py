@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+import duckdb
+
 from corpusmill.llm import prefix_trie
 from tests.llm.helpers import frame
 
@@ -61,6 +63,15 @@ def test_against_plain_trie(spark):
         assert made(spark, rows) == plain(rows)
 
 
+def test_sql_agrees(spark, tmp_path):
+    rows = conversations(11, 40) + [(-3, 1, "user", "é1"), (2**40, None, None, "x"), (41, 3, "user", None)]
+    frame(spark, rows, SCHEMA).write.parquet(f"{tmp_path}/c")
+    duck = duckdb.connect()
+    duck.execute(f"create view conversations as select * from read_parquet('{tmp_path}/c/*.parquet')")
+    names = "conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256"
+    assert set(duck.sql(f"select {names} from ({prefix_trie.oracle()})").fetchall()) == plain(rows)
+
+
 def test_odd_rows(spark):
     rows = conversations(7, 30)
     rows += [(None, 1, "user", "lost"), (31, None, "user", "first"), (31, 0, None, None), (31, 0, "a", None), (31, 0, "a", "x"), (31, 0, "a", "x"), (-3, 1, "user", "é1"), (-5, 1, "u", "b"), (-5, 2, "u", "c"), (2**40, 0, "user", "é0")]
