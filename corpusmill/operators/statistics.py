@@ -41,7 +41,8 @@ def bootstrap_interval(items: DataFrame, key: str, metric: str, resamples: int =
     """
     known = items.where(F.col(metric).isNotNull())
     drawn = known.select(F.col(metric).cast("double").alias("m"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = F.pmod(F.xxhash64("k", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    digits = F.substring(F.md5(F.concat_ws("|", F.col("k").cast("string"), F.col("b"), F.lit(seed))), 1, 10)
+    u = F.conv(digits, 16, 10).cast("double") / float(1 << 40)
     times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
     means = drawn.withColumn("t", times).groupBy("b").agg((F.sum(F.col("m") * F.col("t")) / F.sum("t")).alias("mean"))
     low, high = (1 - level) / 2, (1 + level) / 2

@@ -6,6 +6,7 @@ hold, `embeddings` a set of tensors. Generations are pairs of consecutive assist
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -557,10 +558,15 @@ def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.rating_summary(rated, "lang").withColumn("mean_rating", F.round("mean_rating", 6))
 
 
-@query()
+@query(f"""
+with {GENERATIONS}, i as (select conv_id || '-' || turn as id, chrf2 from scores where chrf2 is not null),
+u as (select b, chrf2, ('0x' || substr(md5(id || '|' || b || '|1'), 1, 10))::bigint / 1099511627776 as u from i, range(1, 201) t(b)),
+m as (select b, sum(chrf2 * t) / sum(t) as mean from (select *, {' + '.join(f"(u >= {p})::int" for p in statistics.POISSON)} as t from u) group by b)
+select round((select avg(chrf2) from i), 6) as mean, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from m""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = scored(spark, sf_dir).select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), "chrf2")
-    return statistics.bootstrap_interval(items, "id", "chrf2")
+    found = statistics.bootstrap_interval(items, "id", "chrf2")
+    return found.withColumns({c: F.round(c, 6) for c in found.columns})
 
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -623,7 +629,7 @@ def document_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the one of `spark.checkpoint.dir`, or of this machine where that is unset, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
