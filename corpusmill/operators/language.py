@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words hold no blanks, so these stand for nothing else.
@@ -54,37 +60,94 @@ def bleu(rows: DataFrame, reference: str, generated: str, key: str, group: str |
     return out.withColumnRenamed("own_group", group) if group else out
 
 
+#: Words whose runs are packed together, and bytes of text for which a task's share of the runs is meant.
+PARCEL_WORDS, TASK_BYTES = 1 << 19, 16 << 20
+#: Words whose counts are broadcast.
+FREQUENT_WORDS = 100_000
+
+
+def parcels(docs: DataFrame, text: str, learned: Column, key: str | None = None) -> DataFrame:
+    """Runs of three words as rows (bucket, lines), dealt by bucket; a line holds v, w and u of a run, in this order, parted by tabs.
+
+    Half a million words at a time are counted and packed where they lie, in sorted lines, which compress to a third
+    of a row for each run. Without `key` the learned documents' runs are dealt by (v, w), and a count above 1 follows.
+    With `key` all runs are dealt by v, one by one, and 1 or 0 (learned or not) and the key, percent-encoded, follow.
+    """
+    spark = docs.sparkSession
+    held = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(learned, F.lit(False)).alias("l"), *([F.col(key).cast("string").alias("k")] if key else []))
+    held = held if key else held.where("l")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # More buckets than tasks even out what a task gets.
+    buckets, start, end = 4 * parts, START.encode(), END.encode()
+
+    def packed(found: Counter) -> pa.RecordBatch:
+        by: dict[int, list[bytes]] = {}
+        for line in sorted(found):
+            v, w, rest = line.split(b"\t", 2)
+            n = found[line]
+            own = [line] * n if key else [line if n == 1 else b"%b\t%d" % (line, n)]
+            by.setdefault(zlib.crc32(v if key else b"%b\t%b" % (v, w)) % buckets, []).extend(own)
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([b"\n".join(x) for x in by.values()], pa.binary()).cast(pa.string())], names=["bucket", "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = Counter(), 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = batch.column(0)[i].as_py()
+                # ASCII letters and blanks alone, as in `words`.
+                t = [start, start, *(value or "").encode().lower().split(), end]
+                if key:
+                    own = batch.column(2)[i].as_py()
+                    tail = [(b"1" if batch.column(1)[i].as_py() else b"0") + (b"/" if own is None else quote(own, safe="").encode())] * len(t)
+                    found.update(map(b"\t".join, zip(t[1:], t[2:], t, tail)))
+                else:
+                    found.update(map(b"\t".join, zip(t[1:], t[2:], t)))
+                size += len(t) - 2
+                if size >= PARCEL_WORDS:
+                    yield packed(found)
+                    found, size = Counter(), 0
+        if found:
+            yield packed(found)
+
+    return held.mapInArrow(run, "bucket int, lines string").repartition(parts, "bucket")
+
+
+def unpacked(parcels: DataFrame) -> DataFrame:
+    """(bucket, v, w, u, more) of each line of `parcels`; `more` is what follows u, or null."""
+    line = parcels.select("bucket", F.explode(F.split("lines", "\n")).alias("x")).select("bucket", F.split("x", "\t").alias("x"))
+    return line.select("bucket", *(F.get("x", F.lit(i)).alias(n) for i, n in enumerate(("v", "w", "u", "more"))))
+
+
 def gram_counts(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
-    """(key, learned, u, v, w, n): how often a document has w after u and v; its words follow two starts, and an end follows them."""
-    tokens = F.concat(F.array(F.lit(START), F.lit(START)), words(F.col(text)), F.array(F.lit(END)))
-    held = docs.select(F.col(key).alias("key"), learned.alias("learned"), tokens.alias("t"))
-    threes = F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.struct(F.get("t", i - 1).alias("u"), F.get("t", i).alias("v"), F.get("t", i + 1).alias("w")))
-    return held.select("key", "learned", F.explode(threes).alias("x")).select("key", "learned", "x.*").groupBy("key", "learned", "u", "v", "w").agg(F.count("*").alias("n"))
+    """(bucket, v, w, u, n): how often the learned documents have w after u and v, in one row or more.
+
+    Words follow two starts, and an end follows them. Rows lie by `bucket`, which follows from v and w. Documents are
+    counted together, whatever their `key`.
+    """
+    return unpacked(parcels(docs, text, learned)).select("bucket", "v", "w", "u", F.coalesce(F.col("more").cast("long"), F.lit(1)).alias("n"))
 
 
 def model_counts(counted: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a Kneser-Ney model of three words from `gram_counts`.
+    """The tables of a Kneser-Ney model of three words from rows that lie by bucket, as `gram_counts` makes them.
 
-    `three` (u, v, w, c) has all runs, with their count in the learned documents; `after_two` (u, v) and `after_one` (v)
-    have the total and the kinds of what follows; `two` (v, w) and `one` (w) count the kinds of what goes before.
+    `three` (bucket, v, w, u, c) counts the learned runs; `two` (bucket, v, w) and `one` (w) count the kinds of what
+    goes before. Each rolls up the one before, with how many kinds were counted once and twice (once_n, twice_n), so
+    runs are shuffled once, and after that partial counts of words alone.
     """
-    three = counted.groupBy("u", "v", "w").agg(F.sum(F.when(F.col("learned"), F.col("n")).otherwise(0)).alias("c"))
-    known = three.where("c > 0")
-    two = known.groupBy("v", "w").agg(F.count("*").alias("c"))
-    one = two.groupBy("w").agg(F.count("*").alias("c"))
-    sums = (F.sum("c").alias("total"), F.count("*").alias("kinds"))
-    return {"three": three, "two": two, "one": one, "after_two": known.groupBy("u", "v").agg(*sums), "after_one": two.groupBy("v").agg(*sums), "after_none": one.agg(*sums)}
+    twice = lambda n: [F.count_if(F.col("c") == k).alias(f"{m}_{n}") for k, m in ((1, "once"), (2, "twice"))]
+    three = counted.groupBy("bucket", "v", "w", "u").agg(F.sum("n").alias("c"))
+    two = three.where("c > 0").groupBy("bucket", "v", "w").agg(F.count("*").alias("c"), *twice(3))
+    one = two.groupBy("w").agg(F.count("*").alias("c"), F.sum("once_3").alias("once_3"), F.sum("twice_3").alias("twice_3"), *twice(2))
+    return {"three": three, "two": two, "one": one}
 
 
 def discounts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row: for each order the kinds counted once (once_n) and twice (twice_n), and the discount d_n: once / (once + 2 twice), a half if none is counted once."""
-    found = None
-    for n, name in ((3, "three"), (2, "two"), (1, "one")):
-        own = tables[name].agg(F.count_if(F.col("c") == 1).alias(f"once_{n}"), F.count_if(F.col("c") == 2).alias(f"twice_{n}"))
-        d = F.when(F.col(f"once_{n}") > 0, F.col(f"once_{n}") / (F.col(f"once_{n}") + 2 * F.col(f"twice_{n}"))).otherwise(F.lit(0.5))
-        own = own.withColumn(f"d_{n}", d)
-        found = own if found is None else found.crossJoin(own)
-    return found
+    sums = [F.coalesce(F.sum(f"{m}_{n}"), F.lit(0)).alias(f"{m}_{n}") for n in (3, 2) for m in ("once", "twice")]
+    found = tables["one"].agg(*sums, F.count_if(F.col("c") == 1).alias("once_1"), F.count_if(F.col("c") == 2).alias("twice_1"))
+    d = lambda n: F.when(F.col(f"once_{n}") > 0, F.col(f"once_{n}") / (F.col(f"once_{n}") + 2 * F.col(f"twice_{n}"))).otherwise(F.lit(0.5))
+    return found.select(*(x for n in (3, 2, 1) for x in (f"once_{n}", f"twice_{n}", d(n).alias(f"d_{n}"))))
 
 
 def perplexity(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,28 +155,37 @@ def perplexity(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
 
     Interpolated Kneser-Ney of three words: a run's count less a discount, over what its first words are followed by;
     the rest goes to the model of one word less, whose counts are kinds of words before, down to equal shares for all
-    known words and one unknown. What has no history at one order is left to the next. Every distinct run is scored
-    once, by joins with the tables of `model_counts`, and scores are joined back to the documents that hold it.
+    known words and one unknown. What has no history at one order is left to the next. Runs are shuffled once, by
+    their middle word: all counts of a run but those of its last word alone lie there. The counts of frequent last
+    words are broadcast, 100,000 at most, and runs that end in other words are dealt by these; documents then add up.
     """
-    counted = gram_counts(docs, key, text, learned)
-    tables = model_counts(counted)
-    # One row each.
-    whole = discounts(tables).crossJoin(tables["after_none"].select(F.coalesce("total", F.lit(0)).alias("total_0"), F.col("kinds").alias("kinds_0")))
-    renamed = lambda name, order, *by: tables[name].select(*by, F.col("total").alias(f"total_{order}"), F.col("kinds").alias(f"kinds_{order}"))
+    packed = parcels(docs, text, learned, key)
+    lines = unpacked(packed).select("bucket", "v", "w", "u", F.substring("more", 1, 1).cast("int").alias("n"), F.substring(F.col("more"), F.lit(2), F.length("more")).alias("k"))
+    tables = model_counts(lines)
+    one = tables["one"].select("w", F.col("c").alias("c_1"))
+    # One row.
+    whole = discounts(tables).crossJoin(one.agg(F.coalesce(F.sum("c_1"), F.lit(0)).alias("total_0"), F.count("*").alias("kinds_0")))
+    over = lambda *by: Window.partitionBy("bucket", *by)
+    first = lambda order, *by: (F.row_number().over(over(*by).orderBy(order)) == 1)
     runs = (
-        tables["three"]
-        .withColumnRenamed("c", "c_3")
-        .join(renamed("after_two", 2, "u", "v"), ["u", "v"], "left")
-        .join(tables["two"].withColumnRenamed("c", "c_2"), ["v", "w"], "left")
-        .join(renamed("after_one", 1, "v"), "v", "left")
-        .join(tables["one"].withColumnRenamed("c", "c_1"), "w", "left")
-        .crossJoin(F.broadcast(whole))
+        lines.withColumn("first", first("n", "v", "u", "w"))
+        .withColumn("c_3", F.sum("n").over(over("v", "u", "w")))
+        .withColumn("kind", (F.col("first") & (F.col("c_3") > 0)).cast("int"))
+        .withColumns({"total_2": F.sum("n").over(over("v", "u")), "kinds_2": F.sum("kind").over(over("v", "u"))})
+        .withColumn("first", first("u", "v", "w"))
+        .withColumn("c_2", F.sum("kind").over(over("v", "w")))
+        .withColumn("kind_2", (F.col("first") & (F.col("c_2") > 0)).cast("int"))
+        .withColumns({"total_1": F.sum("kind").over(over("v")), "kinds_1": F.sum("kind_2").over(over("v"))})
+        .select("w", "k", "c_3", "total_2", "kinds_2", "c_2", "total_1", "kinds_1")
     )
-    count = lambda n: F.coalesce(F.col(f"c_{n}"), F.lit(0))
+    frequent = one.orderBy(F.desc("c_1"), "w").limit(FREQUENT_WORDS)
+    named = runs.join(F.broadcast(frequent), "w", "left")
+    rest = named.where("c_1 is null").drop("c_1").join(one, "w", "left")
     lower = F.lit(1.0) / (F.col("kinds_0") + 1)
     for n in (1, 2, 3):
         total, kinds, d = F.col(f"total_{n - 1}"), F.col(f"kinds_{n - 1}"), F.col(f"d_{n}")
-        lower = F.when(F.coalesce(total, F.lit(0)) > 0, (F.greatest(count(n) - d, F.lit(0.0)) + d * kinds * lower) / total).otherwise(lower)
-    scored = runs.select("u", "v", "w", F.log10(lower).alias("log10_p"))
-    each = counted.join(scored, ["u", "v", "w"]).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("log10_p")).alias("log10_prob"))
-    return each.select(F.col("key").alias(key), "n_tokens", "log10_prob", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens")).alias("perplexity"))
+        lower = F.when(total > 0, (F.greatest(F.coalesce(F.col(f"c_{n}"), F.lit(0)) - d, F.lit(0.0)) + d * kinds * lower) / total).otherwise(lower)
+    scored = named.where("c_1 is not null").unionByName(rest).crossJoin(F.broadcast(whole)).select("k", F.log10(lower).alias("p"))
+    each = scored.groupBy("k").agg(F.count("*").alias("n_tokens"), F.sum("p").alias("log10_prob"))
+    own = F.when(F.col("k") != "/", F.url_decode("k")).cast(docs.schema[key].dataType)
+    return each.select(own.alias(key), "n_tokens", "log10_prob", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens")).alias("perplexity"))

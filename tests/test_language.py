@@ -105,3 +105,16 @@ def test_nothing_learned_and_no_rows(spark):
     assert {r.perplexity for r in language.perplexity(docs, F.lit(False)).collect()} == {1.0}
     assert language.perplexity(docs.limit(0), F.lit(True)).count() == 0
     assert language.discounts(language.model_counts(language.gram_counts(docs.limit(0), "doc_id", "text", F.lit(True)))).first().d_3 == 0.5
+
+
+def shuffled_by(df):
+    """The first column of each hash exchange of a plan."""
+    return re.findall(r"Exchange hashpartitioning\((\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_discounts_shuffle_runs_once(spark):
+    docs = spark.createDataFrame(corpus(4, 30), "doc_id long, text string")
+    tables = language.model_counts(language.gram_counts(docs, "doc_id", "text", F.col("doc_id") % 5 != 1))
+    assert shuffled_by(language.discounts(tables)) in (["bucket", "w"], ["w", "bucket"])
+    whole = Counter(r for i, t in corpus(4, 30) if i % 5 != 1 for r in runs([" (", " (", *split(t), " )"], 3).elements())
+    assert {(r.u, r.v, r.w): r.c for r in tables["three"].collect()} == whole
