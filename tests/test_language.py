@@ -118,3 +118,15 @@ def test_discounts_shuffle_runs_once(spark):
     assert shuffled_by(language.discounts(tables)) in (["bucket", "w"], ["w", "bucket"])
     whole = Counter(r for i, t in corpus(4, 30) if i % 5 != 1 for r in runs([" (", " (", *split(t), " )"], 3).elements())
     assert {(r.u, r.v, r.w): r.c for r in tables["three"].collect()} == whole
+
+
+def test_perplexity_deals_runs_by_their_middle_word_alone(spark):
+    texts = dict(enumerate(["a b a b", None, "é\tÉ a", "b b b", "a b a b"]))
+    rows = [(k, texts[i]) for i, k in enumerate(["x\ty\n", "/", "", None, "é%2F +"])]
+    own = language.perplexity(spark.createDataFrame(rows, "name string, text string"), F.lit(True), "name")
+    assert set(shuffled_by(own)) == {"bucket", "w", "k"}
+    p, _ = plain_model([split(t) for t in texts.values()])
+    got = {r.name: r.log10_prob for r in own.collect()}
+    for k, text in rows:
+        t = ["(", "(", *split(text), ")"]
+        assert got[k] == pytest.approx(sum(math.log10(p(*t[i : i + 3])) for i in range(len(t) - 2)))
