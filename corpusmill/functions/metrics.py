@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corpusmill.functions.text import REPLACEMENT, YI_SYLLABLE, casefold, is_blank, normalize, strip
+from corpusmill.functions.text import REPLACEMENT, YI_SYLLABLE, casefold, is_blank, nfc_casefold, normalize, squeeze, strip
 
 # Phrases by which a prompt names the language it asks for, tried in this order of languages.
 OTHER_TASKS = [
@@ -107,13 +107,14 @@ def has_any(text: Column, phrases: list[str]) -> Column:
 
 def target_language(prompt: Column, reference: Column) -> Column:
     """yi, zh, en or unknown. Another task in the prompt comes before any language, then the order of the tests is that of the rules."""
-    text, answer = normalize(prompt), normalize(reference)
-    yi_answer = answer.rlike(YI_SYLLABLE)
+    text = normalize(prompt)
+    # Normal forms leave Yi syllables alone and make none.
+    yi_answer = reference.rlike(YI_SYLLABLE)
     return (
         F.when(has_any(text, OTHER_TASKS), "unknown")
         .when(has_any(text, ZH_PHRASES), "zh")
         .when(has_any(text, YI_PHRASES), "yi")
-        .when(has_any(casefold(text), EN_PHRASES), "en")
+        .when(has_any(squeeze(nfc_casefold(prompt)), EN_PHRASES), "en")
         .when(text.rlike(YI_SYLLABLE) & ~yi_answer, "zh")
         .when(yi_answer, "yi")
         .otherwise("unknown")

@@ -8,6 +8,7 @@ have no built-in and use Arrow functions, which then see those texts alone.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +35,11 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(StringType())
+def _nfc_casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t).casefold())
+
+
 @F.pandas_udf(StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else t.casefold())
@@ -49,13 +55,22 @@ def nfc(text: Column) -> Column:
     return F.when(simple, text).otherwise(_nfc(F.when(~simple, text)))
 
 
-def casefold(text: Column) -> Column:
-    """Full case folding. Below U+0300 five letters fold in another way than they are lowered."""
+def _folded(text: Column, other: Callable[[Column], Column]) -> Column:
     simple = text.rlike(FOLDED)
     native = F.translate(text, "µſ", "μs")
     for letter, folded in (("ß", "ss"), ("ŉ", "ʼn"), ("ǰ", "ǰ")):
         native = F.replace(native, F.lit(letter), F.lit(folded))
-    return F.when(simple, F.lower(native)).otherwise(_casefold(F.when(~simple, text)))
+    return F.when(simple, F.lower(native)).otherwise(other(F.when(~simple, text)))
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding. Below U+0300 five letters fold in another way than they are lowered."""
+    return _folded(text, _casefold)
+
+
+def nfc_casefold(text: Column) -> Column:
+    """Normal form C, then full case folding, in one step: a task has a Python worker for each step that waits for another."""
+    return _folded(text, _nfc_casefold)
 
 
 def strip(text: Column) -> Column:
@@ -70,14 +85,19 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
+def squeeze(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
+
+
 def normalize(text: Column) -> Column:
     """Normal form C, runs of white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(nfc(text), f"{SPACE}+", " "), "^ | $", "")
+    return squeeze(nfc(text))
 
 
 def compact(text: Column) -> Column:
     """Normal form C, case folded, letters and digits alone."""
-    return F.regexp_replace(casefold(nfc(text)), NOT_ALPHANUMERIC, "")
+    return F.regexp_replace(nfc_casefold(text), NOT_ALPHANUMERIC, "")
 
 
 def count_yi_syllables(text: Column) -> Column:

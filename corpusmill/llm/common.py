@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrow import bounded_batches as bounded_batches
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -61,20 +63,6 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Bounds of an Arrow batch. Texts may be long, and each running task holds a few batches on either side.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, after lowering the session's bounds of Arrow batches to those above, if they are higher or unset."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        digits = "".join(c for c in conf.get(key) if c.isdigit() or c == "-")
-        if not 0 < int(digits or 0) <= most:
-            conf.set(key, str(most))
-    return df
-
-
 #: Bits of one bitmap, and the most bitmaps that are broadcast: 16 MB, whatever the size of the input.
 MAP_BITS, MOST_MAPS = 32_768, 4096
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, garble, metrics, text
 from corpusmill.functions import tokens as tok
+from corpusmill.functions.arrow import bounded_batches
 from corpusmill.operators import chunk, gates, integrity, language, leakage, numeric, profile, reshape, resume, sampling, scoring, statistics
 from corpusmill.sources import files, jsonl
 from corpusmill.streaming import batches
@@ -338,8 +339,8 @@ def generation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {GENERATIONS} select conv_id, turn, round(chrf2, 6) as chrf2 from scores")
 def chrf2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generations(spark, sf_dir).select("conv_id", "turn", text.compact(text.normalize(F.col("reference"))).alias("ref"), text.compact(text.normalize(F.col("response"))).alias("hyp"))
-    return metrics.chrf2(rows, ["conv_id", "turn"], "ref", "hyp").withColumn("chrf2", F.round("chrf2", 6))
+    rows = bounded_batches(generations(spark, sf_dir)).select("conv_id", "turn", text.compact(F.col("reference")).alias("ref"), text.compact(F.col("response")).alias("hyp"))
+    return rows.select("conv_id", "turn", F.round(F.coalesce(metrics.chrf2_column(F.col("ref"), F.col("hyp")), F.lit(0.0)), 6).alias("chrf2"))
 
 
 @query(f"with {GENERATIONS} select conv_id, turn, thought from w")
