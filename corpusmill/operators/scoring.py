@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics
+from corpusmill.functions.arrow import bounded_batches
 from corpusmill.functions.numbers import rounded
 from corpusmill.functions.text import REPLACEMENT, compact, normalize, or_empty, yi_only
 from corpusmill.operators.integrity import has_loop
@@ -20,16 +21,19 @@ def last_content(messages: Column) -> Column:
 
 def score(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, 17 scores) of generations with `prompt`, `reference`, `response`, `stop_reason`, `generated_tokens` and `batch_seconds_per_sample`; `keys` name a row."""
-    text = rows.select(
+    # What is compact does not depend on white space, so it is folded from the text itself, beside the normal forms.
+    text = bounded_batches(rows).select(
         *keys,
         normalize(or_empty(F.col("reference"))).alias("reference"),
         normalize(or_empty(F.col("response"))).alias("response"),
         or_empty(F.col("prompt")).alias("prompt"),
+        compact(or_empty(F.col("reference"))).alias("ref"),
+        compact(or_empty(F.col("response"))).alias("hyp"),
         F.coalesce(F.col("stop_reason") == "length", F.lit(False)).alias("length_truncated"),
         F.coalesce(F.col("generated_tokens"), F.lit(0)).cast("long").alias("generated_tokens"),
         F.coalesce(F.col("batch_seconds_per_sample"), F.lit(0.0)).cast("double").alias("seconds"),
     )
-    wide = text.withColumns({"ref": compact(F.col("reference")), "hyp": compact(F.col("response")), "ref_yi": yi_only(F.col("reference")), "hyp_yi": yi_only(F.col("response")), "thought": metrics.thinking_span(F.col("response"))})
+    wide = text.withColumns({"ref_yi": yi_only(F.col("reference")), "hyp_yi": yi_only(F.col("response")), "thought": metrics.thinking_span(F.col("response"))})
     return wide.select(
         *keys,
         metrics.target_language(F.col("prompt"), F.col("reference")).alias("target_language"),

@@ -159,12 +159,20 @@ def test_chrf2_needs_two_python_steps(spark, tmp_path):
     from corpusmill.plans import catalogue
 
     spark.createDataFrame([(i, t, "assistant", x) for i in range(9) for t, x in enumerate(["Ångström Å ΣΑΣ", "in  English", "İ ﬁ ꀀ", None])], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = catalogue.generations(spark, str(tmp_path)).withColumn("prompt", F.lit("Ⅳ IN ENGLISH"))
     assert python_steps(catalogue.chrf2(spark, str(tmp_path))) == 2
-    scores = scoring.score(rows, ["conv_id", "turn"])
-    assert python_steps(scores) == 2 and {r.target_language for r in scores.collect()} == {"en"}
     both = catalogue.chrf2(spark, str(tmp_path)).join(catalogue.generation_scores(spark, str(tmp_path)).select("conv_id", "turn", F.col("chrf2").alias("own")), ["conv_id", "turn"]).collect()
     assert both and all(r.chrf2 == r.own for r in both)
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFC", t).casefold() if c.isalnum())
     texts = spark.createDataFrame([("Å  ́x ΣΑΣ",), ("ǰ ŉ J̌ İ",), ("ẞ ß ﬁ",)], "t string")
     assert all(r.c == plain(r.t) == r.n for r in texts.select("t", text.compact(F.col("t")).alias("c"), text.compact(text.normalize(F.col("t"))).alias("n")).collect())
+
+
+def test_scores_need_two_python_steps(spark):
+    from corpusmill.operators import scoring
+
+    rows = spark.createDataFrame([(1, "Ⅳ IN\u2003ENGLISH", "Å  x", "Å x", "eos", 1, 0.5)], "k int, prompt string, reference string, response string, stop_reason string, generated_tokens int, batch_seconds_per_sample double")
+    scores = scoring.score(rows, ["k"])
+    assert python_steps(scores) == 2
+    (row,) = scores.collect()
+    assert row.target_language == "en" and row.exact and row.compact_exact and row.chrf2 == 100
+    assert python_steps(scoring.summarize(scores)) == 2
