@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrow import bounded_batches
+
 
 def verify_manifest(required: DataFrame, declared: DataFrame, actual: DataFrame) -> DataFrame:
     """(name, status, bytes, records) for each required name.
@@ -112,7 +114,7 @@ def repetition(text: Column, least: int = 2, repeats: int = 4) -> Column:
 
 def repetition_rates(rows: DataFrame, text: str, group: str) -> DataFrame:
     """Per group: texts, characters, repeated ones, looping_texts, rate (the share of characters) and mean_rate (the mean of the texts' own shares; empty ones have 0)."""
-    own = rows.select(F.col(group).alias("own_group"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), F.coalesce(repetition(F.col(text)), F.lit(0)).alias("r"))
+    own = bounded_batches(rows).select(F.col(group).alias("own_group"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), F.coalesce(repetition(F.col(text)), F.lit(0)).alias("r"))
     share = lambda r, n: F.coalesce(F.try_divide(r, n), F.lit(0.0))
     out = own.groupBy("own_group").agg(F.count("*").alias("texts"), F.sum("n").alias("characters"), F.sum("r").alias("repeated"), F.count_if(F.col("r") > 0).alias("looping_texts"), F.avg(share(F.col("r"), F.col("n"))).alias("mean_rate"))
     return out.withColumn("rate", share(F.col("repeated"), F.col("characters"))).withColumnRenamed("own_group", group)

@@ -540,7 +540,7 @@ def jsonl_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops in the whole text of every document, units of any length; SQL has no back-references, so there is none."""
-    return table(spark, sf_dir, "documents").select("doc_id", integrity.has_loop(F.col("text")).alias("loops"))
+    return bounded_batches(table(spark, sf_dir, "documents")).select("doc_id", integrity.has_loop(F.col("text")).alias("loops"))
 
 
 @query("""

@@ -176,3 +176,18 @@ def test_scores_need_two_python_steps(spark):
     (row,) = scores.collect()
     assert row.target_language == "en" and row.exact and row.compact_exact and row.chrf2 == 100
     assert python_steps(scoring.summarize(scores)) == 2
+
+
+
+def test_loops_read_bounded_batches(spark, tmp_path):
+    from corpusmill.plans import catalogue
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        spark.createDataFrame([(1, "abcabcabcabc"), (2, "abc"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        assert {r.doc_id: r.loops for r in catalogue.repetition_loops(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: None}
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
