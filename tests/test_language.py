@@ -130,3 +130,30 @@ def test_perplexity_deals_runs_by_their_middle_word_alone(spark):
     for k, text in rows:
         t = ["(", "(", *split(text), ")"]
         assert got[k] == pytest.approx(sum(math.log10(p(*t[i : i + 3])) for i in range(len(t) - 2)))
+
+
+def test_perplexity_packs_runs_as_numbers_and_spreads_hot_words(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(2000)], k=400))) for i in range(200)] + [(900, "a a a a"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    own = language.perplexity(docs, F.col("doc_id") % 5 != 1)
+    # Runs are neither sorted as rows nor joined to any.
+    assert "Window" not in own._jdf.queryExecution().executedPlan().toString()
+    counts = Counter(w for _, t in rows for w in split(t))
+    dealing = language.Dealing([(w, n) for w, n in counts.most_common() if n > 1], sum(counts.values()), 16)
+    packed = language.packed_runs(docs.select("text", (F.col("doc_id") % 5 != 1).alias("l"), F.col("doc_id").cast("string")), dealing).collect()
+    runs_of = Counter()
+    for r in packed:
+        if r.bucket >= 0:
+            runs_of[r.bucket] += len(language.unsqueezed(r.d))
+    assert sum(runs_of.values()) == sum(len(split(t)) + 1 for _, t in rows)
+    # "word0" has an eighth of all words, a bucket is meant to hold a 16th.
+    assert dealing.hot and max(runs_of.values()) < sum(runs_of.values()) / 8
+    assert sum(len(x) for r in packed if r.bucket >= 0 for x in (r.v, r.w, r.u, r.d, r.words)) < 12 * sum(runs_of.values())
+    p, _ = plain_model([split(t) for i, t in rows if i % 5 != 1])
+    got = {r.doc_id: r for r in own.collect()}
+    for i in (0, 1, 7, 900, 901):
+        t = ["(", "(", *split(dict(rows)[i]), ")"]
+        assert got[i].n_tokens == len(t) - 2
+        assert got[i].log10_prob == pytest.approx(sum(math.log10(p(*t[k : k + 3])) for k in range(len(t) - 2)))
