@@ -12,6 +12,7 @@ a suffix goes, never what is counted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm import tokens
 from corpusmill.llm.common import bounded_batches, hashed_sample, partitions, written
-from corpusmill.llm.tokens import gathered
 
 #: A word (or a part of phrases, when they are joined) with this share of all is hot; there are no more hot ones than this.
 HOT = 512
 SAMPLE = 2000
+#: Bytes that are worked on at once, each of which takes some thirty while it is, and rows that are sent on at once.
+BYTES_AT_ONCE, ROWS_AT_ONCE = 4 << 20, 1 << 15
+gathered = partial(tokens.gathered, most=BYTES_AT_ONCE)
 WORD_BYTE, BLANK, MARK = 0, 1, 2
 
 
@@ -50,12 +54,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     starts_text[limits] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
     first = np.flatnonzero(inside & (~before | starts_text[:-1]))
-    letters = np.cumsum(inside)
+    letters = np.cumsum(inside, dtype=np.int32)
     offsets = np.concatenate([letters[first] - 1, [letters[-1] if len(data) else 0]]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
     breaks = (kinds == MARK) | starts_text[:-1]
     # A text that begins with a word's byte opens a new piece there; a mark opens one after it.
-    pieces = np.cumsum(breaks)[first] if len(data) else np.zeros(0, np.int64)
+    pieces = np.cumsum(breaks, dtype=np.int32)[first] if len(data) else np.zeros(0, np.int64)
     return words, np.searchsorted(limits, first, side="right") - 1, pieces
 
 
@@ -104,11 +108,17 @@ def suffixes(docs: DataFrame, most_words: int, hot: frozenset[tuple[str, str]])
             for c in own[:-1]:
                 more &= is_hot[lang_codes[firsts], c]
                 dealt += more
-            yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dealt)], names=["key", "f", "dealt_by"])
+            yield from in_parts(pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dealt)], names=["key", "f", "dealt_by"]))
 
     return bounded_batches(docs).mapInArrow(run, "key string, f long, dealt_by int")
 
 
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in batches of few rows, as Spark takes in a whole one at a time, outside its heap."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def numbered(langs: np.ndarray, columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of each row's distinct (language, words), and a row for each number."""
     key, held, firsts = langs, int(langs.max()) + 1, None
@@ -126,7 +136,7 @@ def counted_by_stack(sorted_keys: DataFrame, most_words: int, least: int, hot: f
     """(key, f): prefixes of sorted keys with f >= `least`; and all that tasks count in parts: the languages, and those of hot words."""
     hot_keys = frozenset(f"{quoted(x)}\t{w} ".encode() for x, w in hot)
 
-    def in_parts(prefix: bytes) -> bool:
+    def counted_in_parts(prefix: bytes) -> bool:
         head, _, rest = prefix.partition(b"\t")
         words = rest.split(b" ")[:-1]
         return len(words) < most_words and all(head + b"\t" + w + b" " in hot_keys for w in words)
@@ -147,7 +157,7 @@ def counted_by_stack(sorted_keys: DataFrame, most_words: int, least: int, hot: f
         stack: list[tuple[bytes, int]] = []
 
         def wanted(prefix: bytes, f: int) -> bool:
-            return f >= least or in_parts(prefix)
+            return f >= least or counted_in_parts(prefix)
 
         for batch in gathered(batches):
             keys, counts = batch.column(0).cast(pa.large_binary()), batch.column(1).to_numpy()
@@ -198,7 +208,7 @@ def counted_by_stack(sorted_keys: DataFrame, most_words: int, least: int, hot: f
                 out_keys += [raw[i:j] for i, j in zip(ends[starts[out]].tolist(), prefix_ends[out].tolist(), strict=True)]
                 out_counts += sums[out].tolist()
             stack = still
-            yield made(out_keys, out_counts)
+            yield from in_parts(made(out_keys, out_counts))
         last = [(p, f) for p, f in stack if wanted(p, f)]
         yield made([p for p, _ in last], [f for _, f in last])
 

@@ -127,3 +127,20 @@ def test_odd_rows(spark):
 def test_one_word_in_all_places(spark):
     rows = [(i, "the " * 400 + words(30, i), "en", "s", 1) for i in range(40)]
     assert made(spark, rows) == plain(rows)
+
+
+def test_batches_sent_on_are_small(monkeypatch):
+    taken = {}
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            taken["run"] = run
+            return self
+
+    monkeypatch.setattr(phrases, "bounded_batches", lambda rows: rows)
+    phrases.suffixes(Rows(), 3, frozenset())
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50000)}" for _ in range(2000)) for _ in range(150)]
+    made_batches = list(taken["run"](iter([pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])])))
+    assert max(b.num_rows for b in made_batches) <= 1 << 15
+    assert sum(sum(b.column(1).to_pylist()) for b in made_batches) == 2000 * 150
