@@ -99,6 +99,8 @@ EN_PHRASES = [
 ]
 CHRF_ORDERS = 6
 CHRF_BETA = 2.0
+#: Characters scored together, each of which takes some 150 bytes meanwhile; a longer pair is scored alone.
+CHRF_CHARS = 1 << 15
 
 
 def has_any(text: Column, phrases: list[str]) -> Column:
@@ -185,7 +187,7 @@ def chrf2_column(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
     begin, size = 0, 0
     for k, i in enumerate(known.tolist(), 1):
         size += len(references.iloc[i]) + len(hypotheses.iloc[i])
-        if size > 1 << 18 or k == len(known):
+        if size > CHRF_CHARS or k == len(known):
             some = known[begin:k]
             out[some] = gram_scores(references.iloc[some].tolist(), hypotheses.iloc[some].tolist())
             begin, size = k, 0

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 import re
 import sys
+import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,18 @@ def plain_chrf(reference, hypothesis):
     return 100 * sum(scores) / len(scores) if scores else 0.0
 
 
+def test_chrf_holds_few_characters_at_once():
+    rng = random.Random(7)
+    own = pd.Series(["".join(rng.choices("abcdefgh é日", k=1000)) for _ in range(400)])
+    other = own[::-1].reset_index(drop=True)
+    tracemalloc.start()
+    got = metrics.chrf2_column.func(own, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    assert got.tolist() == metrics.gram_scores(own.tolist(), other.tolist()).tolist()
+
+
 def test_chrf_and_error_rate(spark):
     pairs = [("abc", "abc"), ("abc", "axc"), ("ꀀꁌꂷ", "ꀀꁌꂷ"), ("", ""), ("", "abc"), ("ab", ""), ("abcdefgh", "abxdefghi"), ("aaaa", "aa"), ("x", "y")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, r string, h string")
