@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import suppress
 from datetime import UTC, datetime
+from itertools import groupby
 from pathlib import Path
 from typing import Any
 from urllib.parse import unquote
@@ -13,61 +15,112 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-MARKERS = ("VERIFIED.sha256", "snapshot_manifest.json")
+from corpusmill.functions.arrow import bounded_batches
 
+MARKERS = ("VERIFIED.sha256", "snapshot_manifest.json")
 
-#: Bytes of a file read at a time; files below the limit are hashed by Spark itself, larger ones in blocks.
-BLOCK, WHOLE_FILE = 8 << 20, 1 << 30
 
+#: Bytes of a file held at a time: shorter files are hashed by Spark itself, others in blocks, or by lines in stores that only Spark reads.
+BLOCK = 8 << 20
+#: Names that Spark's line reader would decompress. In stores that only Spark reads such files are held whole below this limit.
+CODED, WHOLE_FILE = r"\.(gz|bz2|zstd?|snappy|lz4|deflate|lzo\w*)$", 1 << 30
+#: Spark's line reader drops this mark at the head of a file.
+MARK = b"\xef\xbb\xbf"
 
-def with_hashes(found: DataFrame, limit: int = WHOLE_FILE) -> DataFrame:
-    """`found` (path, length and other columns of listed files) with `sha256`. A file of any size takes the memory of a block or, below `limit`, of the file."""
-    names = found.columns
-    small = found.where(F.col("length") < limit).select(*names, F.sha2("content", 256).alias("sha256")).drop("content")
-    large = found.where(F.col("length") >= limit).drop("content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = []
-            for path in batch.column("path").to_pylist():
-                digest = hashlib.sha256()
-                with opened(path) as source:
-                    while block := source.read(BLOCK):
-                        digest.update(block)
-                sums.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[*batch.schema.names, "sha256"])
+def with_hashes(found: DataFrame, paths: str | list[str], limit: int = BLOCK, **options: str) -> DataFrame:
+    """`found` (uri, length, content and other columns of files below `paths`, see `listed`) with `sha256`, without content.
 
-    return small.unionByName(large.mapInArrow(run, StructType([*large.schema.fields, StructField("sha256", StringType())])))
+    A file of `limit` bytes or more takes the memory of a block; by lines, of its longest line.
+    """
+    near, coded, length = F.col("uri").startswith("file:"), F.col("uri").rlike(CODED), F.col("length")
+    held = (length < limit) | (~near & coded & (length < WHOLE_FILE))
+    far = ~held & ~near & ~coded
+    short = found.where(held).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    long = found.drop("content").where(~held & (near | coded))
+    sums = short.unionByName(long.mapInArrow(block_hashes, StructType([*long.schema.fields, StructField("sha256", StringType())])))
+    if all(n.startswith("file:") for n in found.inputFiles()):
+        return sums
+    read = whole_lines(found.sparkSession, paths, **options).where(far).mapInArrow(line_hashes, "uri string, sha256 string").distinct()
+    return sums.unionByName(bounded_batches(found).drop("content").where(far).join(read, "uri"))
+
+
+def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with opened(path) as source:
+                while block := source.read(BLOCK):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, "sha256"])
+
+
+def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, sha256) from the lines of whole files. The length of a file tells whether a last line feed or a mark at its head is not among them."""
+    rows = (r for uris, lengths, lines in batches for r in zip(uris.to_pylist(), lengths.to_pylist(), lines.view(pa.binary()).to_pylist(), strict=True))
+    for (uri, length), found in groupby(rows, lambda r: r[:2]):
+        sums, left = (hashlib.sha256(), hashlib.sha256(MARK)), length
+        for k, (_, _, line) in enumerate(found):
+            part = b"\n" + line if k else line
+            left -= len(part)
+            for digest in sums:
+                digest.update(part)
+        if left not in (0, 1, len(MARK), len(MARK) + 1):
+            raise ValueError(f"{uri}: lines hold {length - left} of {length} bytes")
+        marked, ended = divmod(left, len(MARK))
+        sums[marked].update(b"\n" * ended)
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([sums[marked].hexdigest()])], names=["uri", "sha256"])
+
+
+def whole_lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """(uri, length, line) of files, in order; lines hold any bytes, not UTF-8 alone. A session of its own keeps Spark from splitting files: each is one task."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        with suppress(AnalysisException):  # a static setting, which sessions share
+            own.conf.set(key, value)
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, str(1 << 44))
+    read = own.read.format("text").options(**options).option("lineSep", "\n").load(paths)
+    return read.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("length"), F.col("value").alias("line"))
 
 
 def opened(path: str) -> Any:
-    """A stream of a file that Arrow's file systems reach by its URI."""
-    store, local = pyarrow.fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+    """A stream of a file that Arrow's file systems reach by its URI, or by a local path as Spark writes it (`file:/a b`, not encoded)."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return pyarrow.fs.LocalFileSystem().open_input_file(path[5:])
+    store, local = pyarrow.fs.FileSystem.from_uri(path)
     return store.open_input_file(local)
 
 
-def listed(reader: DataFrameReader, paths: str | list[str]) -> DataFrame:
-    """(path, length, content) of files. Spark's scans pass over empty files, so these are added from the list of files that it holds."""
-    found = reader.load(paths).select("path", "length", "content")
+def listed(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """(path, uri, length, content) of files. Spark's scans pass over empty files, so these are added from the list of files that it holds.
+
+    `uri` and `length` are known from the listing, so files that a filter on them leaves out are not read.
+    """
+    read = spark.read.format("binaryFile").options(**options).load(paths)
+    found = read.select("path", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("length"), "content")
     names = [("file:" + n[7:] if n.startswith("file:///") else n,) for n in map(unquote, found.inputFiles())]
-    every = found.sparkSession.createDataFrame(names, "path string")
+    every = spark.createDataFrame(names, "path string")
     empty = every.join(found.select("path"), "path", "left_anti")
-    return found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+    return found.unionByName(empty.select("path", F.col("path").alias("uri"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
-def inventory(spark: SparkSession, root: str, pattern: str | None = None, skip_folder: str = ".cache", skip_names: tuple[str, ...] = MARKERS, limit: int = WHOLE_FILE) -> DataFrame:
+def inventory(spark: SparkSession, root: str, pattern: str | None = None, skip_folder: str = ".cache", skip_names: tuple[str, ...] = MARKERS, limit: int = BLOCK) -> DataFrame:
     """(path, bytes, sha256) of all files below `root`, paths relative; what lies in a skipped folder, and marker files, are left out. Files may have any size."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = listed(reader.option("pathGlobFilter", pattern) if pattern else reader, root)
+    options = {"recursiveFileLookup": "true"} | ({"pathGlobFilter": pattern} if pattern else {})
+    found = listed(spark, root, **options)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     path = F.regexp_replace(F.element_at(F.split("path", r"^\w+:(//[^/]*)?", 2), -1), "^" + regex_quoted(base) + "/+", "")
     parts = F.split(path, "/")
     kept = found.where(~F.array_contains(parts, skip_folder) & ~F.element_at(parts, -1).isin(*skip_names))
-    named = with_hashes(kept.select("path", "length", path.alias("name"), "content"), limit)
+    named = with_hashes(kept.withColumn("name", path), root, limit, **options)
     return named.select(F.col("name").alias("path"), F.col("length").alias("bytes"), "sha256")
 
 

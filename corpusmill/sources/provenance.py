@@ -65,7 +65,7 @@ def device_rows(spark: SparkSession, listing: str | None) -> DataFrame:
 
 def input_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, bytes, sha256) of the files that `paths` name, of any size, read side by side on executors."""
-    return with_hashes(listed(spark.read.format("binaryFile"), paths)).select("path", F.col("length").alias("bytes"), "sha256")
+    return with_hashes(listed(spark, paths), paths).select("path", F.col("length").alias("bytes"), "sha256")
 
 
 def run_record(spark: SparkSession, folder: str, inputs: list[str], devices: str | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.operators import numeric
@@ -67,6 +69,53 @@ def test_inventory_and_checksums(spark, tmp_path):
     assert files.write_marker(f"file://{tmp_path}", True, spark).endswith("/PASSED") and (tmp_path / "PASSED").exists() and not (tmp_path / "FAILED").exists()
 
 
+@pytest.fixture
+def settings(spark):
+    """Sets what a test changes in the session back."""
+    before = dict(spark.conf.getAll)
+    yield spark.conf
+    for key, value in spark.conf.getAll.items():
+        if key not in before:
+            spark.conf.unset(key)
+        elif before[key] != value:
+            spark.conf.set(key, before[key])
+
+
+#: What lines lose or could: a mark at the head, last line feeds, carriage returns, line feeds alone, names that a URI encodes.
+ODD = {
+    "plain.bin": random.Random(1).randbytes(300_000), "marked.bin": files.MARK + b"a\r\nb\r" * 9000, "ended.bin": files.MARK * 2 + b"x\n" * 9000, "feeds.bin": b"\n" * 9000, "one line.bin": b"y" * 90_000,
+    "dé+p a%20b/[c] {d}.bin": random.Random(2).randbytes(50_000) + b"\n", "short.bin": b"\n", "empty.bin": b"", "coded.gz": gzip.compress(random.Random(3).randbytes(50_000)),
+}
+
+
+@pytest.mark.parametrize("root", ["{}", "viewfs://odd/in"])
+def test_inventory_of_odd_files_in_any_store(spark, settings, tmp_path, root):
+    """Also where only Spark reads, from files that a scan would split."""
+    settings.set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}")
+    settings.set("spark.sql.files.maxPartitionBytes", "4096")
+    for name, data in (ODD | {".cache/x": b"z" * 5000}).items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = files.inventory(spark, root.format(tmp_path), limit=1000).collect()
+    assert sorted(tuple(r) for r in got) == sorted((name, len(data), hashlib.sha256(data).hexdigest()) for name, data in ODD.items())
+
+
+@pytest.mark.parametrize("root", ["{}", "viewfs://held/in"])
+def test_inventory_holds_no_file_whole(spark, settings, tmp_path, root):
+    """Spark refuses to read a file of more than 10 MB whole here."""
+    settings.set("fs.viewfs.mounttable.held.link./in", f"file://{tmp_path}")
+    settings.set("spark.sql.sources.binaryFile.maxLength", str(10 << 20))
+    data = random.Random(4).randbytes(12 << 20)
+    (tmp_path / "t.parquet").write_bytes(data)
+    assert [tuple(r) for r in files.inventory(spark, root.format(tmp_path), pattern="*.parquet").collect()] == [("t.parquet", len(data), hashlib.sha256(data).hexdigest())]
+
+
+def test_lines_that_miss_bytes_give_no_hash():
+    batch = pa.RecordBatch.from_pydict({"uri": ["f"] * 2, "length": [9] * 2, "line": [b"ab", b"c"]})
+    with pytest.raises(ValueError, match="4 of 9 bytes"):
+        list(files.line_hashes(iter([batch])))
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """Longer than any array can be; sparse, so it takes no room."""
     with open(tmp_path / "long.bin", "wb") as out:
